@@ -46,7 +46,7 @@ def top_k_by(df: DataFrame, keys: list[str], order: list[Column], k: int, number
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
     limit = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS)))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_rows")).filter(F.col("_hot_rows") > limit).select(*keys)
 
 
 def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",

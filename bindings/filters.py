@@ -1 +1,99 @@
-"""Queries of this part."""
+"""Projection, filter, facet and search queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docweave.functions import text
+from docweave.operators import filters as P
+
+from . import duck as d
+from .registry import query
+
+REG = d.v("register")
+_ROWS = f"select *, revision as current_revision, '' as next_revision, '' as next_status, row_no % 10 = 3 as conflict, source as requested from {REG}"
+
+
+def _rows(load):
+    return load("register").withColumn("current_revision", F.col("revision")).withColumn("conflict", F.col("row_no") % 10 == 3)
+
+
+@query("relation_project", f"""select {d.txt('document')} document, {d.txt('sheet')} sheet, {d.txt('title')} title, {d.txt('discipline')} discipline, {d.txt('path')} path,
+  {', '.join(f"coalesce(trim(string_split({d.txt('path')}, '|')[{i}]), '') level_{i}" for i in range(1, 9))} from {REG}""")
+def _(load):
+    return P.relation_project(_rows(load), "databook")
+
+
+_ATTR = "select row_no, source_ts, document, header, value from (select *, unnest(['Prazo', 'EAP', 'Título', 'prazo ']) header, unnest([deadline, format, title, case when row_no % 2 = 0 then upper(deadline) else '' end]) value from " + REG + ")"
+
+
+def _attrs(load):
+    pair = lambda h, v: F.struct(F.lit(h).alias("header"), v.alias("value"))
+    second = F.when(F.col("row_no") % 2 == 0, F.upper("deadline")).otherwise("")
+    return load("register").select("document", "row_no", "source_ts", F.array(pair("Prazo", F.col("deadline")), pair("EAP", F.col("format")), pair("Título", F.col("title")), pair("prazo ", second)).alias("attributes"))
+
+
+@query("open_attribute_headers", f"select {d.norm('header')} header_key, min({d.txt('header')}) label from ({_ATTR}) where {d.norm('header')} <> 'TITULO' group by 1")
+def _(load):
+    return P.open_attribute_headers(_attrs(load), "attributes", ["Título"])
+
+
+@query("open_attribute_columns", f"""select document, coalesce(max((row_no, {d.txt('value')})) filter (where {d.norm('header')} = 'PRAZO' and {d.txt('value')} <> ''), (0::bigint, ''))[2] prazo,
+  coalesce(max((row_no, {d.txt('value')})) filter (where {d.norm('header')} = 'EAP' and {d.txt('value')} <> ''), (0::bigint, ''))[2] eap from ({_ATTR}) group by 1""")
+def _(load):
+    return P.open_attribute_columns(_attrs(load), "document", "attributes", ["PRAZO", "EAP"], "row_no")
+
+
+@query("relation_filter", f"""select row_no, source_ts from ({_ROWS}) where contains({d.norm("document || ' ' || title")}, 'PAINEL') and (conflict or ({d.norm('posting_status')} = 'EM ANALISE'
+  and {d.norm('sheet')} = 'ET' and contains({d.norm('allocation')}, 'AL-00') and {d.txt('comment')} <> ''))""")
+def _(load):
+    wanted = {"status": "em análise", "sheet": "et", "allocation": "al-00", "comments": "yes", "query": "painel"}
+    return P.relation_filter(_rows(load), wanted).select("row_no", "source_ts")
+
+
+@query("column_contains_filter", f"""select row_no, source_ts from {REG} where contains({d.norm('title')}, 'INSPECAO') and contains({d.norm('path')}, 'BOOK') and (contains({d.norm('document')}, '-CIV-') or contains({d.norm('comment')}, 'VERIFICAR'))""")
+def _(load):
+    hit = lambda s: P.column_contains_filter(load("register"), {"title": "inspeção", "path": "book"}, s, ["document", "comment"])
+    return hit("-civ-").unionByName(hit("verificar")).select("row_no", "source_ts").distinct()
+
+
+_FL = f"""(select 'status' facet, {d.txt('posting_status')} v from {REG} union all select 'sheet', {d.txt('sheet')} from {REG} union all select 'revision', {d.txt('revision')} from {REG} union all
+  select 'labels', unnest(regexp_split_to_array({d.txt("concat(format, ' · ', allocation_stage, '·', document_type)")}, '\\s*·\\s*')) from {REG})"""
+
+
+@query("facet_options", f"""select facet, {d.norm('v')} value_key, min(v) label, count(*) row_count, case when facet = 'revision' then cast({d.rev_rank(d.norm('min(v)'))} as bigint) else 0 end sort_rank
+  from {_FL} where v <> '' group by 1, 2""")
+def _(load):
+    rows = load("register").select(F.col("posting_status").alias("status"), "sheet", "revision", F.concat("format", F.lit(" · "), "allocation_stage", F.lit("·"), "document_type").alias("labels"))
+    return P.facet_options(rows, ["status", "sheet", "revision", "labels"], ["labels"], ["revision"])
+
+
+_QS = ["RL-1.1.1", "civ", "procedimento de motores", "PAINEL 7", "rl-2.3.4-ins-000000000123"]
+
+
+@query("quick_search_topk", f"""with r as (select document, title from (select document, title, row_number() over (partition by document order by row_no desc, source_ts desc, title desc) n from {REG}) where n = 1),
+  s as (select q query, document, title, case when {d.norm('document')} = {d.norm('q')} then 1000 when starts_with({d.norm('document')}, {d.norm('q')}) then 800 when contains({d.norm('document')}, {d.norm('q')}) then 650
+  when starts_with({d.norm('title')}, {d.norm('q')}) then 450 when contains({d.norm('title')}, {d.norm('q')}) then 350 else 0 end score from r, (select unnest([{', '.join(f"'{q}'" for q in _QS)}]) q))
+  select query, document, title, score, place from (select *, cast(row_number() over (partition by query order by score desc, document) as integer) place from s where score > 0) where place <= 8""")
+def _(load):
+    return P.quick_search_topk(load("register"), "document", "title", _QS, 8, [F.col("row_no"), F.col("source_ts")])
+
+
+@query("scope_semi_filter", f"select row_no, source_ts from {REG} where document in (select document from {d.v('history')})")
+def _(load):
+    return P.scope_semi_filter(load("register"), load("history"), "document").select("row_no", "source_ts")
+
+
+@query("result_page", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
+def _(load):
+    return P.result_page(load("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, 50)
+
+
+@query("source_category", f"""select category, count(*) row_count from (select case when {d.norm('comment')} = 'OK' then 'already_correct' when regexp_matches({d.norm('comment')}, '^CORRIGIR') then 'learned'
+  when {d.norm('allocation_status')} = 'NAO ALOCADO' then 'blocked' when {d.path_complete('path')} then 'controlled' else 'without_evidence' end category from {REG}) group by 1""")
+def _(load):
+    from docweave.functions import codes
+
+    rules = [("already_correct", text.norm("comment") == "OK"), ("learned", text.norm("comment").rlike("^CORRIGIR")),
+             ("blocked", text.norm("allocation_status") == "NAO ALOCADO"), ("controlled", codes.path_complete("path"))]
+    return P.source_category(load("register"), rules, "without_evidence").groupBy("category").agg(F.count(F.lit(1)).alias("row_count"))

@@ -28,7 +28,7 @@ def _(load):
     return R.latest_record(load("history"), "document", R.order_history(), ["revision", "row_no"])
 
 
-@query("latest_record_relation", _latest(REG, f"({d.rev_rank(d.rev('revision'))}) desc, greatest({d.day('effective_date')}, {d.day('included')}, 0) desc, source_ts desc, row_no desc"))
+@query("latest_record_relation", _latest(REG, f"({d.rev_rank(d.rev('revision'))}) desc, greatest(greatest({d.day('effective_date')}, {d.day('included')}, 0) * 86400000, source_ts, row_no) desc, row_no desc, source_ts desc"))
 def _(load):
     return R.latest_record(load("register"), "document", R.order_relation(["effective_date", "included"]), ["revision", "row_no", "source_ts"])
 

@@ -71,11 +71,11 @@ def column_contains_filter(df: DataFrame, wanted: dict[str, str], search: str, s
 def facet_options(df: DataFrame, facets: list[str], multi: list[str] | None = None, revisions: list[str] | None = None) -> DataFrame:
     """Distinct values per facet with a label, a count and a sort key; multi-valued columns are split first."""
     multi, revisions = multi or [], revisions or []
-    values = [
-        F.transform(F.split(text.text(f), r"\s*·\s*"), lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.alias("value")))
-        if f in multi else F.array(F.struct(F.lit(f).alias("facet"), text.text(f).alias("value")))
-        for f in facets
-    ]
+    def options(f: str) -> Column:
+        found = F.split(text.text(f), r"\s*·\s*") if f in multi else F.array(text.text(f))
+        return F.transform(found, lambda v: F.struct(F.lit(f).alias("facet"), v.alias("value")))
+
+    values = [options(f) for f in facets]
     long = df.select(F.inline(F.concat(*values))).filter("value <> ''").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
     out = long.groupBy("facet", text.norm("value").alias("value_key")).agg(F.min("value").alias("label"), F.sum("n").cast("bigint").alias("row_count"))
     rank = revision.revision_rank(F.col("value_key"))

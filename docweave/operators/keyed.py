@@ -2,7 +2,7 @@
 
 * one row per key: ``max``/``min`` of a struct, so every task reduces its rows before the shuffle;
 * first k per key: ``row_number() <= k``, which Spark limits per task before the shuffle;
-* per-key facts back on rows: a join whose hot keys are split over salts;
+* per-key facts back on rows: a join that adaptive execution can split where a key is hot;
 * running values over an integer order: block by block, so that one long group is many blocks.
 """
 
@@ -10,11 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS_KEY = "docweave.hotRows"
-HOT_ROWS = 2_000_000
-FANOUT = 256
-
-
 def _struct(cols: list[Column | str], prefix: str) -> Column:
     return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
 
@@ -43,25 +38,16 @@ def top_k_by(df: DataFrame, keys: list[str], order: list[Column], k: int, number
     return df.withColumn(number, F.row_number().over(w)).filter(F.col(number) <= k)
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
-    limit = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS)))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_rows")).filter(F.col("_hot_rows") > limit).select(*keys)
-
+def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``facts`` (one row per key) to rows, with rows of hot keys split over tasks.
 
-def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
-           hot_rows: int | None = None, fanout: int = FANOUT) -> DataFrame:
-    """Join ``facts`` (one row per key) to rows; rows of hot keys are split over ``fanout`` tasks.
-
-    The hot list is broadcast: it cannot hold more than rows / hot_rows keys.
+    ``facts`` usually comes out of an aggregation on the same keys. Joined as it is, its partitions would
+    be reused and adaptive execution could not split a skewed key of ``df``. The hash of the keys as a
+    further join key changes no result but gives both sides a shuffle of their own, and such a join is
+    split at run time. Facts small enough are broadcast by Spark after it has seen their size.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(fanout)).cast("int")
-    hot = F.broadcast(hot_keys(df.select(*keys), keys, hot_rows).withColumn("_hot", F.lit(True)))
-    left = df.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-    right = facts.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return left.drop("_hot").join(right.drop("_hot"), keys + ["_salt"], how).drop("_salt")
+    tag = F.xxhash64(*[F.col(k) for k in keys])
+    return df.withColumn("_tag", tag).join(facts.withColumn("_tag", tag), keys + ["_tag"], how).drop("_tag")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -25,8 +25,9 @@ def newest_day(cols: list[str]) -> Column:
 
 
 def order_relation(cols: list[str]) -> list[Column]:
-    """Revision, newest of all dates, source time, row."""
-    return [revision.revision_rank(revision.normal_revision("revision")), newest_day(cols), F.col("source_ts"), F.col("row_no")]
+    """Revision, then the greatest of all dates, source time and row in milliseconds, then row."""
+    at = F.greatest(newest_day(cols) * 86400000, F.col("source_ts"), F.col("row_no"))
+    return [revision.revision_rank(revision.normal_revision("revision")), at, F.col("row_no"), F.col("source_ts")]
 
 
 def order_row() -> list[Column]:

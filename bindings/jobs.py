@@ -1 +1,183 @@
-"""Queries of this part."""
+"""Business jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docweave.functions import codes, text
+from docweave.operators import evidence as E, matching as M, ranking as R
+from docweave.operators.keyed import latest_by
+from docweave.plans import allocation as A, audits as U, changes as X, relations, triage as TR
+
+from . import duck as d
+from .matching import _MAX, _REQ, DOCS, DOCS_ALL, OUTCOME
+from .ranking import _A, CONFLICTS, STATE
+from .registry import query
+
+REG, HIST, CTL = d.v("register"), d.v("history"), d.v("control")
+_POS = f"(cast({d.rev_rank(d.rev('revision'))} as bigint), greatest(greatest({d.day('modified')}, {d.day('included')}, {d.day('effective_date')}, 0) * 86400000, source_ts, row_no), row_no, source_ts)"
+_ALL = f"""(select *, {_POS} pos from (select 1 tech, document, revision, status, posting_status, title, dispatch, effective_date, discipline, document_type, purpose, path, comment, allocation_status, allocation, modified, included, sheet, row_no, source_ts from {REG}
+  union all select 0, document, revision, status, posting_status, '', '', '', '', '', '', '', '', '', '', modified, included, sheet, row_no, source_ts from {HIST}))"""
+_FIRST = lambda f: f"coalesce(arg_max({d.txt(f)}, pos) filter (where tech = 1 and {d.txt(f)} <> ''), arg_max({d.txt(f)}, pos) filter (where {d.txt(f)} <> ''), '') f_{f}"
+_AGR = lambda f, n: f"case when count(distinct {n}) filter (where {n} <> '') = 1 then min({d.txt(f)}) filter (where {n} <> '') else '' end g_{f}"
+_JOIN = lambda f: f"(select document, string_agg(v, ' · ' order by pos desc, v desc) {f} from (select document, {d.norm(f)} n, max((pos, {d.txt(f)}))[2] v, max((pos, {d.txt(f)}))[1] pos from a where {d.norm(f)} <> '' group by 1, 2) group by 1)"
+RELATION = f"""(with a as (select * from {_ALL}), c as (select document, array_to_string(list_sort(list(distinct field)), ', ') f from {CONFLICTS} group by 1),
+  t as (select * from (select *, row_number() over (partition by document order by pos desc) n from a where tech = 1) where n = 1), l as (select * from (select *, row_number() over (partition by document order by pos desc) n from a) where n = 1),
+  g as (select document, {', '.join(_FIRST(f) for f in ('title', 'path', 'effective_date', 'discipline', 'document_type', 'purpose'))}, {_AGR('title', d.norm('title'))}, {_AGR('path', d.norm('path'))},
+  {_AGR('allocation_status', d.norm('allocation_status'))}, {_AGR('revision', d.rev('revision'))} from a group by 1),
+  st as (select document, rev, case when state = 'single' then first_raw else state end s from {STATE}),
+  x as (select t.*, g.*, c.f cf, {d.rev('l.revision')} cur, coalesce(nullif({d.txt('l.posting_status')}, ''), nullif({d.txt('l.status')}, ''), nullif({d.txt('t.posting_status')}, ''), nullif({d.txt('t.status')}, ''), 'not_informed') fb
+  from t join l on l.document = t.document join g on g.document = t.document left join c on c.document = t.document),
+  y as (select x.*, coalesce(st.s, fb) ps from x left join st on st.document = x.document and st.rev = x.cur),
+  z as (select *, case when ({d.kind('ps')}) = 'advance' and ({d.rev_next('cur')}) <> '' then {d.rev_next('cur')} else cur end nxt from y),
+  w as (select z.*, case when nxt <> cur then coalesce(st.s, 'not_posted') else ps end ns, jd.dispatch jd, ja.allocation ja, jc.comment jc from z left join st on st.document = z.document and st.rev = z.nxt
+  left join {_JOIN('dispatch')} jd on jd.document = z.document left join {_JOIN('allocation')} ja on ja.document = z.document left join {_JOIN('comment')} jc on jc.document = z.document)
+  select document, case when cf is null then {d.txt('sheet')} else '' end sheet, case when cf is not null then g_title when {d.txt('title')} <> '' then {d.txt('title')} else f_title end title,
+  case when cf is not null then g_revision else cur end current_revision, case when cf is null then nxt else '' end next_revision, case when cf is null then ps else 'conflict' end posting_status,
+  case when cf is null then ns else '' end next_status, case when cf is null then {d.txt('status')} else '' end technical_status, case when cf is null then f_path else g_path end path,
+  case when cf is not null then g_allocation_status when {d.txt('allocation_status')} <> '' then {d.txt('allocation_status')} when coalesce(ja, '') <> '' then 'Alocado' else 'not_informed' end allocation_status,
+  case when cf is null then coalesce(jd, '') else '' end dispatch, case when cf is null then coalesce(ja, '') else '' end allocation, case when cf is null then coalesce(jc, '') else '' end as comment,
+  case when cf is null then f_effective_date else '' end effective_date, case when cf is null then f_discipline else '' end discipline, case when cf is null then f_document_type else '' end document_type,
+  case when cf is null then f_purpose else '' end purpose, cf is not null conflict, coalesce(cf, '') conflict_fields from w)"""
+
+
+@query("relation_rows", f"select * from {RELATION}")
+def _(load):
+    return relations.relation_rows(load("register"), load("history"))
+
+
+@query("relation_status_distribution", f"select {d.norm('posting_status')} status_key, min(posting_status) label, count(*) row_count from {RELATION} group by 1")
+def _(load):
+    return E.status_distribution(relations.relation_rows(load("register"), load("history")), "posting_status")
+
+
+_NOW = "2024-01-20"
+_M = _MAX.replace(DOCS, DOCS_ALL)
+_CLAIM_STEM = f"regexp_replace({d.txt('raw')}, '\\.[^.]+$', '')"
+_CLAIM_TAIL = f"case when code <> '' and instr(upper({_CLAIM_STEM}), upper(code)) > 0 then substr({_CLAIM_STEM}, instr(upper({_CLAIM_STEM}), upper(code)) + length(code)) else {_CLAIM_STEM} end"
+_CLAIM = d.rev(f"coalesce(nullif(regexp_extract({_CLAIM_TAIL}, '(?i)[_ -]REV(?:ISAO)?[_ -]?([A-Z]{{1,3}}\\d*|0)$', 1), ''), regexp_extract({_CLAIM_TAIL}, '(?i)[_ -]([A-Z]{{1,3}}\\d*|0)$', 1))")
+_SIGN = " || '|' || ".join([d.rev("revision"), d.norm("case when trim(posting_status) <> '' then posting_status else status end"), d.txt("dispatch"), d.txt("effective_date"), d.txt("path"),
+                           *[d.norm(c) for c in ("title", "format", "discipline", "document_type", "purpose", "allocation_status", "comment", "allocation_stage")]])
+
+
+@query("triage", f"""with m as (select request_id, count(*) n, min(dk) dk from {_M} group by 1),
+  f as (select r.request_id, q.raw, {d.norm('q.hint')} hint, case when m.n = 1 then 'match' when m.n > 1 then 'ambiguous' else 'missing' end outcome, case when m.n = 1 then m.dk else '' end dk from {_REQ} r join {d.v('requests')} q on q.request_id = r.request_id left join m on m.request_id = r.request_id),
+  p as (select distinct dk, hint from f where outcome = 'match'), r as (select p.dk, p.hint, g.*, {_SIGN} sig, {d.norm('g.sheet')} sh, {d.norm('g.allocation_status')} = 'NAO ALOCADO' blk, {d.rev('g.revision')} rv from p join {REG} g on {d.key('g.document')} = p.dk),
+  u as (select *, hint = '' or sh = hint used from r), c as (select dk, hint, case when count(*) filter (where used) = 0 then 'sheet_mismatch' when hint = '' and count(distinct sh) filter (where used) > 1 then 'ambiguous'
+  when count(*) filter (where used) > 1 and count(distinct sig) filter (where used) > 1 then 'ambiguous' else 'chosen' end choice, case when count(*) filter (where used) = 0 then max(blk) else coalesce(max(blk) filter (where used), false) end anyb from u group by 1, 2),
+  b as (select * from (select *, row_number() over (partition by dk, hint order by {_A}) i from u where used) where i = 1),
+  hh as (select document, max((cast({d.rev_rank('rev')} as bigint), rev)) h from (select document, {d.rev('revision')} rev from {HIST}) group by 1),
+  s as (select dk, hint, rv, case when count(*) filter (where hint <> '' and sh = hint) > 0 then case when count(*) filter (where hint <> '' and sh = hint) = 1 then min(({d.txt('dispatch')}, {d.txt('effective_date')})) filter (where hint <> '' and sh = hint) end
+  when count(*) = 1 then min(({d.txt('dispatch')}, {d.txt('effective_date')})) end w from r group by 1, 2, 3),
+  e as (select p.dk, p.hint, c.choice, coalesce(c.anyb, false) anyb, case when c.choice = 'chosen' then b.document else '' end code, case when c.choice = 'chosen' then b.rv else '' end tr, case when c.choice = 'chosen' then b.allocation_status end al, hh.h from p left join c on c.dk = p.dk and c.hint = p.hint
+  left join b on b.dk = p.dk and b.hint = p.hint left join hh on {d.key('hh.document')} = p.dk),
+  e2 as (select *, case when ({d.rev_rank('tr')}) >= 0 and ({d.rev_rank('tr')}) >= coalesce(h[1], -1) then tr when coalesce(h[1], -1) >= 0 then h[2] else '' end rev from e),
+  e3 as (select e2.*, st.state, s.w, case when st.state = 'single' then {d.kind('st.first_raw')} else 'not_posted' end kd, {d.rev_next('e2.rev')} nx from e2 left join {STATE} st on {d.key('st.document')} = e2.dk and st.rev = e2.rev left join s on s.dk = e2.dk and s.hint = e2.hint and s.rv = e2.rev),
+  o as (select f.request_id, f.dk, f.raw, f.outcome, e3.choice, e3.anyb, coalesce(e3.code, '') code, e3.al, e3.rev, e3.state, e3.w[1] wd, e3.w[2] we, e3.w is null wn, e3.kd, e3.nx from f left join e3 on e3.dk = f.dk and e3.hint = f.hint),
+  o2 as (select *, case when outcome = 'match' then {_CLAIM} else '' end cl, cast({d.date('we')} as date) ed from o),
+  o3 as (select *, case when outcome = 'ambiguous' then 'ambiguous_code' when outcome = 'missing' then 'not_found' when choice is null then 'history_only' when choice = 'sheet_mismatch' then 'sheet_mismatch' when choice = 'ambiguous' then 'conflicting_rows'
+  when {d.norm('al')} = 'NAO ALOCADO' then 'not_allocated' when cl <> '' and ({d.rev_kind('cl')}) = 'invalid' then 'invalid_name_revision' when rev = '' then 'empty_revision' when state = 'conflict' then 'status_conflict' when state = 'incomplete' then 'status_blank'
+  when kd = 'analysis' then case when wn then 'analysis_no_row' when wd <> '' and coalesce(date_diff('day', ed, date '{_NOW}') between -1 and 30, false) then 'analysis_recent' when wd = '' then 'analysis_no_dispatch' when we = '' then 'analysis_no_date' when ed is null then 'analysis_bad_date' else 'analysis_old' end
+  when kd = 'advance' and nx = '' then 'field_revision' when kd not in ('not_posted', 'advance') then 'other_status' when not regexp_matches(code, '^RL-[0-9.]+-(MEC|CIV|ELE|TUB)-') then 'invalid_code' when kd = 'advance' then 'ready_next' else 'ready' end reason from o2)
+  select request_id, dk document_key, case when reason like 'ready%' then 'ready' when reason = 'analysis_recent' then 'discard' else 'review' end decision,
+  case when reason in ('sheet_mismatch', 'conflicting_rows') and anyb then 'not_allocated_conflict' when reason = 'not_allocated' then 'not_allocated' else '' end block_code, reason,
+  case when reason = 'ready_next' or (reason = 'invalid_code' and kd = 'advance') then nx when reason in ('ambiguous_code', 'not_found', 'history_only', 'sheet_mismatch', 'conflicting_rows') then '' when reason = 'invalid_name_revision' then cl else coalesce(rev, '') end revision from o3""")
+def _(load):
+    valid = F.col("document").rlike(r"^RL-[0-9.]+-(MEC|CIV|ELE|TUB)-")
+    return TR.triage(load("requests"), load("register"), load("history"), _NOW, valid)
+
+
+@query("posting_evidence", f"""select row_no, source_ts, case when {d.txt('dispatch')} <> '' and cast({d.date('effective_date')} as date) is not null then 'complete' when {d.txt('dispatch')} <> '' or {d.txt('effective_date')} <> '' then 'partial' else 'none' end posting from {REG}""")
+def _(load):
+    return load("register").select("row_no", "source_ts", A.posting_evidence("dispatch", "effective_date").alias("posting"))
+
+
+_DIAG = "select o_orderkey, case o_custkey % 6 when 0 then 'accepted' when 1 then 'rejected' when 2 then 'pending' when 3 then 'conflict' when 4 then 'empty' else 'unknown' end as kind, o_orderkey % 2 = 0 as in_control, o_orderkey % 3 = 0 as planned, o_orderkey % 5 = 0 as has_code, o_orderkey % 7 < 2 as not_allocated from "
+
+
+@query("allocation_diagnosis", f"""select o_orderkey, case when kind = 'accepted' then 'allocated' when kind = 'rejected' then 'rejected' when kind = 'pending' and in_control then 'pending_control' when kind = 'pending' then 'pending_external' when kind = 'conflict' then 'conflict'
+  when not_allocated and in_control and has_code then 'pending_control' when not_allocated and in_control then 'not_allocated_control' when (not_allocated or kind = 'empty') and not in_control then case when planned then 'new_planned' else 'new_control' end when in_control then 'pending_control' else 'review' end diagnosis from ({_DIAG} orders)""")
+def _(load):
+    rows = load("orders").selectExpr(*[c.strip() for c in _DIAG[len("select "):-len(" from ")].replace("o_orderkey, case", "o_orderkey|case").replace(" as kind, ", " as kind|").replace("as in_control, ", "as in_control|").replace("as planned, ", "as planned|").replace("as has_code, ", "as has_code|").split("|")])
+    return rows.select("o_orderkey", A.diagnosis(F.col("kind"), F.col("in_control"), F.col("planned"), F.col("has_code"), F.col("not_allocated")).alias("diagnosis"))
+
+
+_LV = ["l1", "l2", "l3"]
+
+
+def _inferred(load):
+    """Path the documents of a work code and class agree on."""
+    ctl = load("control").withColumn("profile", F.regexp_extract("document", r"^[A-Z]+-\d+\.(\d+)", 1))
+    vote = E.profile_evidence_vote(ctl, ["profile"], "document", "path").select("profile", "path", (F.col("verdict") == "conflict").alias("conflict"))
+    docs = load("register").select(text.canon_key("document").alias("document_key")).distinct().withColumn("profile", F.regexp_extract("document_key", r"^[A-Z]+-\d+\.(\d+)", 1))
+    return docs.join(vote, "profile").select("document_key", "path", "conflict")
+
+
+def _analysis(load):
+    planned = load("orders").filter("o_orderkey % 4 = 1").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("n"))
+    known = load("register").select("document").distinct().withColumn("n", F.right("document", F.lit(12)))
+    planned = known.join(planned, "n", "left_semi").select(text.loose_key("document").alias("loose_key"))
+    conf = load("confirmations").withColumn("comment", F.when(F.col("comment") == "N/A", "").otherwise(F.col("comment")))
+    return A.allocation_analyze(load("requests"), load("register"), load("control"), conf, planned, _inferred(load), "AL", _LV), planned
+
+
+_DEC = lambda x: f"coalesce({x} in ('accepted', 'rejected', 'pending'), false)"
+_FILL = lambda *cs: "coalesce(" + ", ".join(f"nullif({d.txt(c)}, '')" for c in cs) + ", '')"
+_HOUT = OUTCOME.replace("status", "h.status").replace("comment", "h.comment")
+ANALYSIS = f"""(with m as (select request_id, count(*) n, min(dk) dk from {_MAX} group by 1),
+  f as (select r.request_id, case when m.n = 1 then 'match' when m.n > 1 then 'ambiguous' else 'missing' end outcome, case when m.n = 1 then m.dk else '' end dk from {_REQ} r left join m on m.request_id = r.request_id),
+  hit as (select dk, min(request_id) request_id from f where outcome = 'match' group by 1), rec as (select * from (select *, row_number() over (partition by document order by row_no desc, source_ts desc) n from {REG}) where n = 1),
+  cf as (select document, max(field not in ('allocation', 'allocation_status')) blocking from {CONFLICTS} where scope = 'technical' group by 1),
+  h as (select * from (select *, row_number() over (partition by {d.loose('document')} order by coalesce({d.yr('allocation')}::bigint * 100000 + {d.seq('allocation')}, row_no) desc, row_no desc) n from {CTL}) where n = 1),
+  ev as (select document, (coalesce({d.yr('allocation')}, 0)::bigint * 100000 + coalesce({d.seq('allocation')}, 0), {d.day('return_date')}, source_modified, source_row) rk, {OUTCOME} oc, allocation, comment from (select * replace (case when comment = 'N/A' then '' else comment end as comment) from {d.v('confirmations')})),
+  ce as (select * from (select *, row_number() over (partition by document order by rk desc) n from ev) where n = 1),
+  bp as (select * from (select *, row_number() over (partition by pk order by votes desc, sig) n from (select {d.path_key('path')} pk, {d.norm('l1')} || '|' || {d.norm('l2')} || '|' || {d.norm('l3')} sig, count(*) votes, min(l1) l1, min(l2) l2, min(l3) l3 from {CTL} where {d.path_key('path')} <> '' group by 1, 2)) where n = 1),
+  pv as (select *, sum(n) over (partition by prof) tot, count(*) over (partition by prof) k, row_number() over (partition by prof order by n desc, p) i from (select regexp_extract(document, '^[A-Z]+-\\d+\\.(\\d+)', 1) prof, {d.path_key('path')} pk, min(path) p, count(distinct document) n from {CTL} where {d.path_key('path')} <> '' group by 1, 2)),
+  o as (select hit.request_id, hit.dk, rec.*, coalesce(cf.blocking, false) blocking, cf.document is not null anyc, h.document is not null ic, h.allocation ha, h.status hs, h.comment hc, h.path hp, h.l1 h1, h.l2 h2, h.l3 h3, {_HOUT} ho, ce.oc co, ce.allocation ca, ce.comment cc, right(rec.document, 12)::bigint % 4 = 1 planned,
+  case when pv.n >= 3 and pv.n * 100 >= pv.tot * 80 then pv.p else '' end ip from hit join rec on {d.key('rec.document')} = hit.dk left join cf on cf.document = rec.document left join h on {d.loose('h.document')} = {d.loose('rec.document')} left join ce on {d.key('ce.document')} = hit.dk
+  left join pv on pv.i = 1 and pv.prof = regexp_extract(hit.dk, '^[A-Z]+-\\d+\\.(\\d+)', 1)),
+  a as (select *, case when {_DEC('co')} then co when ic and {_DEC('ho')} then ho when {d.norm('allocation_status')} = 'NAO ALOCADO' then 'not_allocated' when {d.norm('allocation_status')} = 'ALOCADO' then 'accepted' when {d.norm('allocation_status')} <> '' then 'unknown' else 'empty' end res,
+  case when {_DEC('co')} then 'confirmation' when ic and {_DEC('ho')} then 'control' else 'register' end rsrc, {_FILL('ca', 'ha', 'allocation')} prev, case when {d.path_complete('path')} then 'register' when {d.path_complete("coalesce(hp, '')")} then 'history' when {d.path_complete("coalesce(ip, '')")} then 'inferred' else 'none' end psrc from o),
+  b as (select *, case psrc when 'register' then {d.txt('path')} when 'history' then {d.txt('hp')} when 'inferred' then ip else '' end op, {d.norm('allocation_status')} = 'NAO ALOCADO' na from a),
+  c as (select b.*, bp.pk is not null bpk, bp.l1 p1, bp.l2 p2, bp.l3 p3, case when coalesce(h1, '') <> '' or coalesce(h2, '') <> '' or coalesce(h3, '') <> '' then 'history' when bp.pk is not null then 'path' else 'none' end lsrc,
+  case when res = 'rejected' and rsrc = 'confirmation' and coalesce(cc, '') <> '' then cc else {_FILL('comment', 'cc', 'hc')} end cm from b left join bp on bp.pk = {d.path_key('b.op')} and bp.pk <> '')
+  select request_id, 'match' outcome, dk document_key, case when blocking then 'review' when res = 'accepted' then 'skip' when res in ('rejected', 'not_allocated', 'empty') then 'ready' else 'review' end decision,
+  case when blocking then 'technical_conflict' when res = 'accepted' then 'allocated' when res = 'rejected' then 'rejected' when res = 'pending' then case when ic then 'pending_control' else 'pending_external' end when na and ic then case when prev <> '' then 'pending_control' else 'not_allocated_control' end
+  when na or (res = 'empty' and not ic) then case when planned then 'new_planned' else 'new_control' end when ic then 'pending_control' else 'review' end diagnosis, res resolution, rsrc resolution_source, prev previous_allocation, psrc path_source, op path, lsrc level_source,
+  {', '.join(f"case lsrc when 'history' then coalesce(h{i}, '') when 'path' then p{i} else '' end l{i}" for i in (1, 2, 3))},
+  case when {d.txt('dispatch')} <> '' and cast({d.date('effective_date')} as date) is not null then 'complete' when {d.txt('dispatch')} <> '' or {d.txt('effective_date')} <> '' then 'partial' else 'none' end posting,
+  case when res = 'rejected' and not blocking then 'reallocation after ' || prev || case when cm <> '' then ': ' || cm else '' end else '' end observation,
+  array_to_string(list_filter([case when {d.txt('discipline')} = '' and {d.norm('purpose')} <> 'CONFORME CONSTRUIDO' then 'workflow_empty' end, case when op = '' then 'path_empty' end, case when lsrc = 'none' then 'levels_empty' end, case when psrc = 'inferred' then 'path_inferred' end,
+  case when anyc and not blocking then 'allocation_fields_differ' end], lambda x: x is not null), ',') warnings, case when {d.norm('purpose')} = 'CONFORME CONSTRUIDO' then '' else {d.txt('discipline')} end workflow from c
+  union all select request_id, outcome, '', 'review', case when outcome = 'missing' then 'not_found' else 'ambiguous' end, '', '', '', '', '', '', '', '', '', '', '', '', '' from f where outcome <> 'match')"""
+
+
+@query("allocation_analyze", f"select * from {ANALYSIS}")
+def _(load):
+    return _analysis(load)[0]
+
+
+@query("allocation_rows", f"select document_key document, '2024-02-01' planned_date, workflow, path, observation, l1 n1, l2 n2, l3 n3, '' n4, '' n5, '' n6 from {ANALYSIS} where decision = 'ready'")
+def _(load):
+    return A.allocation_rows(_analysis(load)[0], _LV, "2024-02-01")
+
+
+@query("control_rows", f"""select r.sheet, case when {d.txt('deadline')} <> '' then {d.txt('deadline')} else {d.txt('version')} end deadline_or_version, 'PENDING' status, 'AL-0100-2024' batch, (right(a.document_key, 12)::bigint % 4 = 1)::int planned, a.document_key document,
+  '2024-02-01' planned_date, a.workflow, a.path, a.observation, l1 n1, l2 n2, l3 n3, '' n4, '' n5, '' n6 from {ANALYSIS} a join (select *, row_number() over (partition by document order by row_no desc, source_ts desc) n from {REG}) r on r.n = 1 and {d.key('r.document')} = a.document_key where decision = 'ready'""")
+def _(load):
+    analysis, planned = _analysis(load)
+    return A.control_rows(A.allocation_rows(analysis, _LV, "2024-02-01"), load("register"), planned, "PENDING", "AL-0100-2024")
+
+
+@query("allocation_selection", f"""select document_key, document_key <> '' and diagnosis <> 'technical_conflict' selectable, document_key <> '' and diagnosis <> 'technical_conflict' and decision = 'ready' default_selected,
+  document_key <> '' and diagnosis <> 'technical_conflict' and case when right(document_key, 1) = '3' then true else decision = 'ready' end selected, document_key <> '' and right(document_key, 1) = '3' and not (diagnosis <> 'technical_conflict' and decision = 'ready') manual from {ANALYSIS}""")
+def _(load):
+    choices = load("register").select(text.canon_key("document").alias("document_key")).distinct().filter(F.right("document_key", F.lit(1)) == "3").withColumn("selected", F.lit(True))
+    return A.allocation_selection(_analysis(load)[0], choices)
+
+
+@query("batch_plan", f"""select case when k = '' then '~ no workflow' else l end label, n documents, k = '' blocking, 7 + row_number() over (order by {d.norm("case when k = '' then '~ no workflow' else l end")}) group_no,
+  'AL-' || lpad((7 + row_number() over (order by {d.norm("case when k = '' then '~ no workflow' else l end")}))::varchar, 4, '0') || '-2024' batch_code from (select {d.norm('workflow')} k, min(workflow) l, count(*) n from {ANALYSIS} where decision = 'ready' group by 1)""")
+def _(load):
+    ready = _analysis(load)[0].filter("decision = 'ready'")
+    return A.batch_plan(ready, "workflow", "AL", 8, 2024)

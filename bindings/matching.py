@@ -11,6 +11,7 @@ from . import duck as d
 from .registry import query
 
 DOCS = f"""(select dk, doc, {d.loose('doc')} lk from (select {d.key('document')} dk, max(document) doc from {d.v('register')} group by 1))"""
+DOCS_ALL = f"""(select dk, doc, {d.loose('doc')} lk from (select {d.key('document')} dk, max(document) doc from (select document from {d.v('register')} union all select document from {d.v('history')}) group by 1))"""
 _REQ = f"(select request_id, hint, {d.request_key('raw')} rk from {d.v('requests')})"
 
 

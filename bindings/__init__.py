@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("cleaning", "sources", "filters", "matching", "evidence", "ranking", "jobs", "streams")
+PARTS = ("cleaning", "sources", "filters", "matching", "similar", "evidence", "ranking", "jobs", "streams")
 
 
 def load_all():

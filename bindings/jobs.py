@@ -170,7 +170,7 @@ def _(load):
 
 
 @query("allocation_selection", f"""select document_key, document_key <> '' and diagnosis <> 'technical_conflict' selectable, document_key <> '' and diagnosis <> 'technical_conflict' and decision = 'ready' default_selected,
-  document_key <> '' and diagnosis <> 'technical_conflict' and case when right(document_key, 1) = '3' then true else decision = 'ready' end selected, document_key <> '' and right(document_key, 1) = '3' and not (diagnosis <> 'technical_conflict' and decision = 'ready') manual from {ANALYSIS}""")
+  document_key <> '' and diagnosis <> 'technical_conflict' and case when right(document_key, 1) = '3' then true else decision = 'ready' end selected, document_key <> '' and diagnosis <> 'technical_conflict' and right(document_key, 1) = '3' and decision <> 'ready' manual from {ANALYSIS}""")
 def _(load):
     choices = load("register").select(text.canon_key("document").alias("document_key")).distinct().filter(F.right("document_key", F.lit(1)) == "3").withColumn("selected", F.lit(True))
     return A.allocation_selection(_analysis(load)[0], choices)
@@ -181,3 +181,188 @@ def _(load):
 def _(load):
     ready = _analysis(load)[0].filter("decision = 'ready'")
     return A.batch_plan(ready, "workflow", "AL", 8, 2024)
+
+
+# --- audits -----------------------------------------------------------------
+_PEERS = f"""(with r as (select * from (select *, row_number() over (partition by document order by row_no desc, source_ts desc) n from {REG}) where n = 1),
+  x as (select document, path, split_part(document, '-', 3) fam, discipline, {d.title_kind('title')} kind from r), ok as (select * from x where {d.path_complete('path')}),
+  vb as (select fam || '|' || discipline || '|' || kind k, {d.path_key('path')} pk, min(path) p, count(*) c from ok where discipline <> '' and kind <> '' group by 1, 2), ve as (select fam || '|' || discipline k, {d.path_key('path')} pk, min(path) p, count(*) c from ok where discipline <> '' group by 1, 2),
+  tb as (select * from (select *, sum(c) over (partition by k) tot, lead(c) over (partition by k order by c desc, p) sec, row_number() over (partition by k order by c desc, p) i from vb) where i = 1 and c >= 2 and c * 100 >= tot * 70 and not (sec is not null and c - sec < 2 and c * 100 < tot * 86)),
+  te as (select * from (select *, sum(c) over (partition by k) tot, lead(c) over (partition by k order by c desc, p) sec, row_number() over (partition by k order by c desc, p) i from ve) where i = 1 and c >= 3 and c * 100 >= tot * 82 and not (sec is not null and c - sec < 2 and c * 100 < tot * 86))
+  select x.document, x.path, coalesce(tb.p, te.p, '') pv, case when tb.p is not null then 'B' when te.p is not null then 'E' else '' end ctx from x left join tb on x.kind <> '' and x.discipline <> '' and tb.k = fam || '|' || x.discipline || '|' || kind
+  left join te on x.discipline <> '' and te.k = fam || '|' || x.discipline)"""
+_CTRL = f"""(select document, case when count(distinct {d.path_key('path')}) > 1 then 'conflict' else 'found' end st, min(path) p from {CTL} where path <> '' and row_no % 5 < 2 group by 1)"""
+_MAPD = f"(select document, 'UNIT-D|BOOK C&M|CIVIL|Mapa' p from {REG} where right(document, 2) in ('41', '46') group by 1)"
+_KNOWN = "('UNIT-D|BOOK C&M|MECANICA|INSPECAO', 'UNIT-D|BOOK C&M|CIVIL|PROCEDIMENTO')"
+
+
+def _audit_inputs(load):
+    reg = load("register")
+    rec = latest_by(reg, ["document"], [F.col("row_no"), F.col("source_ts")], ["path", "title", "discipline"])
+    facts = rec.withColumn("fam", F.get(F.split("document", "-"), F.lit(2))).withColumn("kind", codes.title_kind("title")).withColumn("vote_path", F.when(codes.path_complete("path"), F.col("path")).otherwise(""))
+    # votes are counted per path key, so spellings of one path vote together
+    facts = facts.withColumn("vote_path", F.when(F.col("vote_path") == "", "").otherwise(F.regexp_replace("vote_path", r"\s*\|\s*", "|")))
+    peers = E.backoff_vote(facts, "document", [("B", [F.col("fam"), F.col("discipline"), F.col("kind")], 2, 70), ("E", [F.col("fam"), F.col("discipline")], 3, 82)], "vote_path")
+    ctl = load("control").filter("path <> '' and row_no % 5 < 2").groupBy("document").agg(
+        F.when(F.countDistinct(codes.path_key("path")) > 1, "conflict").otherwise("found").alias("path_status"), F.min("path").alias("path"))
+    mapped = reg.filter(F.right("document", F.lit(2)).isin("41", "46")).select("document").distinct().withColumn("path", F.lit("UNIT-D|BOOK C&M|CIVIL|Mapa"))
+    known = rec.sparkSession.createDataFrame([("UNIT-D|BOOK C&M|MECANICA|INSPECAO",), ("UNIT-D|BOOK C&M|CIVIL|PROCEDIMENTO",)], "path_key string")
+    return rec, peers, known, ctl, mapped
+
+
+PATH_AUDIT = f"""(with s as (select p.*, c.st, c.p cp, coalesce(m.p, '') mp, {d.path_complete('p.path')} and {d.norm('p.path')} <> '' full_ from {_PEERS} p left join {_CTRL} c on c.document = p.document left join {_MAPD} m on m.document = p.document),
+  t as (select *, case when not full_ and st = 'found' then 'controlled' when not full_ and st is not null then 'conflict' when pv <> '' and mp <> '' and {d.path_key('pv')} <> {d.path_key('mp')} then 'conflict' when mp <> '' then 'catalog' when pv <> '' then 'peers' else 'none' end src from s),
+  u as (select *, case src when 'controlled' then cp when 'catalog' then mp when 'peers' then pv else '' end sug from t),
+  v as (select *, case when not full_ then 'missing' when {d.path_key('path')} in {_KNOWN} or (sug <> '' and {d.path_key('sug')} = {d.path_key('path')}) then 'ok' when sug <> '' then 'divergent' else 'unconfirmed' end issue from u)
+  select document, issue, case when issue = 'ok' then 'ok' when issue = 'missing' and src = 'controlled' then 'confirmed_error' when issue = 'missing' and sug <> '' then 'suggestion' else 'insufficient' end classification,
+  case when issue = 'missing' then sug else '' end proposed, case when issue = 'ok' and {d.path_key('path')} in {_KNOWN} then 'high' when issue in ('divergent', 'unconfirmed') or sug = '' then 'none' when src = 'controlled' then 'high' when src = 'peers' then case ctx when 'E' then 'low' else 'medium' end else 'medium' end confidence,
+  src source, case when src = 'controlled' then 'approved' else 'pending' end decision from v)"""
+
+
+def _path_audit(load):
+    rec, peers, known, ctl, mapped = _audit_inputs(load)
+    return U.path_audit(rec.select("document", "path"), "document", peers, known, ctl, mapped)
+
+
+@query("path_audit", f"select document, issue, classification, case when proposed <> '' then {d.path_key('proposed')} else '' end proposed_key, confidence, source, decision from {PATH_AUDIT}")
+def _(load):
+    out = _path_audit(load)
+    return out.select("document", "issue", "classification", F.when(F.col("proposed") != "", codes.path_key("proposed")).otherwise("").alias("proposed_key"), "confidence", "source", "decision")
+
+
+_STD = {"RL": "Relatório de inspeção", "PR": "Procedimento"}
+
+
+def _title_audit(load):
+    reg = load("register")
+    rec = latest_by(reg, ["document"], [F.col("row_no"), F.col("source_ts")], ["title", "discipline", "document_type"])
+    num = F.right("document", F.lit(12)).cast("bigint")
+    tag = F.when(num % 3 == 0, F.concat(F.lit("M-"), F.lpad((num % 5000).cast("string"), 6, "0"))).otherwise("")
+    tags = load("tag_list").withColumn("tag_key", text.canonical_tag("tag"))
+    desc = tags.select("tag_key", F.when(F.col("cancelled") == 1, 9).otherwise(1).alias("priority"), "description", (F.col("cancelled") == 0).alias("trusted"), (F.col("size_no") % 11 == 0).alias("manual_review"))
+    desc = desc.groupBy("tag_key", "priority").agg(F.min(F.struct("description", "trusted", "manual_review")).alias("d")).select("tag_key", "priority", "d.*")
+    conflicts = E.conflict_detect(reg, None).filter("field = 'title'")
+    return U.title_audit(rec, "document", _STD, desc, tag, F.col("document_type"), conflicts)
+
+
+@query("title_audit")
+def _(load):
+    return _title_audit(load)
+
+
+@query("title_audit_issues")
+def _(load):
+    return _title_audit(load).groupBy("issue", "classification", "confidence").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+_TCLEAN = f"regexp_replace(regexp_replace(string_split({d.txt('tag')}, '/')[-1], '^[^A-Za-z0-9]+', ''), '[^A-Za-z0-9._~/\\-]+$', '')"
+_RF = f"(select {d.ptag('tag')} n, {d.rx(d.ptag('tag'), '[^A-Z0-9]')} c, tag t from {d.v('tag_list')})"
+
+
+@query("tag_conference", f"""with r as (select request_id, c clean_code from (select request_id, {_TCLEAN} c, row_number() over (partition by {d.norm(_TCLEAN)} order by request_id, {_TCLEAN}) n from {d.v('tag_requests')}) where n = 1 and {d.norm('c')} <> ''),
+  a as (select n, count(*) h, min(t) t from {_RF} group by 1), b as (select c, count(*) h, min(t) t from {_RF} where c <> '' group by 1),
+  x as (select r.*, regexp_replace(clean_code, '(?i)^nt[-_]', '') cand, regexp_matches(clean_code, '(?i)^nt[-_]') marked, length(clean_code) between 4 and 120 and regexp_matches({d.ptag('clean_code')}, '[A-Z]') and regexp_matches({d.ptag('clean_code')}, '[0-9]') and regexp_matches(clean_code, '[-_./]') and regexp_full_match(clean_code, '(?i)[A-Z0-9._~/\-]+') valid from r),
+  y as (select x.*, case when a.n is not null then 'contract' when b.c is not null then 'punctuation' else 'none' end mt, coalesce(a.h, b.h, 0) h, coalesce(a.t, b.t, '') t from x left join a on a.n = {d.ptag('x.cand')} left join b on b.c = {d.rx(d.ptag('x.cand'), '[^A-Z0-9]')}),
+  z as (select *, case when not valid or h > 1 then 'review' when h = 1 and marked then 'remove_marker' when h = 1 then 'confirmed' when marked then 'non_tagged' else 'add_marker' end status from y)
+  select request_id, clean_code, status, case when status in ('remove_marker', 'confirmed') then {d.ptag('t')} when status = 'non_tagged' then case when clean_code like 'nt-%' then clean_code else 'nt-' || cand end when status = 'add_marker' then 'nt-' || cand else clean_code end corrected_code,
+  case when valid then mt else 'none' end match_type, status = 'confirmed' and clean_code <> {d.ptag('t')} respelled from z""".replace("\\\\-", "\\-"))
+def _(load):
+    return X.tag_conference(load("tag_requests"), "request_id", "tag", load("tag_list"), "tag")
+
+
+_RC = "case issue " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in X.REASONS.items()) + " else 'warning' end"
+
+
+@query("reason_enrich", f"""select 'DATABOOK_' || upper(issue) reason_code, {_RC} severity, count(*) row_count from {PATH_AUDIT} group by 1, 2""")
+def _(load):
+    out = X.reason_enrich(_path_audit(load), F.lit("databook"), "issue")
+    return out.groupBy("reason_code", "severity").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+_MK = f"case when {d.txt('tag')} <> '' and {d.txt('discipline')} <> '' then 'TAG::' || {d.norm('discipline')} || '::' || {d.norm('tag')} else 'DOC::' || {d.key('document')} end"
+_ED = f"select document, discipline, case when row_no % 4 = 0 then '' else concat('T', cast(row_no % 500 as string)) end as tag, title, case when row_no % 3 = 0 then title else 'auto' end as auto_title, row_no as edited_at, source_ts, '' as proposed, title as current, case when row_no % 5 = 0 then 'ok' else 'generic' end as issue from {REG}"
+
+
+def _edits(load):
+    return load("register").selectExpr("document", "discipline", "case when row_no % 4 = 0 then '' else concat('T', cast(row_no % 500 as string)) end as tag", "title", "case when row_no % 3 = 0 then title else 'auto' end as auto_title",
+                                       "row_no as edited_at", "row_no", "source_ts", "'' as proposed", "title as current", "case when row_no % 5 = 0 then 'ok' else 'generic' end as issue")
+
+
+_MEM = f"(select * from (select {_MK} mk, title lt, row_number() over (partition by {_MK} order by edited_at desc, title desc) n from ({_ED}) where {d.txt('title')} <> '' and {d.norm('title')} <> {d.norm('auto_title')}) where n = 1)"
+
+
+@query("learned_corrections", f"""select edited_at, source_ts, case when issue <> 'ok' and lt is not null and {d.norm('current')} <> {d.norm('lt')} then {d.norm('lt')} else '' end proposed, coalesce(issue <> 'ok' and lt is not null and {d.norm('current')} <> {d.norm('lt')}, false) learned
+  from ({_ED}) e left join {_MEM} m on m.mk = {_MK.replace("document", "e.document").replace("'tag'", "'tag'")}""")
+def _(load):
+    edits = _edits(load)
+    return X.apply_learned(edits, X.learned_corrections(edits, "edited_at")).select("edited_at", "source_ts", "proposed", "learned")
+
+
+@query("pending_queue", f"""select module, risk, approvable, count(*) row_count from (select 'databook' module, case when classification = 'confirmed_error' then 'error' when proposed <> '' then 'suggestion' else 'warning' end risk, proposed <> '' approvable from {PATH_AUDIT} where issue <> 'ok'
+  union all select 'relations', 'error', false from {RELATION} where conflict) group by 1, 2, 3""")
+def _(load):
+    paths = _path_audit(load).withColumn("confirmed", F.col("classification") == "confirmed_error").withColumn("conflict", F.lit(False))
+    rel = relations.relation_rows(load("register"), load("history")).select(
+        "document", F.when(F.col("conflict"), "conflict").otherwise("ok").alias("issue"), F.lit("").alias("proposed"), F.lit(False).alias("confirmed"), "conflict")
+    out = X.pending_queue({"databook": paths, "relations": rel})
+    return out.groupBy("module", "risk", "approvable").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+_AP = "select o_orderkey, case when o_orderkey % 9 = 0 then 'stale' else o_orderpriority end as current, case when o_orderkey % 7 = 0 then '' when o_orderkey % 11 = 0 then o_orderpriority else concat('NEW ', o_orderpriority) end as proposed from {orders} where o_orderkey % 2 = 0 union all select o_orderkey, o_orderpriority, 'TWICE' from {orders} where o_orderkey % 50 = 0 union all select -o_orderkey - 1, '', 'LOST' from {orders} where o_orderkey % 500 = 0"
+_PLAN = f"""(select a.o_orderkey, 'o_orderpriority' field, {d.txt('a.current')} old_value, {d.txt('a.proposed')} new_value, case when o.o_orderkey is null then 'row_missing' when a.proposed = '' then 'value_missing' when count(*) over (partition by a.o_orderkey) > 1 then 'duplicate_cell'
+  when a.current <> '' and o.o_orderpriority <> a.current then 'changed_since' when o.o_orderpriority = a.proposed then 'already_done' else '' end refused from ({_AP.replace('{orders}', 'orders')}) a left join orders o on o.o_orderkey = a.o_orderkey)"""
+
+
+def _plan(load):
+    orders = load("orders")
+    return X.change_set_plan(orders.sparkSession.sql(_AP, orders=orders), orders, ["o_orderkey"], "o_orderpriority")
+
+
+@query("change_set_plan", f"select * from {_PLAN}")
+def _(load):
+    return _plan(load)
+
+
+@query("change_set_apply", f"select o.o_orderkey, o.o_orderstatus, coalesce(p.new_value, o.o_orderpriority) o_orderpriority from orders o left join {_PLAN} p on p.o_orderkey = o.o_orderkey and p.refused = ''")
+def _(load):
+    return X.change_set_apply(load("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), _plan(load), ["o_orderkey"], "o_orderpriority")
+
+
+_RN = "select o_orderkey, concat('scan ', cast(o_orderkey as string), case when o_orderkey % 13 = 0 then '.docx' when o_orderkey % 17 = 0 then '' else '.PDF' end) as name, case when o_orderkey % 10 = 0 then '' when o_orderkey % 21 = 0 then 'CON' else concat('N:', cast(o_custkey % 4000 as string)) end as certificate, o_custkey as seq, case when o_orderkey % 4 = 0 then 'review' else 'high' end as confidence from {orders}"
+
+
+@query("rename_plan", f"""with s as (select *, replace(trim(regexp_replace(certificate, '[<>:"/\\\\|?*]', '-', 'g')) || case when o_orderkey % 13 = 0 then '.docx' when o_orderkey % 17 = 0 then '.pdf' else '.pdf' end, '  ', ' ') final_name from ({_RN.replace('{orders}', 'orders')})),
+  t as (select *, count(*) over (partition by upper(final_name)) u, regexp_replace(final_name, '\\.[^.]+$', '') b from s),
+  v as (select *, case when b = '' then 'empty' when final_name not like '%.pdf' then 'extension' when upper(b) = 'CON' then 'reserved' when u > 1 then 'duplicate' when certificate = '' then 'identifier_missing' when confidence = 'review' then 'identifier_review' else 'ready' end code from t)
+  select o_orderkey, final_name, code, case when code = 'ready' then 'ready' when code = 'identifier_review' then 'review' else 'blocked' end status from v""")
+def _(load):
+    orders = load("orders")
+    out = X.rename_plan(orders.sparkSession.sql(_RN, orders=orders), "name", "certificate", "seq", "confidence", "{certificate}")
+    return out.select("o_orderkey", "final_name", "code", "status")
+
+
+@query("output_reconcile", """select 'inputs_not_accounted' issue, count(*) n from customer where c_custkey not in (select o_custkey from orders) union all select 'targets_missing', count(*) from orders where o_orderkey % 9 = 0 union all
+  select 'targets_duplicated', count(*) from (select o_custkey || '.pdf' from orders where o_orderkey % 9 <> 0 group by 1 having count(*) > 1)""")
+def _(load):
+    outputs = load("orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".pdf"))).alias("target"))
+    return X.output_reconcile(load("customer").select("c_custkey"), outputs, "c_custkey", "target")
+
+
+@query("daily_comparison", """select cast(day as varchar) as day, cast(sum(ready) as bigint) ready, cast(sum(failed) as bigint) failed, cast(sum(orders) as bigint) orders, cast(sum(urgent) as bigint) urgent from (
+  select cast(ts as date) as day, count(*) filter (where event_type = 'view') ready, count(*) filter (where event_type = 'error') failed, 0 orders, 0 urgent from events group by 1 union all
+  select cast(o_orderdate as date) + 9000 - 7500, 0, 0, count(*), count(*) filter (where o_orderpriority = '1-URGENT') from orders group by 1) where day between date '2001-06-01' and date '2024-01-20' group by 1""")
+def _(load):
+    orders = load("orders").withColumn("at", F.date_add(F.col("o_orderdate").cast("date"), 1500))
+    count = F.lit(True)
+    return X.daily_comparison({"events": (load("events"), "ts", {"ready": F.col("event_type") == "view", "failed": F.col("event_type") == "error"}),
+                               "orders": (orders, "at", {"orders": count, "urgent": F.col("o_orderpriority") == "1-URGENT"})}, "2001-06-01", "2024-01-20")
+
+
+@query("activity_summary", "select event_type as module, count(*) runs from events group by 1")
+def _(load):
+    return X.activity_summary(load("events"), "event_type", "ts", "event_id")[0]
+
+
+@query("activity_recent", "select event_id, event_type, user_id from events order by ts desc, event_id desc limit 50")
+def _(load):
+    return X.activity_summary(load("events"), "event_type", "ts", "event_id")[1].select("event_id", "event_type", "user_id")

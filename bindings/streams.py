@@ -1 +1,68 @@
-"""Queries of this part."""
+"""Streaming twins, driven to their end over the given tables.
+
+The result of a drained query is read back from a Parquet sink in the shared folder, like any table.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from docweave.session import shared_folder
+from docweave.sources.streams import parquet_stream
+from docweave.streaming import twins as T
+
+from . import duck as d, registry
+from .registry import query
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return parquet_stream(spark, sf_dir, schema, pattern=f"{table}.parquet")
+
+
+def _drain(writer, folder: str) -> None:
+    job = writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    job.awaitTermination()
+
+
+def _register(name: str, oracle: str):
+    def wrap(fn):
+        registry.QUERIES[name] = fn
+        registry.ORACLES[name] = oracle
+        return fn
+
+    return wrap
+
+
+@_register("stream_latest_record", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) n from events) where n = 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    read, write = T.parquet_state(spark, folder)
+    _drain(T.stream_latest_record(_stream(spark, sf_dir, "events"), "user_id", ["event_id"], ["event_type"], read, write), folder)
+    return read().select("user_id", "event_id", "event_type")
+
+
+@_register("stream_daily_comparison", """select cast(cast(ts as date) as varchar) as day, count(*) filter (where event_type = 'view') ready, count(*) filter (where event_type = 'error') failed from events group by 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    counts = {"ready": F.col("event_type") == "view", "failed": F.col("event_type") == "error"}
+    per_day = T.stream_daily_comparison(_stream(spark, sf_dir, "events"), "ts", counts)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    _drain(per_day.writeStream.outputMode("update").foreachBatch(keep), folder)
+    # a later batch replaces the counts of a day
+    out = spark.read.parquet(f"{folder}/out")
+    return out.groupBy("day").agg(F.max(F.struct("batch", "ready", "failed")).alias("m")).select("day", "m.ready", "m.failed")
+
+
+@_register("stream_dedupe_requests", f"select distinct {d.request_key('props || user_id')} request_key from events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    rows = _stream(spark, sf_dir, "events").withColumn("raw", F.concat("props", F.col("user_id").cast("string")))
+    first = T.stream_dedupe_requests(rows, "raw", "ts", delay="3650 days")
+    _drain(first.select("request_key").writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out")

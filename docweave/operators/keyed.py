@@ -47,7 +47,7 @@ def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left")
     split at run time. Facts small enough are broadcast by Spark after it has seen their size.
     """
     tag = F.xxhash64(*[F.col(k) for k in keys])
-    return df.withColumn("_tag", tag).join(facts.withColumn("_tag", tag), keys + ["_tag"], how).drop("_tag")
+    return df.withColumn("_key_hash", tag).join(facts.withColumn("_key_hash", tag), keys + ["_key_hash"], how).drop("_key_hash")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

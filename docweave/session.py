@@ -27,22 +27,26 @@ def local_session(app: str = "docweave", cpus: int | str = 8, shuffle_partitions
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from the session. Only a local session without one (a test) gets a folder of
-    its own; on a cluster a missing setting is an error, because a machine-local folder is lost with
-    its machine.
+    Only a local session without one (a test) gets a folder of its own; on a cluster a missing setting
+    is an error, because a machine-local folder is lost with its machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="docweave-shared-")
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get(CHECKPOINT_KEY, None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="docweave-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

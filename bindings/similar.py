@@ -98,3 +98,39 @@ _AW = lambda x: f"list_filter({d.toks(x)}, lambda t: t not in ('RELATORIO', 'DE'
 def _(load):
     orders, part = load("orders"), load("part")
     return S.stem_context_match(orders.sparkSession.sql(_SREQ, orders=orders), "o_orderkey", part.sparkSession.sql(_SCAT, part=part))
+
+
+def family_inputs(load):
+    """Documents with family, kind, subjects and words, and the paths they were given before."""
+    from docweave.functions import codes
+    from docweave.operators.keyed import latest_by
+
+    rec = latest_by(load("register"), ["document"], [F.col("row_no"), F.col("source_ts")], ["title", "discipline"])
+    records = rec.select(
+        "document", F.regexp_extract("document", r"^([A-Z]+-\d+\.\d+\.\d+-[A-Z]+)-", 1).alias("family"), codes.title_kind("title").alias("kind"),
+        codes.subjects(F.col("title")).alias("subjects"), text.title_tokens("title").alias("tokens"), "discipline", codes.sequence_tail("document").alias("seq"),
+    )
+    return records, load("control").select("document", "path")
+
+
+FAMILY = f"""(with rec as (select * from (select *, row_number() over (partition by document order by row_no desc, source_ts desc) n from {d.v('register')}) where n = 1),
+  r as (select document, regexp_extract(document, '^([A-Z]+-\\d+\\.\\d+\\.\\d+-[A-Z]+)-', 1) family, {d.title_kind('title')} kind, case when regexp_matches({d.norm('title')}, '\\bPAINEL\\b') then case when regexp_matches({d.norm('title')}, '\\bMOTORES?\\b') then ['MOTOR', 'PAINEL'] else ['PAINEL'] end
+    when regexp_matches({d.norm('title')}, '\\bMOTORES?\\b') then ['MOTOR'] when regexp_matches({d.norm('title')}, '\\bINSTRUMENTACAO\\b') then ['INSTRUMENTO'] else [] end subj, {_SORTED('title')} tok, {d.norm('discipline')} disc, right(document, 12)::bigint seq from rec),
+  e as (select document, {d.path_key('path')} pk, min({d.txt('path')}) path from {d.v('control')} where {d.path_complete('path')} group by 1, 2), c as (select r.*, e.pk, e.path from e join r on r.document = e.document),
+  p as (select t.document, t.kind, t.subj, c.pk, c.path, c.document cd, t.kind <> '' and t.kind = c.kind km, len(list_intersect(t.subj, c.subj)) > 0 sm, case when len(t.tok) > 0 and len(c.tok) > 0 then len(list_intersect(t.tok, c.tok)) / greatest(len(t.tok), len(c.tok)) else 0 end sim,
+    t.disc <> '' and t.disc = c.disc dm, abs(t.seq - c.seq) gap from r t join c on c.family = t.family and c.document <> t.document where not (t.kind <> '' and c.kind <> '' and t.kind <> c.kind)),
+  q as (select *, 50 + case when km then 35 else 0 end + case when sm then 38 else 0 end + floor(sim * 30 + 0.5) + case when dm then 10 else 0 end + 18 + greatest(0, 10 - least(10, gap)) score from p where (len(subj) = 0 or sm) and (km or sim >= 0.32)),
+  g as (select document, any_value(kind) kind, any_value(subj) subj, pk, min(path) path, count(distinct cd) n, count(*) filter (where km) kn, max(score) mx from q group by document, pk),
+  t as (select *, sum(n) over (partition by document) total, count(*) over (partition by document) paths, row_number() over (partition by document order by n desc, kn desc, pk desc) i from g),
+  v as (select *, case when len(subj) = 0 and paths > 1 and n * 100 < total * 90 then 'conflict' when (n >= 2 and n * 100 >= total * 60 and (kind = '' or kn >= ceil(n * 60 / 100))) or (n = 1 and paths = 1 and mx >= 118) then 'accepted' when paths > 1 then 'conflict' else 'none' end verdict from t where i = 1)
+  select r.document, coalesce(verdict, 'none') verdict, case when verdict = 'accepted' then path else '' end path, coalesce(n, 0) support, cast(coalesce(total, 0) as bigint) total from r left join v on v.document = r.document)"""
+
+
+@query("family_evidence_vote", f"select document, verdict, case when path <> '' then {d.path_key('path')} else '' end path_key, support, total from {FAMILY}")
+def _(load):
+    from docweave.functions import codes
+    from docweave.operators.evidence import family_evidence_vote
+
+    records, evidence = family_inputs(load)
+    out = family_evidence_vote(records, evidence, "document")
+    return out.select("document", "verdict", F.when(F.col("path") != "", codes.path_key("path")).otherwise("").alias("path_key"), "support", "total")

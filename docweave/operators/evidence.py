@@ -343,3 +343,79 @@ def samples_per_group(df: DataFrame, keys: list[str], value: str, order: str, k:
     """First k distinct values per key in input order."""
     first = df.filter(text.norm(value) != "").groupBy(*keys, text.norm(value).alias("_n")).agg(F.min(F.struct(order, value)).alias("f"))
     return top_k_by(first.select(*keys, "f.*"), keys, [F.col(order), F.col(value)], k, "sample_no")
+
+
+def family_evidence_vote(records: DataFrame, evidence: DataFrame, key: str, source: str = "history") -> DataFrame:
+    """Path the documents of the same family support: accepted, conflict or none per document.
+
+    ``records`` has one row per document: key, family, kind, subjects (array), tokens (array), discipline,
+    seq. ``evidence`` has key and path. A candidate counts when its path is complete, the kinds are equal
+    or one is unknown, the subjects meet where the target has any, and kind or a third of the words match.
+
+    Documents of one family are never paired. Supporters are counted per (family, kind, subjects, path),
+    and where words decide per distinct word set, so equal documents are one row; a document's own vote is
+    taken off again. Order among equally supported paths never changes the verdict, because such paths
+    cannot reach the share, so totals are only formed for a single supporting document.
+    """
+    from .similarity import SIG, token_similarity_join
+
+    join = lambda c: F.array_join(F.array_sort(c), SIG)
+    r = records.select(key, "family", F.coalesce("kind", F.lit("")).alias("kind"), join("subjects").alias("subj"), F.array_sort(F.array_distinct("tokens")).alias("tok"),
+                       text.norm("discipline").alias("disc"), "seq").withColumn("sig", F.array_join("tok", SIG)).filter("family <> ''")
+    ev = evidence.filter(codes.path_complete("path")).groupBy(key, codes.path_key("path").alias("pk")).agg(F.min(text.text("path")).alias("path"))
+    c = ev.join(r, key)
+    facts = [F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("path").alias("path")]
+    split = lambda c_: F.filter(F.split(c_, SIG), lambda s: s != "")
+    meets = (F.col("subj") == "") | F.arrays_overlap(split(F.col("subj")), split(F.col("c_subj")))
+    # candidates of the same known kind
+    same = c.filter("kind <> ''").groupBy("family", "kind", F.col("subj").alias("c_subj"), "pk").agg(*facts)
+    profiles = r.select("family", "kind", "subj", "sig", "tok").distinct()
+    wide = profiles.filter("kind <> ''").select("family", "kind", "subj").distinct().join(same, ["family", "kind"]).filter(meets)
+    wide = wide.groupBy("family", "kind", "subj", "pk").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("path").alias("path"))
+    part1 = profiles.filter("kind <> ''").join(wide, ["family", "kind", "subj"]).select("family", "kind", "subj", "sig", "pk", "n", "lo", "hi", "path", F.col("n").alias("kn"))
+    # one side of unknown kind: the words decide
+    by_sig = c.groupBy("family", F.col("kind").alias("c_kind"), F.col("subj").alias("c_subj"), F.col("sig").alias("c_sig"), "pk").agg(*facts)
+    near = token_similarity_join(profiles.select(F.col("tok").alias("t0")), c.select(F.col("tok").alias("t0")), "t0", 32)
+    near = near.select(F.col("left_sig").alias("sig"), F.col("right_sig").alias("c_sig"))
+    part2 = profiles.drop("tok").join(near, "sig").join(by_sig, ["family", "c_sig"]).filter(meets & ((F.col("kind") == "") | (F.col("c_kind") == "")))
+    part2 = part2.select("family", "kind", "subj", "sig", "pk", "n", "lo", "hi", "path", F.lit(0).cast("bigint").alias("kn"))
+    who = ["family", "kind", "subj", "sig"]
+    support = part1.unionByName(part2).groupBy(*who, "pk").agg(
+        F.sum("n").alias("n"), F.sum("kn").alias("kn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("path").alias("path")
+    )
+    # targets with the same profile and the same own paths share one verdict
+    own = ev.groupBy(key).agg(join(F.collect_set("pk")).alias("own"))
+    t = r.join(own, key, "left").withColumn("own", F.coalesce("own", F.lit("")))
+    counts_itself = (F.col("kind") != "") | (F.col("sig") != "")
+    t = t.withColumn("own", F.when(counts_itself, F.col("own")).otherwise(F.lit("")))
+    groups = t.select(*who, "own").distinct()
+    mine = F.array_contains(split(F.col("own")), F.col("pk")).cast("int")
+    g = groups.join(support, who).withColumn("m", F.col("n") - mine).withColumn("km", F.col("kn") - F.when(F.col("kind") != "", mine).otherwise(F.lit(0))).filter("m > 0")
+    total = g.groupBy(*who, "own").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("paths"), F.max(F.struct("m", "km", "pk", "path", "lo", "hi")).alias("top"))
+    out = attach(t, total, [*who, "own"])
+    n, all_ = F.col("top.m"), F.col("total")
+    need = lambda pct: F.ceil(n * pct / 100)
+    kinds_ok = lambda pct: (F.col("kind") == "") | (F.col("top.km") >= need(pct))
+    blurred = (F.col("subj") == "") & (F.col("paths") > 1) & (n * 100 < all_ * (90 if source == "history" else 93))
+    if source == "history":
+        strong = (n >= 2) & (n * 100 >= all_ * 60) & kinds_ok(60)
+    else:
+        strong = (n >= 2) & (n * 100 >= all_ * 72) & kinds_ok(70)
+    # a single supporter: its score decides, and it is the one of the two bounds that is not the target
+    out = out.withColumn("_one", F.when(F.col("top.lo") == F.col(key), F.col("top.hi")).otherwise(F.col("top.lo")))
+    other = r.select(F.col(key).alias("_one"), F.col("kind").alias("o_kind"), F.col("subj").alias("o_subj"), F.col("tok").alias("o_tok"), F.col("disc").alias("o_disc"), F.col("seq").alias("o_seq"))
+    lone = (n == 1) & (F.col("paths") == 1)
+    out = out.withColumn("_one", F.when(lone, F.col("_one"))).join(other, "_one", "left")
+    gap = F.abs(F.col("seq") - F.col("o_seq"))
+    score = (
+        F.lit(50) + F.when((F.col("kind") != "") & (F.col("kind") == F.col("o_kind")), 35).otherwise(0)
+        + F.when(F.arrays_overlap(split(F.col("subj")), split(F.col("o_subj"))), 38).otherwise(0) + text.half_up(text.set_similarity(F.col("tok"), F.col("o_tok")) * 30)
+        + F.when((F.col("disc") != "") & (F.col("disc") == F.col("o_disc")), 10).otherwise(0) + F.lit(18 if source == "history" else 4)
+        + F.coalesce(F.greatest(F.lit(0), 10 - F.least(F.lit(10), gap)), F.lit(0))
+    )
+    if source == "history":
+        strong = strong | (lone & (score >= 118))
+    strong = F.coalesce(strong, F.lit(False))
+    verdict = F.when(F.col("total").isNull(), "none").when(blurred, "conflict").when(strong, "accepted").when(F.col("paths") > 1, "conflict").otherwise("none")
+    return out.select(key, verdict.alias("verdict"), F.when(verdict == "accepted", F.col("top.path")).otherwise(F.lit("")).alias("path"),
+                      F.coalesce("top.m", F.lit(0)).alias("support"), F.coalesce("total", F.lit(0)).alias("total"))

@@ -65,9 +65,9 @@ def record_choice(rows: DataFrame, key: str, hint: str | None, cols: list[str])
     staged = rows.withColumn("_status", F.when(posted != "", posted).otherwise(text.text("status")))
     exact = {"dispatch", "effective_date", "path"}
     parts = [revision.normal_revision(c) if c == "revision" else text.text(c) if c in exact else text.norm(c) for c in SIGNATURE]
-    staged = staged.withColumn("_sig", F.xxhash64(*parts)).withColumn("_sheet", text.norm("sheet"))
+    staged = staged.withColumn("_sig", F.xxhash64(*parts)).withColumn("_name", text.norm("sheet"))
     hinted = text.norm(hint) if hint else F.lit("")
-    staged = staged.withColumn("_hint", hinted).withColumn("_use", (F.col("_hint") == "") | (F.col("_sheet") == F.col("_hint")))
+    staged = staged.withColumn("_hint", hinted).withColumn("_use", (F.col("_hint") == "") | (F.col("_name") == F.col("_hint"))).withColumn("_sheet", F.xxhash64("_name"))
     use = F.col("_use")
     pick = lambda c: F.when(use, F.col(c))
     order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_revision())])
@@ -144,8 +144,8 @@ def enumerate_rows(df: DataFrame, order: list[Column], name: str, first: int = 1
     """Number rows of a whole table in order without bringing them into one task.
 
     Rows are range-partitioned and sorted; each partition is counted, and the counts of the partitions
-    before it are added to the position inside. The sorted rows are checkpointed so that positions and
-    counts come from the same partitions even when an executor is lost in between.
+    before it are added to the position inside. The sorted rows are written to the shared folder first, so
+    that positions and counts come from the same rows even when an executor is lost in between.
     """
     tagged = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
     fixed = cut_lineage(tagged)

@@ -13,11 +13,6 @@ PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYY"
 # Every character the source rules count as blank (Java's \s knows fewer).
 BLANKS = "\t\n\u000b\f\r    -     　﻿"
 WS = f"[{BLANKS}]"
-# The same blanks one by one, and the combining marks that decomposed letters carry.
-OTHER_BLANKS = "\t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-MARKS = "".join(map(chr, range(0x300, 0x370)))
-TABLE_FROM = ACCENTED + "–—" + OTHER_BLANKS + MARKS
-TABLE_TO = PLAIN + "--" + " " * len(OTHER_BLANKS)
 # Tokens that never carry meaning in a title.
 STOP_WORDS = (
     "A AS AO AOS COM DA DAS DE DO DOS E EM NA NAS NO NOS O OS PARA POR UM UMA C"
@@ -41,10 +36,13 @@ def text(c: Column | str) -> Column:
 def norm(c: Column | str) -> Column:
     """Upper case without accents, long dashes as '-', blanks squeezed.
 
-    One character table does all replacements and drops combining marks, which have no counterpart.
+    Plain ASCII values, most keys and codes, skip the accent table and the rarer blanks.
     """
-    value = F.translate(F.upper(F.coalesce(col(c).cast("string"), F.lit(""))), TABLE_FROM, TABLE_TO)
-    return F.trim(F.regexp_replace(value, " {2,}", " "))
+    upper = F.upper(F.coalesce(col(c).cast("string"), F.lit("")))
+    folded = F.regexp_replace(F.translate(upper, ACCENTED + "–—", PLAIN + "--"), "[\u0300-\u036f]", "")
+    folded = F.regexp_replace(folded, WS, " ")
+    value = F.when(upper.rlike("[^\\x00-\\x7F]"), folded).otherwise(upper)
+    return F.trim(F.regexp_replace(value, r"[\t\n\x0B\f\r ]{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def canon_key(c: Column | str) -> Column:

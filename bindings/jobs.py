@@ -265,7 +265,7 @@ _RF = f"(select {d.ptag('tag')} n, {d.rx(d.ptag('tag'), '[^A-Z0-9]')} c, tag t f
   y as (select x.*, case when a.n is not null then 'contract' when b.c is not null then 'punctuation' else 'none' end mt, coalesce(a.h, b.h, 0) h, coalesce(a.t, b.t, '') t from x left join a on a.n = {d.ptag('x.cand')} left join b on b.c = {d.rx(d.ptag('x.cand'), '[^A-Z0-9]')}),
   z as (select *, case when not valid or h > 1 then 'review' when h = 1 and marked then 'remove_marker' when h = 1 then 'confirmed' when marked then 'non_tagged' else 'add_marker' end status from y)
   select request_id, clean_code, status, case when status in ('remove_marker', 'confirmed') then {d.ptag('t')} when status = 'non_tagged' then case when clean_code like 'nt-%' then clean_code else 'nt-' || cand end when status = 'add_marker' then 'nt-' || cand else clean_code end corrected_code,
-  case when valid then mt else 'none' end match_type, status = 'confirmed' and clean_code <> {d.ptag('t')} respelled from z""".replace("\\\\-", "\\-"))
+  case when valid then mt else 'none' end match_type, status = 'confirmed' and clean_code <> {d.ptag('t')} respelled from z""")
 def _(load):
     return X.tag_conference(load("tag_requests"), "request_id", "tag", load("tag_list"), "tag")
 

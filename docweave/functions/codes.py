@@ -77,7 +77,7 @@ def path_key(c: Column | str, typos: dict[str, str] | None = None) -> Column:
     value = norm(c)
     for wrong, right in (PATH_TYPOS if typos is None else typos).items():
         value = F.replace(value, F.lit(wrong), F.lit(right))
-    return F.regexp_replace(value, r" ?\| ?", "|")
+    return F.replace(F.replace(value, F.lit(" |"), F.lit("|")), F.lit("| "), F.lit("|"))
 
 
 def path_levels(c: Column | str) -> Column:

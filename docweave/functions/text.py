@@ -47,7 +47,8 @@ def norm(c: Column | str) -> Column:
 
 def canon_key(c: Column | str) -> Column:
     """``norm`` without blanks around the separators ``_ . -``."""
-    return F.regexp_replace(norm(c), r" ?([_.\-]) ?", "$1")
+    before = F.regexp_replace(norm(c), r" ([_.\-])", "$1")
+    return F.regexp_replace(before, r"([_.\-]) ", "$1")
 
 
 def loose_key(c: Column | str) -> Column:

@@ -65,3 +65,14 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if raw is None or at[-1] == at[0]:
         return np.zeros(0, dtype=np.uint8), at - at[0]
     return np.frombuffer(raw, dtype=np.uint8)[at[0]: at[-1]], at - at[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not use."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and, where SQL can express them, ORACLES.
-PARTS: tuple[str, ...] = ("token_counts", "token_files", "simhash")
+PARTS: tuple[str, ...] = ("token_counts", "token_files", "simhash", "secrets")
 
 
 def load_all() -> tuple[dict, dict]:

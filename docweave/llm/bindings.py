@@ -15,4 +15,8 @@ def load_all() -> tuple[dict, dict]:
         module = importlib.import_module(f"docweave.llm.{part}")
         queries.update(module.QUERIES)
         oracles.update(getattr(module, "ORACLES", {}))
+    pipeline = importlib.import_module("corpus_pipeline")
+    queries["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL:
+        oracles["pipeline"] = pipeline.ORACLE_SQL
     return queries, oracles

@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docweave.operators.keyed import top_k_by
 
-from .common import slices, store, table
+from .common import fresh, slices, table
 
 UNKNOWN = "und"
 CHAIN, GRAMS, BUCKETS = 64, 4, 1 << 16
 SAMPLE_TEXTS, SAMPLE_WORDS = 500, 100_000
 PASSES, RATE, DECAY, STAY = 4, 0.3, 1e-6, 0.95
 LEXICON_COUNT, LEXICON_SHARE, SURE = 5, 0.9, 0.1
+#: A text whose best language has less than this is in no language.
+LEAST_SCORE = 0.5
 #: Pieces of text kept in a worker's cache.
 CACHE_PIECES = 1_000_000
 
@@ -285,6 +287,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return _labelled(rows, model, "_text", "lang_pred", "score").drop("_text")
 
 
+def accepted(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in which one language holds at least ``least_score`` of the words; `und` goes."""
+    pred, score = fresh(docs, "lang_pred", "score")
+    labelled = _labelled(docs, train(docs, id_col, text_col, lang_col), text_col, pred, score)
+    return labelled.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 

@@ -223,9 +223,9 @@ def _(load):
 @query("span_keys", f"""select distinct request_id, s span from (select request_id, w, array_to_string(list_slice(p, i, j), '') s from (
   select request_id, w, p, i, unnest(generate_series(i, len(p))) j from (select request_id, w, p, unnest(generate_series(1, len(p))) i from (
   select request_id, {d.loose('raw')} w, list_filter(regexp_split_to_array({d.norm('raw')}, '[^A-Z0-9]+'), lambda t: t <> '') p
-  from {d.v('requests')}))) where j - i < 16) where length(s) >= 6 and regexp_matches(s, '[0-9]') and s <> w""")
+  from {d.v('requests')}))) ) where length(s) >= 6 and regexp_matches(s, '[0-9]') and s <> w""")
 def _(load):
-    return C.span_keys(load("requests"), "raw", max_tokens=16).select("request_id", "span")
+    return C.span_keys(load("requests"), "raw").select("request_id", "span")
 
 
 def _d_title_part(x):
@@ -238,8 +238,8 @@ def _d_title_part(x):
 
 def _d_noparen(x):
     v = d.txt(x)
-    for _ in range(4):
-        v = d.rx(v, "\\([^()]*\\)", " ")
+    blanks = f"list_transform(range(0, length({v}) - length(replace({v}, '(', ''))), lambda i: '')"
+    v = f"list_reduce(list_concat([{v}], {blanks}), lambda a, b: regexp_replace(a, '\\([^()]*\\)', ' ', 'g'))"
     v = f"trim({d.rx(v, d._cls() + '+', ' ')})"
     return d.rx(d.rx(v, "\\s+([,.;:])", "\\1"), "([,.;:])(?:\\s*[,.;:])+", "\\1")
 

@@ -19,9 +19,9 @@ def _rows(load):
 
 
 @query("relation_project", f"""select {d.txt('document')} document, {d.txt('sheet')} sheet, {d.txt('title')} title, {d.txt('discipline')} discipline, {d.txt('path')} path,
-  {', '.join(f"coalesce(trim(string_split({d.txt('path')}, '|')[{i}]), '') level_{i}" for i in range(1, 9))} from {REG}""")
+  array_to_string(list_transform(string_split({d.txt('path')}, '|'), lambda p: trim(p)), '/') levels from {REG}""")
 def _(load):
-    return P.relation_project(_rows(load), "databook")
+    return P.relation_project(_rows(load), "databook").withColumn("levels", F.array_join("levels", "/"))
 
 
 _ATTR = "select row_no, source_ts, document, header, value from (select *, unnest(['Prazo', 'EAP', 'Título', 'prazo ']) header, unnest([deadline, format, title, case when row_no % 2 = 0 then upper(deadline) else '' end]) value from " + REG + ")"

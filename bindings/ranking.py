@@ -86,7 +86,7 @@ def _(load):
 _SG = "select concat(p_type, ' ', p_name) as label, count(*) as documents from {part} group by 1"
 
 
-@query("sequence_number_groups", f"""select label, documents, n group_no, 'AL-' || lpad(n::varchar, 4, '0') || '-2024' batch_code from (select *, 40 + row_number() over (order by {d.norm('label')}, label) n
+@query("sequence_number_groups", f"""select label, documents, n group_no, 'AL-' || lpad(n::varchar, 4, '0') || '-2024' batch_code, n > 9999 exhausted from (select *, 40 + row_number() over (order by {d.norm('label')}, label) n
   from ({_SG.replace('{part}', 'part')}))""")
 def _(load):
     part = load("part")
@@ -94,7 +94,7 @@ def _(load):
 
 
 _NAT = d.norm("name")
-_NK = f"""array_to_string(list_transform(regexp_extract_all({_NAT}, '[0-9]+|[^0-9]+'), lambda r: case when regexp_matches(r, '^[0-9]') then lpad(case when regexp_full_match(r, '0+') then '0' else ltrim(r, '0') end, 18, '0') else r end), '')"""
+_NK = f"""array_to_string(list_transform(regexp_extract_all({_NAT}, '[0-9]+|[^0-9]+'), lambda r: case when regexp_matches(r, '^[0-9]') then lpad(length((case when regexp_full_match(r, '0+') then '0' else ltrim(r, '0') end))::varchar, 10, '0') || (case when regexp_full_match(r, '0+') then '0' else ltrim(r, '0') end) else r end), '')"""
 _NAME = "concat('Certificado ', cast(o_custkey % 1000 as string), '-', cast(o_orderkey % 37 as string), '.pdf')"
 
 

@@ -98,7 +98,7 @@ def _(load):
 
 _COL = lambda f: f"max(column_no) filter (where field = '{f}') c_{f}"
 _GET = lambda f: f"coalesce({d.txt(f'cells[c_{f} + 1]')}, '') {f}"
-_FLD = ["document", "revision", "status", "posting_status", "title", "allocation"]
+_FLD = list(G.FIELDS)
 _ROWS = f"""(select *, {d.key('document')} document_key from (select g.source, g.sheet, g.row_no, {', '.join(_GET(f) for f in _FLD)} from {d.v('grid')} g
   join {HEADERS} h on h.source = g.source and h.sheet = g.sheet join (select source, sheet, {', '.join(_COL(f) for f in _FLD)} from {MAP} group by 1, 2) m
   on m.source = g.source and m.sheet = g.sheet where g.row_no > header_row))"""
@@ -106,9 +106,9 @@ _ROWS = _ROWS.replace("field in ('document', 'revision')", "field in ('document'
 _OUT = "case when document = '' then 'no_document' when document_key = 'FIM' then 'end_marker' when length(document_key) < 7 then 'short_key' else 'read' end"
 
 
-@query("register_ingest", f"""select source, sheet, row_no, document, document_key, revision, status, posting_status, title,
+@query("register_ingest", f"""select source, sheet, row_no, document_key, {', '.join(f for f in _FLD if f not in ('allocation', 'allocation_status'))},
   case when regexp_matches({d.norm('allocation')}, '^(NAO )?ALOCAD[OA]\\b') then '' else allocation end allocation,
-  case when regexp_matches({d.norm('allocation')}, '^NAO ALOCAD[OA]\\b') then 'NÃO ALOCADO' when regexp_matches({d.norm('allocation')}, '^ALOCAD[OA]\\b') then 'ALOCADO' else '' end allocation_status
+  case when regexp_matches({d.norm('allocation')}, '^NAO ALOCAD[OA]\\b') then 'NÃO ALOCADO' when regexp_matches({d.norm('allocation')}, '^ALOCAD[OA]\\b') then 'ALOCADO' else allocation_status end allocation_status
   from {_ROWS} where {_OUT} = 'read'""")
 def _(load):
     return G.register_ingest(load("grid"))[0]

@@ -10,7 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.session import spread_scan
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -19,7 +18,6 @@ TABLES = (
 
 
 # Tables that grow with the scale; region, nation and supplier stay small.
-LARGE = set(TABLES) - {"region", "nation", "supplier"}
 
 
 def code(k: str) -> str:
@@ -212,7 +210,7 @@ select concat('book_', c_mktsegment) as source, concat('S', cast(n as string)) a
   case when r = 1 then array('Lista mestra', '', '', '', '', '')
        when r = 2 then array('', '', '', '', '', '')
        else array('Nº do item', case when n % 6 = 0 then 'Outro' else 'DOCUMENTO' end, case when n % 2 = 0 then 'REVISÃO' else 'Rev.' end,
-                  'Título do documento', case when n % 3 = 0 then 'Status Posting' else 'STATUS' end, 'ALOCAÇÃO') end as cells
+                  'Título do documento', case when n % 3 = 0 then 'Status SIGEM' else 'STATUS' end, 'ALOCAÇÃO') end as cells
 from (select distinct c_mktsegment, cast((c_custkey - c_custkey % 50) / 50 as bigint) as n from {customer}) h,
      (select 1 as r union all select 2 union all select 3) k
 union all
@@ -252,8 +250,7 @@ from {lineitem}
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name in TABLES:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread_scan(table) if name in LARGE else table
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needed = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
     return spark.sql(VIEWS[name], **{t: spark_view(spark, sf_dir, t) for t in needed})
 

@@ -32,7 +32,7 @@ SUBJECTS_TEXT = [
     (r"\bTRANSFORMADOR(ES)?\b", "TRANSFORMADOR"),
     (r"\bCAIXAS?\b|\bBORNE\b", "CAIXA"),
     (r"\bINFRAESTRUTURA\b|\bELETRODUTO\b|\bLEITO\b|\bBANDEJA\b", "INFRAESTRUTURA"),
-    (r"\bPAINE(L|IS)\b|\bPAINELES\b|\bPAINELS\b", "PAINEL"),
+    (r"\bPAINEL(ES|S)?\b", "PAINEL"),
     (r"\bVASOS?\b|\bTANQUES?\b", "VASO_TANQUE"),
     (r"\bFORNOS?\b|\bQUEIMADORES?\b", "FORNO_QUEIMADOR"),
     (r"\bTURBINAS?\b", "TURBINA"),
@@ -137,8 +137,8 @@ def sequence_tail(c: Column | str) -> Column:
     return F.when(found != "", found.try_cast("bigint"))
 
 
-def token_spans(c: Column | str, max_tokens: int, min_len: int = 1, need_digit: bool = False, sep: str = "") -> Column:
-    """Distinct contiguous token runs of ``norm``, up to ``max_tokens`` tokens each."""
+def token_spans(c: Column | str, max_tokens: Column | None = None, min_len: int = 1, need_digit: bool = False, sep: str = "") -> Column:
+    """Distinct contiguous token runs of ``norm``; ``max_tokens`` only spares runs that can hit nothing."""
 
     def runs(parts: Column) -> Column:
         starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
@@ -146,7 +146,7 @@ def token_spans(c: Column | str, max_tokens: int, min_len: int = 1, need_digit:
             F.transform(
                 starts,
                 lambda i: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(max_tokens), F.size(parts) - i + 1)),
+                    F.sequence(F.lit(1), F.size(parts) - i + 1 if max_tokens is None else F.least(max_tokens, F.size(parts) - i + 1)),
                     lambda n: F.array_join(F.slice(parts, i, n), sep),
                 ),
             )

@@ -264,16 +264,22 @@ def alias_expand(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def span_keys(df: DataFrame, column: str, max_tokens: int, min_len: int = 6) -> DataFrame:
+def span_keys(df: DataFrame, column: str, min_len: int = 6) -> DataFrame:
     """Joined token runs with a digit; seeds of containment joins."""
-    spans = codes.token_spans(column, max_tokens, min_len, need_digit=True)
+    spans = codes.token_spans(column, None, min_len, need_digit=True)
     whole = text.loose_key(column)
     return df.withColumn("span", F.explode(F.filter(spans, lambda s: s != whole)))
 
 
-def without_parentheses(v: Column, depth: int = 4) -> Column:
-    for _ in range(depth):
-        v = F.regexp_replace(v, r"\([^()]*\)", " ")
+def without_parentheses(v: Column) -> Column:
+    """Text without what stands in parentheses, however deep: each pass takes the innermost pairs."""
+
+    def innermost_first(x: Column) -> Column:
+        opened = F.length(x) - F.length(F.replace(x, F.lit("("), F.lit("")))
+        passes = F.when(opened > 0, F.aggregate(F.sequence(F.lit(1), opened), x, lambda acc, _: F.regexp_replace(acc, r"\([^()]*\)", " ")))
+        return F.coalesce(passes, x)
+
+    v = text.let(v, innermost_first)
     v = F.trim(F.regexp_replace(v, text.WS + "+", " "))
     v = F.regexp_replace(v, r"\s+([,.;:])", "$1")
     return F.regexp_replace(v, r"([,.;:])(?:\s*[,.;:])+", "$1")

@@ -20,14 +20,17 @@ PROJECTIONS = {
 }
 
 
-def relation_project(rows: DataFrame, kind: str, custom: list[str] | None = None, levels: int = 8) -> DataFrame:
-    """One of the named projections or a custom one; columns a table lacks come out blank."""
+def relation_project(rows: DataFrame, kind: str, custom: list[str] | None = None) -> DataFrame:
+    """One of the named projections or a custom one; columns a table lacks come out blank.
+
+    The databook projection has all levels of the path as the array ``levels``.
+    """
     names = custom if kind == "custom" else PROJECTIONS.get(kind, PROJECTIONS["posting"])
     names = names or PROJECTIONS["posting"][:5]
     cols = [text.text(c).alias(c) if c in rows.columns else F.lit("").alias(c) for c in names]
     if kind == "databook":
         parts = F.split(text.text("path"), r"\|")
-        cols += [F.coalesce(F.trim(F.get(parts, F.lit(i))), F.lit("")).alias(f"level_{i + 1}") for i in range(levels)]
+        cols.append(F.transform(parts, lambda p: F.trim(p)).alias("levels"))
     return rows.select(*cols)
 
 

@@ -135,9 +135,13 @@ def revision_timeline(technical: DataFrame, history: DataFrame, key: str) -> Dat
 
 
 def sequence_number_groups(groups: DataFrame, label: str, prefix: str, first: int, year: int) -> DataFrame:
-    """Consecutive batch codes for groups sorted by label; one row per group goes in."""
+    """Consecutive batch codes for groups sorted by label; one row per group goes in.
+
+    A code holds four digits; groups beyond them have no code and are flagged as ``exhausted``.
+    """
     ordered = enumerate_rows(groups, [text.norm(label), F.col(label)], "group_no", first)
-    return ordered.withColumn("batch_code", F.when(F.col("group_no") <= 9999, codes.batch_code(prefix, F.col("group_no"), F.lit(year))).otherwise(F.lit("")))
+    code = F.when(F.col("group_no") <= 9999, codes.batch_code(prefix, F.col("group_no"), F.lit(year))).otherwise(F.lit(""))
+    return ordered.withColumn("batch_code", code).withColumn("exhausted", F.col("group_no") > 9999)
 
 
 def enumerate_rows(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
@@ -157,10 +161,10 @@ def enumerate_rows(df: DataFrame, order: list[Column], name: str, first: int = 1
     return out.withColumn(name, (F.col("_id") - F.col("_min") + F.col("_before") + first).cast("bigint")).drop("_id", "_p", "_min", "_before")
 
 
-def natural_key(c: Column | str, width: int = 18) -> Column:
-    """Sort text in which digit runs compare as numbers."""
+def natural_key(c: Column | str) -> Column:
+    """Sort text in which digit runs compare as numbers: each run is led by its length."""
     runs = F.regexp_extract_all(text.norm(c), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), width, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), text.let(F.regexp_replace(r, "^0+(?=[0-9])", ""), lambda n: F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n))).otherwise(r)), "")
 
 
 def natural_sort_enumerate(df: DataFrame, name: str, tie: str, first: int = 1, number: str = "sequence") -> DataFrame:

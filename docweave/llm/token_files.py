@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,13 @@ BLOCK, PERCENTILE, HEAD = 128, 90, 6
 #: A chunk is closed when it holds so many ids; one document is never split.
 CHUNK_IDS = 1 << 18
 #: Bytes of pieces kept in a worker's cache.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 96 << 20
 
-_PLAIN = re.compile(rb"([a-z]*)([!-&(-/:-@\[-`{-~]*)")
+#: Letters whose lower case and composed form hold no surprise, then ASCII signs but the apostrophe.
+_PLAIN = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)")
+#: The sign that byte-level vocabularies show for each byte: itself where it prints, else the next one from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _coders: dict[str, "PieceCoder"] = {}
 
 
@@ -59,6 +64,7 @@ class PieceCoder(dict):
     def forget(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.words: dict[str, list[int]] = {}
         self.size = self.used = 0
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.at = np.zeros(1, dtype=np.int64)
@@ -69,13 +75,22 @@ class PieceCoder(dict):
         self[piece] = number = len(self)
         return number
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of one word of the pre-tokenizer, in lower case."""
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = self.words[word] = [t.id for t in self.model.tokenize(shown)]
+        return ids
+
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = []
         other = []
         for piece in pieces:
-            plain = _PLAIN.fullmatch(piece)
-            if plain and b"<|" not in piece:  # ASCII letters, then signs: the two words the pre-tokenizer makes of it
-                out.append([t.id for part in plain.groups() if part for t in self.model.tokenize(part.decode())])
+            plain = _PLAIN.fullmatch(text := piece.decode())
+            if plain and "<|" not in text:  # letters, then signs: the two words the pre-tokenizer makes of it
+                word, signs = plain.groups()
+                out.append((self.word_ids(word.lower()) if word else []) + (self.word_ids(signs) if signs else []))
             else:
                 other.append(len(out))
                 out.append(None)
@@ -90,14 +105,14 @@ class PieceCoder(dict):
         more = int(sizes.sum())
         if self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(more, self.used) + more, dtype=np.uint32)])
-        self.flat[self.used: self.used + more] = np.fromiter((t for ids in got for t in ids), dtype=np.uint32, count=more)
+        self.flat[self.used: self.used + more] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=more)
         self.at = np.concatenate([self.at, self.used + np.cumsum(sizes)])
         self.used += more
         self.new = []
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and the number of ids of each text."""
-        if self.size > CACHE_BYTES * 8:
+        if self.size > CACHE_BYTES:
             self.forget()
         numbers, counts = [], np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
@@ -221,14 +236,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coders.get(tokenizer) or _coders.setdefault(tokenizer, PieceCoder(tokenizer))
-        shard, chunk = TaskContext.get().partitionId(), 0
+        shard, number = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate([h[0] for h in held])
             lengths = np.concatenate([h[1] for h in held])
             payload, at = pack(ids, lengths)
-            arrays = [pa.array([shard], pa.int32()), pa.array([chunk], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([[i for h in held for i in h[2]]], pa.list_(id_type)),
+            arrays = [pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([[i for h in held for i in h[2]]], pa.list_(id_type)),
                       pa.array([lengths], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "n_ids", "doc_id", "n_tokens", "payload_at", "payload"])
 
@@ -238,7 +253,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
                 held.append((ids, lengths, batch.column("id").to_pylist()))
                 if sum(len(h[0]) for h in held) >= CHUNK_IDS:
                     yield close()
-                    chunk, held = chunk + 1, []
+                    number, held = number + 1, []
         if held:
             yield close()
 

@@ -28,7 +28,7 @@ def test_round_trip(docs):
     assert T.unpack(payload, lengths, at).tolist() == ids.tolist()
 
 
-CASES = ["", " ", "Hello, World!!", "don't It's", "a\xa0b c", "É́ é ñ", "<|endoftext|> <|ENDOFTEXT|> A", "\x1cq 12x,3", "ΑΣ ΣΑΣ", "K ſ İ", "x" * 3000, "thed, thed. (it)", "日本 語", "a'b .' '"]
+CASES = ["", " ", "Hello, World!!", "don't It's", "a\xa0b c", "É́ é ñ", "<|endoftext|> <|ENDOFTEXT|> A", "\x1cq 12x,3", "ΑΣ ΣΑΣ", "K ſ İ", "x" * 3000, "thed, thed. (it)", "日本 語", "a'b .' '", "Éa\xd7 ÀÖØÞß ÿ÷ x²", "e\u0301. é\u0301,", "été, ÉTÉ.."]
 
 
 @pytest.mark.parametrize("text", CASES)

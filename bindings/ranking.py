@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.functions import codes, text
+from docweave.functions import codes, revision, text
 from docweave.operators import evidence as E, keyed, ranking as R, sets
 
 from . import duck as d
@@ -147,6 +147,28 @@ def _(load):
     return E.conflict_detect(load("register"), load("history"))
 
 
+_ID = "cast(row_no as varchar) || ':' || cast(source_ts as varchar)"
+_LT = _T.replace("(select document,", f"(select document, {_ID} row_id,", 1)
+_LH = _H.replace("(select document,", "(select document, cast(row_no as varchar) row_id,", 1)
+_IDS = lambda src: f"(select document, row_id, rev, k, field, value from (unpivot {src} on {', '.join(_CF)} into name field value value) where value <> '')"
+
+
+@query("conflict_values", f"""select c.document, c.scope, c.rev, c.field, v.value, v.k kind, v.row_id from {CONFLICTS} c join (select * from {_IDS(_LT)} union all select * from {_IDS(_LH)}) v
+  on v.document = c.document and v.field = c.field where (c.scope = 'technical' and v.k = 'technical') or (v.rev = c.rev and (c.scope = 'cross' or (c.scope = 'history' and v.k = 'history')))""")
+def _(load):
+    reg = load("register").withColumn("row_id", F.concat_ws(":", F.col("row_no").cast("string"), F.col("source_ts").cast("string")))
+    hist = load("history").withColumn("row_id", F.col("row_no").cast("string"))
+    return E.conflict_values(reg, hist, E.conflict_detect(reg, hist), "row_id")
+
+
+@query("conflict_resolve_history", f"""with h as (select document, row_no, {d.rev('revision')} rev from {HIST}), c as (select document, rev, min(row_no) chosen from h where right(document, 1) in ('3', '7') group by 1, 2)
+  select h.document, h.row_no, h.rev from h left join c on c.document = h.document and c.rev = h.rev where chosen is null or chosen = row_no""")
+def _(load):
+    rows = load("history").withColumn("rev", revision.normal_revision("revision"))
+    picks = rows.filter(F.right("document", F.lit(1)).isin("3", "7")).groupBy("document", "rev").agg(F.min("row_no").alias("row_no"))
+    return E.conflict_resolve_history(rows, picks, "document", "row_no").select("document", "row_no", "rev")
+
+
 @query("conflict_summary", f"""select document, array_to_string(list_sort(list(distinct field)), ', ') conflict_fields, max(field not in ('allocation', 'allocation_status')) blocking from {CONFLICTS} group by 1""")
 def _(load):
     return E.conflict_summary(E.conflict_detect(load("register"), load("history")))

@@ -17,9 +17,18 @@ from . import duck as d, registry
 from .registry import query
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return parquet_stream(spark, sf_dir, schema, pattern=f"{table}.parquet")
+FILES = 6
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str, folder: str, order: str) -> DataFrame:
+    """The table as a stream of FILES files in order, one in each micro-batch."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    arrived = f"{folder}/arrived"
+    bounds = rows.approxQuantile(order, [i / FILES for i in range(1, FILES)], 0.01)
+    part = sum((F.col(order) > b).cast("int") for b in bounds)
+    for number in range(FILES):
+        rows.filter(part == number).write.mode("append").parquet(arrived)
+    return parquet_stream(spark, arrived, rows.schema, files_per_batch=1)
 
 
 def _drain(writer, folder: str) -> None:
@@ -39,8 +48,8 @@ def _register(name: str, oracle: str):
 @_register("stream_latest_record", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) n from events) where n = 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
-    read, write = T.parquet_state(spark, folder)
-    _drain(T.stream_latest_record(_stream(spark, sf_dir, "events"), "user_id", ["event_id"], ["event_type"], read, write), folder)
+    read, write = T.parquet_state(spark, f"{folder}/state")
+    _drain(T.stream_latest_record(_stream(spark, sf_dir, "events", folder, "event_id"), "user_id", ["event_id"], ["event_type"], read, write), folder)
     return read().select("user_id", "event_id", "event_type")
 
 
@@ -48,7 +57,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
     counts = {"ready": F.col("event_type") == "view", "failed": F.col("event_type") == "error"}
-    per_day = T.stream_daily_comparison(_stream(spark, sf_dir, "events"), "ts", counts)
+    per_day = T.stream_daily_comparison(_stream(spark, sf_dir, "events", folder, "event_id"), "ts", counts)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
@@ -62,7 +71,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("stream_dedupe_requests", f"select distinct {d.request_key('props || user_id')} request_key from events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
-    rows = _stream(spark, sf_dir, "events").withColumn("raw", F.concat("props", F.col("user_id").cast("string")))
-    first = T.stream_dedupe_requests(rows, "raw", "ts", delay="3650 days")
+    rows = _stream(spark, sf_dir, "events", folder, "event_id").withColumn("raw", F.concat("props", F.col("user_id").cast("string")))
+    first = T.stream_dedupe_requests(rows, "raw", "ts", delay="31 days")
     _drain(first.select("request_key").writeStream.format("parquet").option("path", f"{folder}/out"), folder)
     return spark.read.parquet(f"{folder}/out")

@@ -159,12 +159,18 @@ HISTORY_FIELDS = FIELDS[1:]
 CROSS_FIELDS = ["status", "dispatch", "effective_date", "allocation_status", "allocation", "path"]
 
 
-def _bounds(df: DataFrame, key: str, kind: str, hashed: bool = False) -> DataFrame:
-    """Smallest and greatest non-blank value (or its hash) of every field per document and revision."""
+def _values(df: DataFrame, kind: str) -> dict[str, Column]:
+    """Normal value of every field of technical or history rows."""
     posted = text.text("posting_status")
     values = {f: text.norm(f) if f in df.columns else F.lit("") for f in FIELDS}
     values["revision"] = revision.normal_revision("revision")
     values["status"] = text.norm(posted if kind == "technical" else F.when(posted != "", posted).otherwise(text.text("status")))
+    return values
+
+
+def _bounds(df: DataFrame, key: str, kind: str, hashed: bool = False) -> DataFrame:
+    """Smallest and greatest non-blank value (or its hash) of every field per document and revision."""
+    values = _values(df, kind)
     named = df.select(key, *[v.alias(f) for f, v in values.items()])
     shown = lambda f: F.when(F.col(f) != "", F.xxhash64(f) if hashed else F.col(f)).alias(f)
     named = named.select(key, F.col("revision").alias("rev"), *[shown(f) for f in FIELDS])
@@ -196,6 +202,35 @@ def conflict_detect(technical: DataFrame, history: DataFrame | None = None, key:
     return out.unionByName(_differences(h, key, "history", HISTORY_FIELDS)).unionByName(_differences(both, key, "cross", CROSS_FIELDS))
 
 
+def conflict_values(technical: DataFrame, history: DataFrame, conflicts: DataFrame, row_id: str, key: str = "document") -> DataFrame:
+    """Every value of every conflict with the row it stands in: ``key, scope, rev, field, value, kind, row_id``.
+
+    Rows offer their fields as (document, field) and meet the conflicts of their document; a conflict takes the rows of
+    its scope and revision. A document's rows may be many, so the join is one that can be split.
+    """
+    def offered(df: DataFrame, kind: str) -> DataFrame:
+        fields = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in _values(df, kind).items()])
+        own = revision.normal_revision("revision").alias("_own")
+        return df.select(key, own, F.lit(kind).alias("kind"), F.col(row_id).alias(row_id), F.inline(F.filter(fields, lambda x: x["value"] != "")))
+
+    rows = offered(technical, "technical").unionByName(offered(history, "history"))
+    met = attach(rows, conflicts.groupBy(key, "field").agg(F.collect_list(F.struct("scope", "rev")).alias("_in")), [key, "field"], "inner")
+    met = met.select(key, "field", "value", "kind", row_id, "_own", F.inline("_in"))
+    whole = (F.col("scope") == "technical") & (F.col("kind") == "technical")
+    same = (F.col("rev") == F.col("_own")) & ((F.col("scope") == "cross") | ((F.col("scope") == "history") & (F.col("kind") == "history")))
+    return met.filter(whole | same).select(key, "scope", "rev", "field", "value", "kind", row_id)
+
+
+def conflict_resolve_history(history: DataFrame, choices: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Keep only the chosen row of a document's revision somebody decided on; other revisions stay.
+
+    ``choices(key, row_id, rev)`` names a history row and its normal revision.
+    """
+    staged = history.withColumn("_rev", revision.normal_revision("revision"))
+    out = attach(staged, choices.select(key, F.col("rev").alias("_rev"), F.col(row_id).alias("_chosen")), [key, "_rev"])
+    return out.filter(F.col("_chosen").isNull() | (F.col(row_id) == F.col("_chosen"))).drop("_chosen", "_rev")
+
+
 def conflict_summary(conflicts: DataFrame, key: str = "document") -> DataFrame:
     """One row per document: the conflicting fields, and whether any but the allocation fields conflict."""
     blocking = F.max(F.when(~F.col("field").isin("allocation", "allocation_status"), 1).otherwise(0))

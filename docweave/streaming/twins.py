@@ -11,33 +11,49 @@ from ..functions import codes
 from ..operators.keyed import latest_by
 
 
-def stream_latest_record(rows: DataFrame, key: str, order: list[str], cols: list[str], read_state: Callable[[], DataFrame | None],
+def stream_latest_record(rows: DataFrame, key: str, order: list[str], cols: list[str], read_state: Callable[[int], DataFrame | None],
                          write_state: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """Keep the newest row per key of a stream.
 
-    Every micro-batch is reduced to one row per key, put next to the stored rows and reduced again. The
-    store is written under the batch number, so a repeated batch replaces its own result.
+    Every micro-batch is reduced to one row per key, put next to the rows stored by the batches before it and reduced
+    again. The store is written under the batch number, so a repeated batch reads what it read the first time and
+    replaces its own result.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         fresh = latest_by(batch, [key], order, order + cols)
-        old = read_state()
+        old = read_state(batch_id)
         both = fresh if old is None else old.select(*fresh.columns).unionByName(fresh)
         write_state(latest_by(both, [key], order, order + cols), batch_id)
 
     return rows.writeStream.foreachBatch(upsert)
 
 
-def parquet_state(spark: SparkSession, folder: str) -> tuple[Callable[[], DataFrame | None], Callable[[DataFrame, int], None]]:
-    """State kept as one Parquet folder per batch in a shared place; the highest number is current."""
-    seen: dict[str, int | None] = {"batch": None}
+def parquet_state(spark: SparkSession, folder: str) -> tuple[Callable[..., DataFrame | None], Callable[[DataFrame, int], None]]:
+    """State kept as one Parquet folder per batch in a shared place.
 
-    def read() -> DataFrame | None:
-        return None if seen["batch"] is None else spark.read.parquet(f"{folder}/batch={seen['batch']}")
+    The state before a batch is the highest complete folder with a smaller number. It is looked for on the storage each
+    time, so a restarted driver goes on where the last one ended. Folders older than the one before are deleted.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(folder)
+
+    def complete() -> list[int]:
+        files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return []
+        found = [f.getPath() for f in files.listStatus(top) if f.getPath().getName().startswith("batch=")]
+        return sorted(int(p.getName()[6:]) for p in found if files.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def read(before: int | None = None) -> DataFrame | None:
+        numbers = [n for n in complete() if before is None or n < before]
+        return spark.read.parquet(f"{folder}/batch={numbers[-1]}") if numbers else None
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        seen["batch"] = batch_id
+        files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for number in [n for n in complete() if n < batch_id][:-1]:
+            files.delete(hadoop.Path(f"{folder}/batch={number}"), True)
 
     return read, write
 

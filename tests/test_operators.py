@@ -184,3 +184,32 @@ def test_tag_conference_statuses(spark):
 def test_normal_text_of_both_sides_agrees(spark):
     got = spark.createDataFrame([("a b́",)], "v string").select(text.norm("v")).collect()[0][0]
     assert got == "A B"
+
+
+def test_stream_state_survives_a_restart_and_a_replay(spark, tmp_path):
+    from docweave.streaming import twins
+
+    source, folder = tmp_path / "in", str(tmp_path / "state")
+
+    def arrive(n, rows):
+        spark.createDataFrame(rows, "k int, n int, v string").coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        """A new driver: nothing but the folders is known."""
+        read, write = twins.parquet_state(spark, folder)
+        rows = spark.readStream.schema("k int, n int, v string").option("maxFilesPerTrigger", 1).parquet(str(source))
+        job = twins.stream_latest_record(rows, "k", ["n"], ["v"], read, write)
+        job.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        return {r["k"]: r["v"] for r in read().collect()}
+
+    want = {}
+    for n in range(6):
+        rows = [(k, n, f"{k}-{n}") for k in range(10) if (k + n) % 3]
+        arrive(n, rows)
+        want.update({k: v for k, _, v in rows})
+        assert run() == want
+    read, write = twins.parquet_state(spark, folder)
+    last = max(int(p.name[6:]) for p in (tmp_path / "state").iterdir() if p.name.startswith("batch="))
+    batch = spark.createDataFrame(rows, "k int, n int, v string")
+    write(keyed.latest_by(read(last).select("k", "n", "v").unionByName(batch), ["k"], ["n"], ["n", "v"]), last)  # the last batch again
+    assert {r["k"]: r["v"] for r in read().collect()} == want

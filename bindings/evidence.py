@@ -8,6 +8,7 @@ from docweave.functions import codes, text
 from docweave.operators import evidence as E, hierarchy as H, ranking as R, titles as T
 
 from . import duck as d
+from .cleaning import _d_missing, _d_noparen, _d_title_part
 from .registry import query
 
 REG, CTL = d.v("register"), d.v("control")
@@ -195,7 +196,32 @@ _COMP = f"""select row_no, source_ts, case row_no % 3 when 0 then 'Relatório de
   case row_no % 5 when 0 then ' (provisório)' when 1 then ' M 01' else '' end, case row_no % 7 when 0 then ' montagem de bomba' else '' end) as description, case when row_no % 2 = 0 then 'M-01' else '' end as tag from """
 
 
-@query("title_compose")
+_LIST = lambda x: f"list_filter(regexp_split_to_array({x}, '[^A-Z0-9]+'), lambda w: w <> '')"
+
+
+def _even(v):
+    """Text without its quotes where one of them is left open."""
+    return f"case when (length({v}) - length(replace({v}, chr(34), ''))) % 2 = 1 then replace({v}, chr(34), '') else {v} end"
+
+
+_PART = lambda x: f"case when {_d_missing(x)} then '' else {_d_title_part(x)} end"
+
+
+def composed(source: str, keep: str) -> str:
+    """SELECT of ``keep`` and ``composed`` for ``source`` with kind, description and tag."""
+    gap = T.GAP.replace("'", "''")
+    return f"""(select {keep}, array_to_string(list_filter([case when kept = '' or contains(k, kept) then k when k = '' then kept else k || ' - ' || kept end, t], lambda x: x <> ''), ' - ') composed from (
+  select *, case when k = '' or len(dw) = 0 then d when nothing_new or cut >= len(dw) then '' when cut > 0 then regexp_replace(regexp_replace(d, '^(?:[^A-Z0-9]*[A-Z0-9]+){{' || cut || '}}[^A-Z0-9]*', ''), '^(?:DE|DO|DA|DOS|DAS|PARA|E)\\s+', '') else d end kept from (
+  select *, case when overlap >= 2 then overlap when coalesce(kw[len(kw)] = dw[1] and length(kw[len(kw)]) >= 4 and len(dw) >= 2, false) then 1 else 0 end cut from (
+  select *, coalesce(list_max(flatten(list_transform(range(1, len(kw) + 1), lambda s: list_transform(range(1, least(len(kw) - s + 1, len(dw)) + 1), lambda m: case when kw[s:s + m - 1] = dw[1:m] then m else 0 end)))), 0) overlap,
+  len(list_filter(dw, lambda w: w not in ({', '.join(f"'{c}'" for c in T.CONNECTORS)}))) > 0 and len(list_filter(dw, lambda w: w not in ({', '.join(f"'{c}'" for c in T.CONNECTORS)}) and not list_contains(kw, w))) = 0 nothing_new from (
+  select *, {_LIST('k')} kw, {_LIST('d')} dw from (
+  select *, case when loose <> '' then regexp_replace(regexp_replace(d0, '^' || loose || '\\s*[-:]\\s*', ''), '\\s*[-:]?\\s*\\b' || loose || '\\s*$', '') else d0 end d from (
+  select *, {d.norm(_even('kp'))} k, {_even('tp')} t, {d.norm(_even('dp'))} d0, array_to_string({_LIST(d.norm(_even('tp')))}, '{gap}') loose from (
+  select *, {_PART('kind')} kp, {_PART('tag')} tp, {_PART('bare')} dp from (select *, {_d_noparen('description')} bare from {source})))))))))"""
+
+
+@query("title_compose", f"select row_no, source_ts, composed composed_title from {composed(f'({_COMP} {REG})', 'row_no, source_ts')}")
 def _(load):
     kind = F.expr("case row_no % 3 when 0 then 'Relatório de inspeção' when 1 then 'Relatório de montagem' else '' end")
     desc = F.expr("concat(case row_no % 4 when 0 then 'M-01 - ' else '' end, title, case row_no % 5 when 0 then ' (provisório)' when 1 then ' M 01' else '' end, case row_no % 7 when 0 then ' montagem de bomba' else '' end)")

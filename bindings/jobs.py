@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import codes, text
-from docweave.operators import evidence as E, matching as M, ranking as R
+from docweave.operators import evidence as E, matching as M, ranking as R, titles as T
 from docweave.operators.keyed import latest_by
 from docweave.plans import allocation as A, audits as U, changes as X, relations, triage as TR
 
 from . import duck as d
 from .matching import _MAX, _REQ, DOCS, DOCS_ALL, OUTCOME
 from .ranking import _A, CONFLICTS, STATE
+from .cleaning import _d_missing
+from .evidence import _LIST, composed
 from .registry import query
 
 REG, HIST, CTL = d.v("register"), d.v("history"), d.v("control")
@@ -245,12 +247,44 @@ def _title_audit(load):
     return U.title_audit(rec, "document", _STD, desc, tag, F.col("document_type"), conflicts)
 
 
-@query("title_audit")
+def _untagged(v, tag):
+    """Oracle form of a description without the tag at its start or end."""
+    loose = f"array_to_string({_LIST(d.norm(tag))}, '{T.GAP}')"
+    lead = f"regexp_replace({v}, '^' || {loose} || '\\s*[-:]\\s*', '')"
+    return f"case when {loose} <> '' then regexp_replace({lead}, '\\s*[-:]?\\s*\\b' || {loose} || '\\s*$', '') else {v} end"
+
+
+_REC = f"""(select document, title, document_type, tag, type, {d.norm('title')} n, {d.norm('type')} tn, {d.ctag('tag')} tag_key, trim({d.rx(d.txt('title'), d._cls() + '+', ' ')}) cur, {_d_missing('title')} miss from (
+  select *, case when num % 3 = 0 then 'M-' || lpad(cast(num % 5000 as varchar), 6, '0') else '' end tag, case document_type {' '.join(f"when '{k}' then '{v}'" for k, v in _STD.items())} else '' end as type from (
+  select document, title, document_type, cast(right(document, 12) as bigint) num, row_number() over (partition by document order by row_no desc, source_ts desc) i from {d.v('register')}) where i = 1))"""
+_DESC = f"""(select tag_key, min(struct_pack(priority := priority, description := b.description, trusted := b.trusted, manual := b.manual)) b from (
+  select {d.ctag('tag')} tag_key, case when cast(cancelled as integer) = 1 then 9 else 1 end priority, min(struct_pack(description := description, trusted := cast(cancelled as integer) = 0, manual := size_no % 11 = 0)) b from {d.v('tag_list')} group by 1, 2)
+  where {d.txt('b.description')} <> '' group by 1)"""
+_JUDGED = f"""(select *, case when miss then 'empty' when tag <> '' and seen <> '' and seen <> upper(tag) then 'wrong_tag' when type <> '' and not (n = tn or starts_with(n, tn || ' ') or starts_with(n, tn || ':')) then 'document_type'
+  when tag <> '' and not contains(n, {d.norm('tag')}) then 'missing_tag' when descr <> '' and trusted and not contains(n, {d.norm('descr')}) then 'description_mismatch'
+  when n <> 'RESERVADO' and (miss or (len(list_filter({_LIST('rest')}, lambda w: length(w) >= 3)) < 2 and not regexp_matches(rest, '\\b[A-Z0-9]{{1,4}}(?:-[A-Z])?-[A-Z0-9][A-Z0-9._/-]{{2,}}\\b')) or rest = tn) then 'generic'
+  when regexp_matches({d.txt('title')}, '\\s{{2,}}|--|[-–—]\\s*[-–—]|^\\s*[-–—]|[-–—]\\s*$') or regexp_matches(cur, '(?i)\\bTAG\\b\\s*[:\\-]?\\s*[A-Z0-9]') then 'format' else 'ok' end issue from (
+  select *, coalesce(b.trusted, false) and descr <> '' trusted, coalesce(b.manual, false) and descr <> '' manual,
+  regexp_replace(case when tn <> '' and starts_with(n, tn) then substr(n, length(tn) + 1) else n end, '^[\\s:\\-]+|[\\s:\\-]+$', '', 'g') rest from (
+  select r.*, x.b, case when tag <> '' then coalesce(x.b.description, '') else '' end descr, upper(regexp_extract(cur, '\\b([A-Za-z]{{1,3}}-\\d{{2,}}[A-Za-z]?)\\b', 1)) seen
+  from {_REC} r left join {_DESC} x on x.tag_key = r.tag_key)))"""
+_USED = f"(select *, type as kind, case when descr <> '' then descr when miss then '' else {_untagged('_u', 'tag')} end description from (select *, {_untagged('rest', 'seen')} _u from {_JUDGED}))"
+_KEEP = "document, issue, type, tag, descr, trusted, manual, miss, n, b, description"
+TITLE_AUDIT = f"""(select document, case when c then 'conflict' else issue end issue, case when c then 'insufficient' else cls end classification, case when c then '' else proposed end proposed, case when c then 'none' else conf end confidence,
+  case when descr <> '' then 'priority ' || cast(b.priority as varchar) else 'current title' end description_source from (
+  select *, document in (select document from {d.v('register')} where {d.norm('title')} <> '' group by document having count(distinct {d.norm('title')}) > 1) c,
+  case when proposed = '' then 'none' when type <> '' and (trusted or tag <> '') then 'high' when trusted then 'high' when type <> '' or descr <> '' then 'medium' else 'low' end conf from (
+  select *, case when issue = 'ok' then 'ok' when manual then 'insufficient' when issue = 'empty' then case when type <> '' or trusted or tag <> '' then 'confirmed_error' else 'insufficient' end
+  when issue in ('wrong_tag', 'document_type', 'missing_tag', 'description_mismatch') then 'confirmed_error' else 'suggestion' end cls,
+  case when issue <> 'ok' and not manual and composed <> '' and {d.norm('composed')} <> n and (type <> '' or description <> '' or tag <> '') then composed else '' end proposed from {composed(_USED, _KEEP)})))"""
+
+
+@query("title_audit", f"select * from {TITLE_AUDIT}")
 def _(load):
     return _title_audit(load)
 
 
-@query("title_audit_issues")
+@query("title_audit_issues", f"select issue, classification, confidence, count(*) row_count from {TITLE_AUDIT} group by 1, 2, 3")
 def _(load):
     return _title_audit(load).groupBy("issue", "classification", "confidence").agg(F.count(F.lit(1)).alias("row_count"))
 

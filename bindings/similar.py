@@ -36,8 +36,11 @@ def _targets(load):
 
 @query("catalog_score_best", f"""with t as (select doc_id, {_SORTED('title')} tok, {d.rules(d.norm('title'), KINDS)} kind, {_SUBJ('title')} subj, upper('Brand#' || (doc_id % 4 + 1)) disc from {TIT}), pr as (select distinct tok, kind, subj, disc from t),
   e as (select min(entry_id) entry_id, path, description, notes, {d.norm("description || ' ' || notes")} search, {_SORTED("description || ' ' || notes")} etok, {d.norm("path || ' ' || description")} names, {_SUBJ("description || ' ' || notes || ' ' || path")} esubj, {d.path_key('path')} pk from {CAT} group by path, description, notes),
+  prn as (select row_number() over () pid, * from pr), ek as (select entry_id, k from (select entry_id, search, unnest([{', '.join(f"'{k}'" for k in dict.fromkeys(k for _, k in KINDS))}]) k from e) where contains(search, k)),
+  cand as (select pid, entry_id from prn join ek on k = kind union select pid, entry_id from (select pid, unnest(subj) w from prn) a join (select entry_id, unnest(esubj) w from e) b using (w)
+  union select pid, entry_id from (select pid, len(tok) n, unnest(tok) w from prn) a join (select entry_id, len(etok) m, unnest(etok) w from e) b using (w) group by pid, entry_id, n, m having count(*) * 100 >= 33 * greatest(n, m)),
   s as (select pr.*, e.entry_id, e.path, e.pk, list_filter(tok, lambda w: contains(search, w)) matched, case when kind <> '' and contains(search, kind) then 65 else 0 end + case when contains(names, disc) then 24 else 0 end + cast(floor({_SIM} * 28 + 0.5) as integer)
-  + case when len(list_intersect(subj, esubj)) > 0 then 58 when len(subj) > 0 and len(esubj) > 0 then -32 else 0 end sc from pr, e),
+  + case when len(list_intersect(subj, esubj)) > 0 then 58 when len(subj) > 0 and len(esubj) > 0 then -32 else 0 end sc from cand join prn pr using (pid) join e using (entry_id)),
   s2 as (select *, sc + least(28, len(matched) * 4) score from s where sc + least(28, len(matched) * 4) >= 62), pp as (select *, row_number() over (partition by tok, kind, subj, disc, pk order by score desc, entry_id) i from s2),
   r as (select *, row_number() over (partition by tok, kind, subj, disc order by score desc, entry_id) n from pp where i = 1),
   b as (select a.*, c.score rs, c.matched rm from r a left join r c on c.n = 2 and c.tok = a.tok and c.kind = a.kind and c.subj = a.subj and c.disc = a.disc where a.n = 1),

@@ -247,9 +247,13 @@ def held_out(id_col: str) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """A model from a sample of the rows that are not held out."""
-    rows = docs.filter(~held_out(id_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.filter(~held_out(id_col)).filter(F.col(lang_col).isNotNull())
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
-    picked = top_k_by(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), order.alias("h"), F.col(id_col).cast("string").alias("id")), ["lang"], [F.col("h"), F.col("id")], SAMPLE_TEXTS)
+    named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), order.alias("h"))
+    # Ids alone are ranked; texts are read for those picked, SAMPLE_TEXTS for a language.
+    chosen = top_k_by(named.distinct(), ["lang"], [F.col("h"), F.col("id")], SAMPLE_TEXTS).select("id", "lang", "h")
+    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    picked = texts.join(chosen, ["id", "lang"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("h", "lang", "text"))))

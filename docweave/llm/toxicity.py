@@ -160,7 +160,8 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str) -> dic
     """A model from all labelled rows of ``docs``."""
     graded = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(grades, "id")
     vocabulary = choose_features(graded)
-    sizes = {r["grade"]: r["n"] for r in grades.join(docs.select(F.col(id_col).alias("id")), "id").groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    present = grades.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    sizes = {r["grade"]: r["n"] for r in present.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:  # nothing to tell apart
         only = max(sizes, default=0)
         return {"weights": {}, "thresholds": np.array([-40.0 if only > 0 else 40.0, *([-40.0 if only > 1 else np.log(80.0)] * (GRADES - 2))])}
@@ -184,8 +185,9 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str) -> dic
         model = {"weights": {f: float(w) for f, w in zip(vocabulary, weights)}, "thresholds": raw}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    order = F.xxhash64("id", F.lit("sample"))
-    sample = top_k_by(graded.withColumn("h", order), ["grade"], [F.col("h"), F.col("id")], SAMPLE_TEXTS).select("h", "grade", "text")
+    # Ids alone are ranked; texts are read for those picked, SAMPLE_TEXTS for a grade.
+    chosen = top_k_by(present.withColumn("h", F.xxhash64("id", F.lit("sample"))), ["grade"], [F.col("h"), F.col("id")], SAMPLE_TEXTS)
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("h", "grade", "text")
     counted = sample.mapInArrow(count, "h long, grade int, feature array<int>, count array<int>")
     return pickle.loads(counted.repartition(1).mapInArrow(learn, "model binary").first()["model"])
 

@@ -230,9 +230,8 @@ def _(load):
 
 def _d_title_part(x):
     v = _d_strip(x)
-    v = f"regexp_replace({v}, '(?i)^TAG\\s*[:\\-]?\\s*', '')"
-    v = d.rx(d.rx(v, "\\s+[-–—]\\s+", " - "), "(?:\\s+-\\s+){2,}", " - ")
-    v = d.rx(d.rx(v, "\\s{2,}", " "), "^\\s*-\\s*|\\s*-\\s*$")
+    for pattern, replacement in C.TITLE_RULES:
+        v = d.rx(v, pattern.replace("(?iu)", "(?i)"), replacement.replace("$", "\\"))
     return v
 
 

@@ -5,6 +5,8 @@ Each job comes with a profile that counts what happened.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import codes, dates, revision, text
@@ -45,14 +47,36 @@ def key_collisions(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+# What is rewritten in a cell with spreadsheet errors, then in a piece of a title; in order.
+ERROR_RULES = [
+    (ERROR_TOKENS, " "),
+    (r"\s*\|\s*", " | "),
+    (r"^\s*\|\s*|\s*\|\s*$", ""),
+    (r"\|\s*\|", "|"),
+    (r"\s+([,;:])", "$1"),
+    (r"(\s+[-–—]\s+){2,}", " - "),
+]
+TITLE_RULES = [
+    (r"(?i)^TAG\s*[:\-]?\s*", ""),
+    (r"(?iu)\bDE\s+IDENTIFICA[CÇ][AÃ]O\s+DE\b", "DE"),
+    (r"(?iu)\bDE\s+IDENTIFICA[CÇ][AÃ]O\s+D([OA]S?)\b", "D$1"),
+    (r"(?iu)\bIDENTIFICA[CÇ][AÃ]O\s+DE\b", ""),
+    (r"(?iu)\bIDENTIFICA[CÇ][AÃ]O\b", ""),
+    (r"(?i)\bDE\s+DE\b", "DE"),
+    (r"\s+[-–—]\s+", " - "),
+    (r"(?:\s+-\s+){2,}", " - "),
+    (r"\s{2,}", " "),
+    (r"^\s*-\s*|\s*-\s*$", ""),
+]
+
+
+def rewrite(v: Column, rules: list[tuple[str, str]]) -> Column:
+    """Text after every ``(pattern, replacement)`` in order."""
+    return reduce(lambda x, rule: F.regexp_replace(x, *rule), rules, v)
+
+
 def strip_errors(c: Column | str) -> Column:
-    v = F.regexp_replace(text.text(c), ERROR_TOKENS, " ")
-    v = F.regexp_replace(v, r"\s*\|\s*", " | ")
-    v = F.regexp_replace(v, r"^\s*\|\s*|\s*\|\s*$", "")
-    v = F.regexp_replace(v, r"\|\s*\|", "|")
-    v = F.regexp_replace(v, r"\s+([,;:])", "$1")
-    v = F.regexp_replace(v, r"(\s+[-–—]\s+){2,}", " - ")
-    return F.trim(F.regexp_replace(v, text.WS + "+", " "))
+    return F.trim(F.regexp_replace(rewrite(text.text(c), ERROR_RULES), text.WS + "+", " "))
 
 
 def is_unavailable(c: Column | str) -> Column:
@@ -287,12 +311,7 @@ def without_parentheses(v: Column) -> Column:
 
 def title_part(c: Column | str) -> Column:
     """One cleaned piece of a title."""
-    v = strip_errors(c)
-    v = F.regexp_replace(v, r"(?i)^TAG\s*[:\-]?\s*", "")
-    v = F.regexp_replace(v, r"\s+[-–—]\s+", " - ")
-    v = F.regexp_replace(v, r"(?:\s+-\s+){2,}", " - ")
-    v = F.regexp_replace(v, r"\s{2,}", " ")
-    v = F.regexp_replace(v, r"^\s*-\s*|\s*-\s*$", "")
+    v = rewrite(strip_errors(c), TITLE_RULES)
     bare = lambda x: F.replace(x, F.lit('"'), F.lit(""))
     even = text.let(v, lambda x: F.when((F.length(x) - F.length(bare(x))) % 2 == 1, bare(x)).otherwise(x))
     return F.when(text.norm(c).isin(*UNAVAILABLE), F.lit("")).otherwise(even)

@@ -213,3 +213,37 @@ def test_stream_state_survives_a_restart_and_a_replay(spark, tmp_path):
     batch = spark.createDataFrame(rows, "k int, n int, v string")
     write(keyed.latest_by(read(last).select("k", "n", "v").unionByName(batch), ["k"], ["n"], ["n", "v"]), last)  # the last batch again
     assert {r["k"]: r["v"] for r in read().collect()} == want
+
+
+def test_title_wordings(spark):
+    from docweave.operators import cleaning
+
+    cases = {
+        "TAG: Bomba": "Bomba",
+        "Placa de Identificação de bomba": "Placa DE bomba",
+        "placa DE IDENTIFICACAO DOS motores": "placa DOS motores",
+        "Identificação de cabos": "cabos",
+        "Relatório de de inspeção": "Relatório DE inspeção",
+        "Identificação": "",
+        '7" flange': "7 flange",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", cleaning.title_part("t").alias("p"))
+    assert {r["t"]: r["p"].strip() for r in df.collect()} == cases
+
+
+def test_nothing_is_cut_by_depth_length_or_count(spark):
+    from docweave.operators import cleaning, filters, ranking as R, titles as T
+
+    deep = spark.createDataFrame([("a " + "(" * 9 + "x" + ")" * 9 + " b (c) (",)], "t string").select(cleaning.without_parentheses(F.col("t")).alias("v"))
+    assert deep.first()["v"] == "a b ("
+    numbers = spark.createDataFrame([(i, f"n{'9' * k}") for i, k in enumerate((30, 19, 25, 1))], "i int, n string")
+    assert [r["n"] for r in R.natural_sort_enumerate(numbers, "n", "i").orderBy("sequence").collect()] == [f"n{'9' * k}" for k in (1, 19, 25, 30)]
+    wording = " ".join(f"W{i}" for i in range(20))
+    titles = spark.createDataFrame([(1, wording + " rest"), (2, ""), (3, "W0 W1")], "k int, t string")
+    known = spark.createDataFrame([(wording,)], "w string")
+    got = {r["k"]: (r["prefix_words"], r["stripped_title"]) for r in T.normative_prefix_strip(titles, "k", "t", known, "w").collect()}
+    assert got == {1: (20, "REST"), 2: (0, ""), 3: (0, "W0 W1")}
+    spans = cleaning.span_keys(spark.createDataFrame([(" ".join(f"T{i}" for i in range(20)) + " end",)], "r string"), "r")
+    assert "".join(f"T{i}" for i in range(20)) in {r["span"] for r in spans.collect()}
+    paths = spark.createDataFrame([("|".join(str(i) for i in range(12)),)], "path string")
+    assert filters.relation_project(paths, "databook").first()["levels"] == [str(i) for i in range(12)]

@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables stored so far and not deleted, oldest first; whoever ends a piece of work deletes its own.
+STORED: list[str] = []
+
+
 def store(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: later stages survive a lost executor."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -32,6 +37,8 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         place = hadoop.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if path in STORED:
+            STORED.remove(path)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -295,4 +295,22 @@ def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: Every string of LENGTH bytes as hexadecimal text, the earliest place of each, and what later ones cover.
+ORACLE = f"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select doc_id, c, substr(h, 1000 * c + 1, {1000 + 2 * LENGTH - 2}) as part from (select doc_id, h, unnest(range(0, length(h) // 1000 + 1)) as c from docs)),
+strings as (select doc_id, 500 * c + j as i, substr(part, 2 * j + 1, {2 * LENGTH}) as s from (select doc_id, c, part, unnest(range(0, length(part) // 2 - {LENGTH - 1})) as j from parts)),
+earliest as (select s, min((doc_id, i)) as first from strings group by s),
+repeats as (select doc_id, i from strings join earliest using (s) where (doc_id, i) > first),
+edges as (select *, case when i > lag(i) over (partition by doc_id order by i) + {LENGTH} or lag(i) over (partition by doc_id order by i) is null then 1 else 0 end as fresh from repeats),
+numbered as (select *, sum(fresh) over (partition by doc_id order by i) as run from edges),
+runs as (select doc_id, run, min(i) as low, max(i) + {LENGTH} as high from numbered group by doc_id, run),
+gaps as (select r.doc_id, run, low, high, coalesce(lag(high) over (partition by r.doc_id order by run), 0) as after, h from runs r join docs d on d.doc_id = r.doc_id),
+kept as (select doc_id, sum(high - low) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * after + 1, 2 * (low - after)), '' order by run) || any_value(substr(h, 2 * last + 1)) as h
+  from (select *, max(high) over (partition by doc_id) as last from gaps) group by doc_id)
+select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) as kept_sha256 from docs d left join kept k on k.doc_id = d.doc_id
+"""
+
 QUERIES = {"op4_remove_repeats": op4_remove_repeats}
+ORACLES = {"op4_remove_repeats": ORACLE}

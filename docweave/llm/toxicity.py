@@ -185,9 +185,9 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str) -> dic
         model = {"weights": {f: float(w) for f, w in zip(vocabulary, weights)}, "thresholds": raw}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # Ids alone are ranked; texts are read for those picked, SAMPLE_TEXTS for a grade.
+    # Ids alone are ranked; texts are read for those picked, at most SAMPLE_TEXTS for a grade, without a shuffle.
     chosen = top_k_by(present.withColumn("h", F.xxhash64("id", F.lit("sample"))), ["grade"], [F.col("h"), F.col("id")], SAMPLE_TEXTS)
-    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("h", "grade", "text")
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("h", "grade", "text")
     counted = sample.mapInArrow(count, "h long, grade int, feature array<int>, count array<int>")
     return pickle.loads(counted.repartition(1).mapInArrow(learn, "model binary").first()["model"])
 

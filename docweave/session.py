@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables written by ``cut_lineage`` that have not been dropped.
+WRITTEN: list[str] = []
 
 
 def local_session(app: str = "docweave", cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -54,5 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables; for the end of a piece of work, when no result that reads them is needed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while WRITTEN:
+        place = hadoop.Path(WRITTEN.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -247,3 +247,16 @@ def test_nothing_is_cut_by_depth_length_or_count(spark):
     assert "".join(f"T{i}" for i in range(20)) in {r["span"] for r in spans.collect()}
     paths = spark.createDataFrame([("|".join(str(i) for i in range(12)),)], "path string")
     assert filters.relation_project(paths, "databook").first()["levels"] == [str(i) for i in range(12)]
+
+
+def test_written_tables_are_dropped(spark):
+    from docweave import session
+
+    kept = session.cut_lineage(spark.range(5))
+    assert kept.count() == 5 and session.WRITTEN
+    folder = session.WRITTEN[-1]
+    session.drop_written(spark)
+    assert not session.WRITTEN
+    import os
+
+    assert not os.path.exists(folder.removeprefix("file:"))

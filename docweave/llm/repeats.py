@@ -32,7 +32,7 @@ from .run_index import RunIndex
 from .windows import CHOICE, LENGTH, chosen_places
 
 #: Bytes of text that are hashed at once, and of runs that are indexed at once.
-HASH_BYTES, INDEX_BYTES = 2 << 20, 2 << 20
+HASH_BYTES, INDEX_BYTES = 1 << 20, 1 << 19
 HOT_RUNS = 20_000
 #: A place in the corpus below the id: the text's hash, the first start, further starts of the run.
 TAG_BITS, START_BITS, MORE_BITS = 25, 31, 7

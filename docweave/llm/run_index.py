@@ -20,8 +20,8 @@ class RunIndex:
         text = np.repeat(np.arange(len(sizes)), sizes)
         #: Places in the symbols: every text is followed by an end, 0; bytes count from 1.
         self.start = ends[:-1] + np.arange(len(sizes))
-        self.symbols = np.zeros(len(raw) + len(sizes), dtype=np.int64)
-        self.symbols[np.arange(len(raw)) + text] = raw.astype(np.int64) + 1
+        self.symbols = np.zeros(len(raw) + len(sizes), dtype=np.int16)
+        self.symbols[np.arange(len(raw)) + text] = raw.astype(np.int16) + 1
         n = len(self.symbols)
         stop = np.repeat(self.start + sizes, sizes + 1)
         #: Symbols from each place to the end of its text.
@@ -41,7 +41,7 @@ class RunIndex:
     def _sort(self, longest: int) -> np.ndarray:
         """Suffixes in order by doubling; equal ones, up to the ends of their texts, in the order of the texts."""
         n = len(self.symbols)
-        padded = np.concatenate([self.symbols, np.zeros(FIRST, dtype=np.int64)])
+        padded = np.concatenate([self.symbols.astype(np.int64), np.zeros(FIRST, dtype=np.int64)])
         key, alive = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
         for k in range(FIRST):
             symbol = np.where(alive, padded[k: k + n], 0)
@@ -53,11 +53,12 @@ class RunIndex:
             order = np.argsort(key, kind="stable" if last else "quicksort")
             if last:
                 return order
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
+            rank = np.empty(n, dtype=np.int32)
+            rank[order] = np.cumsum(np.concatenate([[False], np.diff(key[order]) != 0]), dtype=np.int32)
             self.levels.append((size, rank))
-            ahead = np.minimum(np.arange(n) + size, n - 1)
-            key = rank * (n + 1) + np.where(self.left > size, rank[ahead] + 1, 0)
+            key = rank.astype(np.int64) * (n + 1)
+            near = max(0, n - size)
+            key[:near] += np.where(self.left[:near] > size, rank[size:].astype(np.int64) + 1, 0)
             size *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

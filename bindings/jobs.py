@@ -178,8 +178,8 @@ def _(load):
     return A.allocation_selection(_analysis(load)[0], choices)
 
 
-@query("batch_plan", f"""select case when k = '' then '~ no workflow' else l end label, n documents, k = '' blocking, 7 + row_number() over (order by {d.norm("case when k = '' then '~ no workflow' else l end")}) group_no,
-  'AL-' || lpad((7 + row_number() over (order by {d.norm("case when k = '' then '~ no workflow' else l end")}))::varchar, 4, '0') || '-2024' batch_code from (select {d.norm('workflow')} k, min(workflow) l, count(*) n from {ANALYSIS} where decision = 'ready' group by 1)""")
+@query("batch_plan", f"""select *, group_no > 9999 exhausted from (select case when k = '' then '~ no workflow' else l end label, n documents, k = '' blocking, 7 + row_number() over (order by {d.norm("case when k = '' then '~ no workflow' else l end")}) group_no,
+  'AL-' || lpad((7 + row_number() over (order by {d.norm("case when k = '' then '~ no workflow' else l end")}))::varchar, 4, '0') || '-2024' batch_code from (select {d.norm('workflow')} k, min(workflow) l, count(*) n from {ANALYSIS} where decision = 'ready' group by 1))""")
 def _(load):
     ready = _analysis(load)[0].filter("decision = 'ready'")
     return A.batch_plan(ready, "workflow", "AL", 8, 2024)

@@ -253,7 +253,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # Ids alone are ranked; texts are read for those picked, SAMPLE_TEXTS for a language.
     chosen = top_k_by(named.distinct(), ["lang"], [F.col("h"), F.col("id")], SAMPLE_TEXTS).select("id", "lang", "h")
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = texts.join(chosen, ["id", "lang"])
+    picked = texts.join(F.broadcast(chosen), ["id", "lang"])  # at most SAMPLE_TEXTS ids for each language
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("h", "lang", "text"))))

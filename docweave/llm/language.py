@@ -36,8 +36,8 @@ PASSES, RATE, DECAY, STAY = 4, 0.3, 1e-6, 0.95
 LEXICON_COUNT, LEXICON_SHARE, SURE = 5, 0.9, 0.1
 #: A text whose best language has less than this is in no language.
 LEAST_SCORE = 0.5
-#: Pieces of text kept in a worker's cache.
-CACHE_PIECES = 1_000_000
+#: Pieces of text kept in a worker's cache, and bytes of text whose chains are worked on together.
+CACHE_PIECES, SLICE_BYTES = 600_000, 2 << 20
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _taggers: dict[str, "Tagger"] = {}
@@ -277,7 +277,7 @@ def _labelled(docs: DataFrame, model: dict, text_col: str, pred: str, score: str
             _taggers[name] = Tagger(shared.value)
         tagger = _taggers[name]
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE_BYTES):
                 languages, scores = tagger.label(batch.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores)], names=[*batch.schema.names, pred, score])
 

@@ -2,10 +2,10 @@
 
 The grades 0, 1, ... share one weight per feature and differ by ordered thresholds: P(grade <= k) is the logistic
 function of threshold k less the text's score, and a text's severity is its expected grade. A text's features are its
-distinct words and the words' beginnings of PREFIXES letters, counted once for each distinct word. Of all words of all
-labelled texts, the FEATURES whose share among graded and ungraded texts differs most (likelihood ratio) are kept.
-Weights are fitted in one task on a sample of at most SAMPLE_TEXTS labelled texts per grade, weighted to stand for all;
-each comes with its kept features only.
+distinct words and the words' beginnings of PREFIXES letters, counted once for each distinct word. The classifier is
+fitted on a sample of at most SAMPLE_TEXTS labelled texts per grade, weighted to stand for all labelled texts. Of the
+sample's words, the FEATURES whose share among grades above 0 and grade 0 differs most (likelihood ratio) are kept; the
+weights are fitted in one task, which sees of each text its kept features only.
 
 A labelled text's grade is 0 if it is not toxic, 1 if it is toxic and otherwise of good quality, 2 if it is of neither.
 
@@ -32,7 +32,7 @@ from docweave.operators.keyed import top_k_by
 from .common import slices, store, table
 
 GRADES, PREFIXES = 3, (4, 5, 6)
-FEATURES, LEAST_TEXTS, SAMPLE_TEXTS = 4096, 5, 4000
+FEATURES, LEAST_TEXTS, SAMPLE_TEXTS = 4096, 5, 8000
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 CACHE_PIECES = 1_000_000
 
@@ -55,7 +55,7 @@ def grade_table(labels: DataFrame, id_col: str, toxic_col: str, quality_col: str
 
 
 def choose_features(graded: DataFrame) -> list[str]:
-    """The features of ``graded(id, text, grade)`` that tell grades above 0 from grade 0; at most FEATURES of them."""
+    """The features of ``graded(text, grade)`` that tell grades above 0 from grade 0; at most FEATURES of them."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,14 +157,17 @@ class Scorer(dict):
 
 
 def train(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str) -> dict:
-    """A model from all labelled rows of ``docs``."""
-    graded = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(grades, "id")
-    vocabulary = choose_features(graded)
+    """A model from a sample of the labelled rows of ``docs``."""
     present = grades.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     sizes = {r["grade"]: r["n"] for r in present.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:  # nothing to tell apart
         only = max(sizes, default=0)
         return {"weights": {}, "thresholds": np.array([-40.0 if only > 0 else 40.0, *([-40.0 if only > 1 else np.log(80.0)] * (GRADES - 2))])}
+    # Ids alone are ranked; texts are read for those picked, at most SAMPLE_TEXTS for a grade, without a shuffle.
+    chosen = top_k_by(present.withColumn("h", F.xxhash64("id", F.lit("sample"))), ["grade"], [F.col("h"), F.col("id")], SAMPLE_TEXTS)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample, _ = store(texts.join(F.broadcast(chosen), "id").select("h", "grade", "text"))
+    vocabulary = choose_features(sample)
     number = {f: i for i, f in enumerate(vocabulary)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +188,6 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str) -> dic
         model = {"weights": {f: float(w) for f, w in zip(vocabulary, weights)}, "thresholds": raw}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # Ids alone are ranked; texts are read for those picked, at most SAMPLE_TEXTS for a grade, without a shuffle.
-    chosen = top_k_by(present.withColumn("h", F.xxhash64("id", F.lit("sample"))), ["grade"], [F.col("h"), F.col("id")], SAMPLE_TEXTS)
-    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("h", "grade", "text")
     counted = sample.mapInArrow(count, "h long, grade int, feature array<int>, count array<int>")
     return pickle.loads(counted.repartition(1).mapInArrow(learn, "model binary").first()["model"])
 

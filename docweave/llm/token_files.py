@@ -65,6 +65,7 @@ class PieceCoder(dict):
         self.clear()
         self.new: list[bytes] = []
         self.words: dict[str, list[int]] = {}
+        self.stops = {sign.encode(): self.word_ids(sign) for sign in ".,"}
         self.size = self.used = 0
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.at = np.zeros(1, dtype=np.int64)
@@ -86,14 +87,25 @@ class PieceCoder(dict):
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = []
         other = []
+        words, stops = self.words, self.stops
         for piece in pieces:
-            plain = _PLAIN.fullmatch(text := piece.decode())
-            if plain and "<|" not in text:  # letters, then signs: the two words the pre-tokenizer makes of it
-                word, signs = plain.groups()
-                out.append((self.word_ids(word.lower()) if word else []) + (self.word_ids(signs) if signs else []))
+            if piece.isalpha():
+                word, tail = piece, None
+            elif piece[:-1].isalpha() and piece[-1:] in stops:
+                word, tail = piece[:-1], stops[piece[-1:]]
             else:
-                other.append(len(out))
-                out.append(None)
+                plain = _PLAIN.fullmatch(text := piece.decode())
+                if plain and "<|" not in text:  # letters, then signs: the two words the pre-tokenizer makes of it
+                    word, signs = plain.groups()
+                    out.append((self.word_ids(word.lower()) if word else []) + (self.word_ids(signs) if signs else []))
+                else:
+                    other.append(len(out))
+                    out.append(None)
+                continue
+            ids = words.get(word := word.decode().lower())
+            if ids is None:
+                ids = self.word_ids(word)
+            out.append(ids if tail is None else ids + tail)
         found = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in other], add_special_tokens=False)
         for i, e in zip(other, found):
             out[i] = e.ids
@@ -148,6 +160,23 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.int64)
 
 
+def _packed_words(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values, one after another, as bytes."""
+    if width > 16:
+        bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)).astype(np.uint8) & 1
+        return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    # Eight values make ``width`` bytes; four of them fit in a 64-bit word.
+    w, low = np.uint64(width), (values & np.uint32((1 << width) - 1)).astype(np.uint64).reshape(len(values), -1, 2, 4)
+    fours = low[..., 0] | low[..., 1] << w | low[..., 2] << w * np.uint64(2) | low[..., 3] << w * np.uint64(3)
+    words = np.zeros((*fours.shape[:2], 2), dtype="<u8")
+    if width == 16:
+        words[:] = fours
+    else:
+        words[..., 0] = fours[..., 0] | fours[..., 1] << w * np.uint64(4)
+        words[..., 1] = fours[..., 1] >> (np.uint64(64) - w * np.uint64(4))
+    return words.view(np.uint8)[..., :width].reshape(len(values), -1)
+
+
 def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The documents' bytes, one after another, and the place of each; ``ids`` u32, every length at least 1."""
     lengths = np.asarray(lengths, dtype=np.int64)
@@ -186,8 +215,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
         for part in np.array_split(rows, max(1, len(rows) // 2048)):
-            bits = (diff[part][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-            body = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+            body = _packed_words(diff[part], int(w))
             keep = np.arange(body.shape[1]) < packed[part][:, None]
             out[(place[part][:, None] + HEAD + np.arange(body.shape[1]))[keep]] = body[keep]
     row, lane = np.nonzero(over)
@@ -202,6 +230,7 @@ def unpack(payload: bytes, lengths: np.ndarray, doc_at: np.ndarray) -> np.ndarra
     """The ids of all documents of a chunk."""
     lengths, doc_at = np.asarray(lengths, dtype=np.int64), np.asarray(doc_at, dtype=np.int64)
     raw = np.frombuffer(payload, dtype=np.uint8)
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
     doc, first, count = _block_table(lengths)
     n = len(doc)
 
@@ -217,11 +246,9 @@ def unpack(payload: bytes, lengths: np.ndarray, doc_at: np.ndarray) -> np.ndarra
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
         for part in np.array_split(rows, max(1, len(rows) // 2048)):
-            at = place[part][:, None] + HEAD + np.arange(BLOCK * w // 8)
-            bits = np.unpackbits(raw[np.minimum(at, len(raw) - 1)], axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-            wide = np.zeros((len(part), BLOCK, 32), dtype=np.uint8)
-            wide[:, :, :w] = bits
-            diff[part] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            bit = np.arange(BLOCK) * w
+            word = np.lib.stride_tricks.as_strided(padded, (len(raw), 8), (1, 1))[np.minimum(place[part][:, None] + HEAD + bit // 8, len(raw) - 1)]
+            diff[part] = (word.view("<u8")[..., 0] >> (bit % 8).astype(np.uint64) & np.uint64((1 << int(w)) - 1)).astype(np.uint32)
     row = np.repeat(np.arange(n), patches)
     nth = np.arange(len(row)) - (np.cumsum(patches) - patches)[row]
     tail = place[row] + HEAD + packed[row]

@@ -27,6 +27,8 @@ PIECE_CHARS, CACHE_PIECES = 64, 1_500_000
 CALL_CHARS = 1 << 18
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space that is no single blank or newline between two other characters.
+_UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _counters: dict[str, "PieceCounter"] = {}
 
 
@@ -62,7 +64,7 @@ def _as_text(piece: str) -> str:
 
 def cut(text: str) -> tuple[list[str], bool]:
     """The pieces of a text; True if they follow the newline form, which has one newline too many."""
-    if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # every separator is a single blank or newline
+    if not _UNEVEN.search(text):  # every separator is a single blank or newline
         return ("\n" + text).replace("\n", " \n")[1:].split(" "), True
     first, *rest = _SAFE.split(text)
     return [first, *(" " + p for p in rest)], False

@@ -23,6 +23,11 @@ def test_equals_the_library(text):
     assert T.count_texts([text], COUNTER) == [whole(text)]
 
 
+@pytest.mark.parametrize("text", ["a\tb\tc\n\n\nd", "col1\tcol2\tcol3\n\n\nnext", "a\xa0b  c", "a\tb ", "\na\tb"])
+def test_other_white_space_does_not_make_up_for_runs(text):
+    assert T.count_texts([text], COUNTER) == [whole(text)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'sZ9. \n\té  \x85<|>日")) | st.characters(codec="utf-8"), max_size=60))
 def test_any_text(text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -83,3 +84,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_chunks(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in pieces of about ``most`` bytes, cut at ASCII white space; a longer word stays whole."""
+    low = 0
+    while low < len(data):
+        found = _SPACE.search(data, low + most) if low + most < len(data) else None
+        stop = found.start() if found else len(data)
+        yield data[low:stop]
+        low = stop

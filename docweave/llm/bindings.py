@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and, where SQL can express them, ORACLES.
-PARTS: tuple[str, ...] = ("token_counts", "token_files", "simhash", "secrets", "mixing", "quality", "language", "decontaminate", "repeats", "toxicity", "passages", "search")
+PARTS: tuple[str, ...] = ("token_counts", "token_files", "simhash", "secrets", "mixing", "quality", "language", "decontaminate", "repeats", "toxicity", "passages", "search", "phrases")
 
 
 def load_all() -> tuple[dict, dict]:

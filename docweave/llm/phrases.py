@@ -9,8 +9,8 @@ Mining takes three passes over the texts, each of which sends sums or bounded su
    over mass / threshold, no key loses ``threshold`` or more in all, and what was lost in all is known; so every key whose
    count could still reach the threshold survives, and hardly any other does. The partition gives its survivors as its
    part of a table of bits.
-3. Runs that are in the table are counted exactly, by their words. Equal keys of different runs let a run through for
-   nothing, they never change a count.
+3. Runs that are in the table are counted exactly, by their words, again a row for a slice and hash partition. Equal
+   keys of different runs let a run through for nothing, they never change a count.
 
 Memory: a task holds the runs of a slice, and a capacity of counters; the number of partitions grows with the mass (up
 to MOST_PARTS; beyond that the capacity grows). The table of bits has a fixed size, FILTER_BITS bits, a part of it for
@@ -39,11 +39,11 @@ from .copies import WordHashes
 
 LONGEST, LEAST_COUNT, TOP = 5, 100, 2000
 #: Bytes of text whose runs are reduced at once; words in a worker's table of hashes.
-SLICE_BYTES, CACHE_WORDS = 6 << 20, 500_000
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 300_000
 #: Runs of a hash partition, partitions at most, bits of a key inside a partition.
 PART_RUNS, MOST_PARTS, KEY_BITS = 1 << 23, 1 << 14, 32
-#: Bits of the filter of survivors.
-FILTER_BITS = 1 << 27
+#: Bits of the filter of survivors; groups in which a language's phrases are ranked first.
+FILTER_BITS, LANES = 1 << 27, 16
 
 #: A-Z in lower case; what ends a piece becomes a byte that no text has.
 _END = b"\xff"
@@ -170,8 +170,13 @@ def summaries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
     """A row for every slice and hash partition: the distinct keys, those seen once first, and the others' counts."""
     bits = parts.bit_length() - 1 + KEY_BITS
     for runs in _slices(batches):
-        value = np.concatenate([v for _, _, v in runs.all()]) >> np.uint64(64 - bits)
-        keys, counts = np.unique(value, return_counts=True)
+        runs.words = []
+        value = np.concatenate([v for _, _, v in runs.all()])
+        value >>= np.uint64(64 - bits)
+        value.sort()
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, dtype=np.int64)
+        keys, counts = value[first], np.diff(np.append(first, len(value)))
+        del value
         part = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
         edge = np.searchsorted(part, np.arange(parts + 1))
         keys = keys.astype(np.uint32)
@@ -228,23 +233,58 @@ def frequent(texts: DataFrame, mass: np.ndarray, least: int) -> DataFrame:
     shared = sc.broadcast(marks.reshape(-1))
     shift = np.uint64(64 - (FILTER_BITS.bit_length() - 1))
 
+    part_shift = np.uint64(64 - (parts.bit_length() - 1))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for every slice, hash partition and language: its phrases, one a line, and their counts."""
         for runs in _slices(batches):
+            found = []
             for n, at, value in runs.all():
                 # A partition's bits stand in the order of its keys, so the first bits of a hash are its place.
                 place = value >> shift
                 stay = (shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, value = at[stay], value[stay]
-                if not len(at):
-                    continue
-                _, first, times = np.unique(value, return_index=True, return_counts=True)
-                begin = at[first].tolist()
-                phrases = [b" ".join(runs.words[i: i + n]) for i in begin]
-                langs = pa.DictionaryArray.from_arrays(pa.array(runs.lang[at[first]], pa.int32()), pa.array(runs.langs)).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(begin), n, dtype=np.int32)), pa.array(times)], names=["lang", "phrase", "words", "n"])
+                value, first, times = np.unique(value[stay], return_index=True, return_counts=True)
+                found.append((value >> part_shift if parts > 1 else value * np.uint64(0), at[stay][first], np.full(len(first), n), times))
+            part, at, n, times = (np.concatenate(c) for c in zip(*found))
+            group = part.astype(np.int64) * len(runs.langs) + runs.lang[at]
+            order = np.argsort(group, kind="stable")
+            edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+            out = []
+            for a, b in zip(edges.tolist(), edges[1:].tolist()):
+                own = order[a:b]
+                lines = b"\n".join([b" ".join(runs.words[i: i + k]) for i, k in zip(at[own].tolist(), n[own].tolist())])
+                out.append((int(part[own[0]]), runs.langs[int(runs.lang[at[own[0]]])], lines, times[own].astype(np.int64).tobytes()))
+            if out:
+                part, lang, lines, times = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang), pa.array(lines, pa.binary()), pa.array(times, pa.binary())], names=["part", "lang", "lines", "times"])
+
+    counted = texts.mapInArrow(count, "part int, lang string, lines binary, times binary").repartition(parts, "part").sortWithinPartitions("part", "lang")
+    return counted.mapInArrow(lambda b: added(b, least), "lang string, phrase string, words int, n long")
+
+
+def added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of a hash partition and language, whose rows come together, that occur ``least`` times in all.
+
+    What is held is little more than the frequent phrases of a partition: its mass over ``least``.
+    """
+
+    def closed() -> pa.RecordBatch:
+        often = [(phrase, n) for phrase, n in held.items() if n >= least]
+        phrases = [phrase for phrase, _ in often]
+        return pa.RecordBatch.from_arrays([pa.array([key[1]] * len(often), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
+                                           pa.array([phrase.count(b" ") + 1 for phrase in phrases], pa.int32()), pa.array([n for _, n in often], pa.int64())], names=["lang", "phrase", "words", "n"])
 
-    counted = texts.mapInArrow(count, "lang string, phrase string, words int, n long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    key, held = None, {}
+    for batch in batches:
+        for part, lang, lines, times in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "lines", "times"))):
+            if (part, lang) != key:
+                if key is not None:
+                    yield closed()
+                key, held = (part, lang), {}
+            for phrase, n in zip(lines.split(b"\n"), np.frombuffer(times, dtype=np.int64).tolist()):
+                held[phrase] = held.get(phrase, 0) + n
+    if key is not None:
+        yield closed()
 
 
 def _joined(words: Column, first: Column | int, length: Column | int) -> Column:
@@ -278,7 +318,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = cuts.withColumn("score", F.expr("cast((cast(1000 as decimal(4,0)) * cast(a as decimal(15,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as long)"))
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     flat = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    ranked = top_k_by(flat, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    fewer = top_k_by(flat.withColumn("lane", F.pmod(F.xxhash64("phrase"), F.lit(LANES))), ["lang", "lane"], order, top, "place")
+    ranked = top_k_by(fewer, ["lang"], order, top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import codes, dates, revision, text
+from ..session import cut_lineage
 from .keyed import attach, first_by, latest_by, top_k_by
 
 
@@ -390,7 +391,7 @@ def family_evidence_vote(records: DataFrame, evidence: DataFrame, key: str, sour
     seq. ``evidence`` has key and path. A candidate counts when its path is complete, the kinds are equal
     or one is unknown, the subjects meet where the target has any, and kind or a third of the words match.
 
-    Documents of one family are never paired. Supporters are counted per (family, kind, subjects, path),
+    Documents of one family are never paired. Titles are compared inside their family. Supporters are counted per (family, kind, subjects, path),
     and where words decide per distinct word set, so equal documents are one row; a document's own vote is
     taken off again. Order among equally supported paths never changes the verdict, because such paths
     cannot reach the share, so totals are only formed for a single supporting document.
@@ -400,22 +401,32 @@ def family_evidence_vote(records: DataFrame, evidence: DataFrame, key: str, sour
     join = lambda c: F.array_join(F.array_sort(c), SIG)
     r = records.select(key, "family", F.coalesce("kind", F.lit("")).alias("kind"), join("subjects").alias("subj"), F.array_sort(F.array_distinct("tokens")).alias("tok"),
                        text.norm("discipline").alias("disc"), "seq").withColumn("sig", F.array_join("tok", SIG)).filter("family <> ''")
+    # Records and candidates are read many times below; each is made once.
+    r = cut_lineage(r)
     ev = evidence.filter(codes.path_complete("path")).groupBy(key, codes.path_key("path").alias("pk")).agg(F.min(text.text("path")).alias("path"))
-    c = ev.join(r, key)
+    ev = cut_lineage(ev)
+    c = cut_lineage(ev.join(r, key))
     facts = [F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("path").alias("path")]
     split = lambda c_: F.filter(F.split(c_, SIG), lambda s: s != "")
     meets = (F.col("subj") == "") | F.arrays_overlap(split(F.col("subj")), split(F.col("c_subj")))
     # candidates of the same known kind
     same = c.filter("kind <> ''").groupBy("family", "kind", F.col("subj").alias("c_subj"), "pk").agg(*facts)
-    profiles = r.select("family", "kind", "subj", "sig", "tok").distinct()
+    profiles = cut_lineage(r.select("family", "kind", "subj", "sig", "tok").distinct())
     wide = profiles.filter("kind <> ''").select("family", "kind", "subj").distinct().join(same, ["family", "kind"]).filter(meets)
     wide = wide.groupBy("family", "kind", "subj", "pk").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("path").alias("path"))
     part1 = profiles.filter("kind <> ''").join(wide, ["family", "kind", "subj"]).select("family", "kind", "subj", "sig", "pk", "n", "lo", "hi", "path", F.col("n").alias("kn"))
     # one side of unknown kind: the words decide
     by_sig = c.groupBy("family", F.col("kind").alias("c_kind"), F.col("subj").alias("c_subj"), F.col("sig").alias("c_sig"), "pk").agg(*facts)
-    near = token_similarity_join(profiles.select(F.col("tok").alias("t0")), c.select(F.col("tok").alias("t0")), "t0", 32)
-    near = near.select(F.col("left_sig").alias("sig"), F.col("right_sig").alias("c_sig"))
-    part2 = profiles.drop("tok").join(near, "sig").join(by_sig, ["family", "c_sig"]).filter(meets & ((F.col("kind") == "") | (F.col("c_kind") == "")))
+    # Either the target's kind is unknown, or the candidate's; only these meet, inside their family.
+    sets = lambda rows, known: rows.filter(F.col("kind") != "" if known else F.col("kind") == "").select("family", F.col("tok").alias("t0"))
+
+    def alike(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = token_similarity_join(left, right, "t0", 32, ["family"])
+        return pairs.select("family", F.col("left_sig").alias("sig"), F.col("right_sig").alias("c_sig"))
+
+    unknown = profiles.filter("kind = ''").drop("tok").join(alike(sets(profiles, False), c.select("family", F.col("tok").alias("t0"))), ["family", "sig"]).join(by_sig, ["family", "c_sig"])
+    known = profiles.filter("kind <> ''").drop("tok").join(alike(sets(profiles, True), sets(c, False)), ["family", "sig"]).join(by_sig.filter("c_kind = ''"), ["family", "c_sig"])
+    part2 = unknown.unionByName(known).filter(meets)
     part2 = part2.select("family", "kind", "subj", "sig", "pk", "n", "lo", "hi", "path", F.lit(0).cast("bigint").alias("kn"))
     who = ["family", "kind", "subj", "sig"]
     support = part1.unionByName(part2).groupBy(*who, "pk").agg(

@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docweave.functions import text
+from docweave.functions import codes, text
 from docweave.operators import evidence as E, keyed, matching as M, ranking as R, similarity as S, titles as T
 from docweave.plans import audits as U, changes as X
 from docweave.sources import catalogs as K, grids as G, sinks
@@ -260,3 +260,32 @@ def test_written_tables_are_dropped(spark):
     import os
 
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_containment_with_short_codes_and_edges(spark):
+    """Codes shorter than an anchor, codes that begin or end with a separator, several places in a text, long texts."""
+    rnd = random.Random(8)
+    docs = ["A", "AB1", "AB-1", "X-000000012345", "X-000000012345-A", "-Q7", "Q7-", "ZZ", "Y.55.66", "--"]
+    texts = ["a", "xa a", "ab1 ab-1", "copy x-000000012345-a", "x-0000000123456", "r-q7", "r -q7", "q7-", "q7-z", "zzz zz", "y.55.667 y.55.66", "nothing", "--", "", None]
+    texts += [" ".join(rnd.choices(docs, k=300))]
+    index = M.document_index(spark.createDataFrame([(d,) for d in docs], "document string"))
+    asked = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    keys = sorted(r["document_key"] for r in index.collect())
+    inside = lambda text, code: any((p == 0 or not text[p - 1].isalnum()) and not text[p + len(code):p + len(code) + 1].isalnum() for p in range(len(text)) if text.startswith(code, p))
+    loose = lambda x: "".join(c for c in x if c.isalnum())
+    want = set()
+    for i, t in asked.select("i", codes.request_key("raw")).collect():
+        held = [k for k in keys if loose(k) and inside(t, k)]
+        want |= {(i, a) for a in held if not any(b != a and loose(a) in loose(b) and (len(loose(b)) > len(loose(a)) or len(b) > len(a)) for b in held)}
+    assert {tuple(r) for r in M.containment_match(asked, "i", "raw", index).collect()} == want
+    short = spark.createDataFrame([("x-0000",), ("0000000123",), ("x-000000012345",), ("55.66",), ("000000012345-a",)], "raw string")
+    got = {tuple(r) for r in M.reverse_containment_match(short, "raw", index).collect()}
+    assert got == {("X-000000012345", "X-000000012345"), ("55.66", "Y.55.66"), ("000000012345-A", "X-000000012345-A")}
+    assert M.containment_match(asked, "i", "raw", index.limit(0)).collect() == []
+
+
+def test_a_text_offers_no_more_than_its_length(spark):
+    index = M.document_index(spark.createDataFrame([(f"CODE-{i:012d}-{'AB' * (i % 5)}",) for i in range(50)], "document string"))
+    value = "CODE-000000000007-ABAB AND " * 30
+    offered = M.offers(spark.createDataFrame([(value,)], "v string"), F.col("v"), index)
+    assert offered.count() <= len(value)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.functions import codes, text
+from docweave.session import shared_folder
 from docweave.sources import catalogs as K, grids as G, sinks as S
 
 from . import duck as d
@@ -335,11 +338,18 @@ def _(load):
     return K.complement_union(own, load("orders").select(F.col("o_custkey").alias("key"), F.lit("embedded").alias("origin")), "key")
 
 
-@query("partition_prune_by_code", """select p_type, count(*) row_count, cast(sum(p_size) as bigint) size_sum from part where p_type in (
-  select case l_linenumber % 3 when 0 then 'SMALL' when 1 then 'LARGE' else 'PROMO' end from lineitem where l_quantity > 10) group by 1""")
+_RULES = [("_CVL_", ["SMALL", "PROMO", "STANDARD"]), ("_ELE_", ["LARGE"]), ("_INS_|_AUT_", ["MEDIUM", "unheard of"]), ("_HVAC_", ["ECONOMY"])]
+_KINDS = ["SMALL", "LARGE", "PROMO", "ECONOMY", "STANDARD", "MEDIUM"]
+_CODE = "concat('D_', case when l_linenumber = 1 then 'cvl' when l_linenumber = 2 then 'AUT' else 'XYZ' end, '_', l_orderkey)"
+
+
+@query("partition_prune_by_code", f"""with rules as (select unnest([{', '.join(f"{{'p': '{p}', 't': {x}}}" for p, x in _RULES)}], recursive := true)),
+  fired as (select distinct unnest(t) t from rules where exists (select 1 from lineitem where regexp_matches(upper({_CODE}), p)))
+  select p_type, count(*) row_count, cast(sum(p_size) as bigint) size_sum from part where p_type in (select t from fired) or not exists (select 1 from fired) group by 1""")
 def _(load):
-    needed = load("lineitem").filter("l_quantity > 10").select(F.expr("case l_linenumber % 3 when 0 then 'SMALL' when 1 then 'LARGE' else 'PROMO' end").alias("p_type"))
-    kept = K.partition_prune_by_code(load("part"), "p_type", needed)
+    part = load("part").select("p_partkey", "p_size", "p_type")
+    catalog = K.write_partitioned(part, "p_type", f"{shared_folder(part.sparkSession)}/catalog-{uuid.uuid4().hex}")
+    kept = K.partition_prune_by_code(catalog, "p_type", load("lineitem").select(F.expr(_CODE).alias("code")), "code", _RULES, _KINDS)
     return kept.groupBy("p_type").agg(F.count(F.lit(1)).alias("row_count"), F.sum("p_size").alias("size_sum"))
 
 

@@ -49,9 +49,9 @@ def _register(name: str, oracle: str):
 @_register("stream_latest_record", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) n from events) where n = 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
-    read, write = T.parquet_state(spark, f"{folder}/state")
-    _drain(T.stream_latest_record(_stream(spark, sf_dir, "events", folder, "event_id"), "user_id", ["event_id"], ["event_type"], read, write), folder)
-    return read().select("user_id", "event_id", "event_type")
+    state = T.BucketState(spark, f"{folder}/state", "user_id", 16)
+    _drain(T.stream_latest_record(_stream(spark, sf_dir, "events", folder, "event_id"), "user_id", ["event_id"], ["event_type"], state), folder)
+    return state.read().select("user_id", "event_id", "event_type")
 
 
 @_register("stream_daily_comparison", """select cast(cast(ts as date) as varchar) as day, count(*) filter (where event_type = 'view') ready, count(*) filter (where event_type = 'error') failed from events group by 1""")

@@ -203,6 +203,30 @@ def complement_union(own: DataFrame, embedded: DataFrame, key: str) -> DataFrame
     return own.unionByName(embedded.join(own.select(key), key, "left_anti"))
 
 
-def partition_prune_by_code(catalog: DataFrame, partition: str, needed: DataFrame) -> DataFrame:
-    """Catalog rows of the partitions the codes ask for; on a partitioned table Spark reads only those."""
-    return catalog.join(needed.select(F.col(needed.columns[0]).alias(partition)).distinct(), partition, "left_semi")
+def write_partitioned(catalog: DataFrame, partition: str, folder: str) -> DataFrame:
+    """The catalog in one folder for each value of ``partition``, read back as a partitioned table."""
+    catalog.repartition(partition).write.partitionBy(partition).parquet(folder)
+    return catalog.sparkSession.read.schema(catalog.select(*[c for c in catalog.columns if c != partition], partition).schema).parquet(folder)
+
+
+def partitions_for_codes(codes: DataFrame, code: str, rules: list[tuple[str, list[str]]], known: list[str]) -> DataFrame:
+    """``partition``: what the rules (pattern, partitions) ask for that some code matches; all known ones if none does.
+
+    One aggregation over the codes; the result has a row a partition at most.
+    """
+    value = text.norm(code)
+    fires = lambda pattern: F.coalesce(F.max(value.rlike(pattern)), F.lit(False))
+    asked = F.flatten(F.array(*[F.when(fires(p), F.array(*[F.lit(x) for x in parts])).otherwise(F.array().cast("array<string>")) for p, parts in rules]))
+    every = F.array(*[F.lit(x) for x in known])
+    one = codes.agg(F.array_intersect(every, asked).alias("asked"))
+    return one.select(F.explode(F.when(F.size("asked") > 0, F.col("asked")).otherwise(every)).alias("partition"))
+
+
+def partition_prune_by_code(catalog: DataFrame, partition: str, codes: DataFrame, code: str, rules: list[tuple[str, list[str]]], known: list[str]) -> DataFrame:
+    """Rows of a partitioned catalog that the codes can refer to.
+
+    The partitions asked for are known only when the query runs; as the small side of a semi-join (a row a partition,
+    hence the broadcast) they prune the scan, so that folders of other partitions are never read.
+    """
+    needed = partitions_for_codes(codes, code, rules, known).filter(F.col("partition").isin(*known))
+    return catalog.join(F.broadcast(needed.withColumnRenamed("partition", partition)), partition, "left_semi")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -11,51 +9,88 @@ from ..functions import codes
 from ..operators.keyed import latest_by
 
 
-def stream_latest_record(rows: DataFrame, key: str, order: list[str], cols: list[str], read_state: Callable[[int], DataFrame | None],
-                         write_state: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+def stream_latest_record(rows: DataFrame, key: str, order: list[str], cols: list[str], state: BucketState) -> DataStreamWriter:
     """Keep the newest row per key of a stream.
 
-    Every micro-batch is reduced to one row per key, put next to the rows stored by the batches before it and reduced
-    again. The store is written under the batch number, so a repeated batch reads what it read the first time and
+    Every micro-batch is reduced to one row per key, put next to the stored rows of the buckets its keys fall into and
+    reduced again; other buckets are neither read nor written. A repeated batch reads what it read the first time and
     replaces its own result.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest_by(batch, [key], order, order + cols)
-        old = read_state(batch_id)
-        both = fresh if old is None else old.select(*fresh.columns).unionByName(fresh)
-        write_state(latest_by(both, [key], order, order + cols), batch_id)
+        fresh = latest_by(batch, [key], order, order + cols).withColumn(BUCKET, state.bucket()).persist()
+        try:
+            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # no more than there are buckets
+            if not touched:
+                return
+            old = state.read(before=batch_id, only=touched)
+            both = fresh if old is None else old.withColumn(BUCKET, state.bucket()).select(*fresh.columns).unionByName(fresh)
+            state.write(latest_by(both, [BUCKET, key], order, order + cols), touched, batch_id)
+        finally:
+            fresh.unpersist()
 
     return rows.writeStream.foreachBatch(upsert)
 
 
-def parquet_state(spark: SparkSession, folder: str) -> tuple[Callable[..., DataFrame | None], Callable[[DataFrame, int], None]]:
-    """State kept as one Parquet folder per batch in a shared place.
+BUCKET = "_bucket"
+
 
-    The state before a batch is the highest complete folder with a smaller number. It is looked for on the storage each
-    time, so a restarted driver goes on where the last one ended. Folders older than the one before are deleted.
+class BucketState:
+    """Rows by key in a shared place, in buckets of keys of which a batch writes only some.
+
+    Batch ``n`` puts its buckets under ``batch=n`` and, last of all, a manifest that names for every bucket the batch that
+    wrote it. The state before a batch is the highest complete manifest with a smaller number. It is looked for on the
+    storage each time, so a restarted driver goes on where the last one ended, and a batch cut short leaves nothing that
+    a reader sees. Buckets that neither of the last two manifests names are deleted.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(folder)
-
-    def complete() -> list[int]:
-        files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(top):
-            return []
-        found = [f.getPath() for f in files.listStatus(top) if f.getPath().getName().startswith("batch=")]
-        return sorted(int(p.getName()[6:]) for p in found if files.exists(hadoop.Path(p, "_SUCCESS")))
-
-    def read(before: int | None = None) -> DataFrame | None:
-        numbers = [n for n in complete() if before is None or n < before]
-        return spark.read.parquet(f"{folder}/batch={numbers[-1]}") if numbers else None
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for number in [n for n in complete() if n < batch_id][:-1]:
-            files.delete(hadoop.Path(f"{folder}/batch={number}"), True)
-
-    return read, write
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = 64):
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _listed(self, *parts: str) -> list[str]:
+        place = self._path("/".join([self.folder, *parts]))
+        return [f.getPath().getName() for f in self._files.listStatus(place)] if self._files.exists(place) else []
+
+    def _batches(self, *parts: str) -> list[int]:
+        return sorted(int(name[6:]) for name in self._listed(*parts) if name.startswith("batch="))
+
+    def _complete(self) -> list[int]:
+        return [n for n in self._batches("manifest") if self._files.exists(self._path(f"{self.folder}/manifest/batch={n}/_SUCCESS"))]
+
+    def _manifest(self, number: int) -> dict[int, int]:
+        rows = self.spark.read.schema("bucket int, batch long").parquet(f"{self.folder}/manifest/batch={number}")
+        return {r["bucket"]: r["batch"] for r in rows.collect()}  # a row a bucket
+
+    def manifest(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> the batch that wrote it, as of the batches before ``before``."""
+        numbers = [n for n in self._complete() if before is None or n < before]
+        return self._manifest(numbers[-1]) if numbers else {}
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """Rows of all buckets or of some; None if there are none."""
+        held = self.manifest(before)
+        paths = [f"{self.folder}/batch={batch}/{BUCKET}={bucket}" for bucket, batch in sorted(held.items()) if only is None or bucket in only]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def write(self, rows: DataFrame, touched: list[int], batch_id: int) -> None:
+        """``rows`` are the whole new content of the ``touched`` buckets."""
+        old = self.manifest(batch_id)
+        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.folder}/batch={batch_id}")
+        new = old | dict.fromkeys(touched, batch_id)
+        self.spark.createDataFrame(sorted(new.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/batch={batch_id}")
+        needed = {*old.items(), *new.items()}
+        for number in [n for n in self._batches() if n < batch_id]:
+            names = [name for name in self._listed(f"batch={number}") if name.startswith(f"{BUCKET}=")]
+            gone = [name for name in names if (int(name[len(BUCKET) + 1:]), number) not in needed]
+            for path in [f"batch={number}"] if len(gone) == len(names) else [f"batch={number}/{name}" for name in gone]:
+                self._files.delete(self._path(f"{self.folder}/{path}"), True)
+        for number in [n for n in self._complete() if n < batch_id][:-1]:
+            self._files.delete(self._path(f"{self.folder}/manifest/batch={number}"), True)
 
 
 def stream_daily_comparison(events: DataFrame, at: str, counts: dict[str, Column], delay: str = "1 day") -> DataFrame:

@@ -196,11 +196,11 @@ def test_stream_state_survives_a_restart_and_a_replay(spark, tmp_path):
 
     def run():
         """A new driver: nothing but the folders is known."""
-        read, write = twins.parquet_state(spark, folder)
+        state = twins.BucketState(spark, folder, "k", 8)
         rows = spark.readStream.schema("k int, n int, v string").option("maxFilesPerTrigger", 1).parquet(str(source))
-        job = twins.stream_latest_record(rows, "k", ["n"], ["v"], read, write)
+        job = twins.stream_latest_record(rows, "k", ["n"], ["v"], state)
         job.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
-        return {r["k"]: r["v"] for r in read().collect()}
+        return {r["k"]: r["v"] for r in state.read().collect()}
 
     want = {}
     for n in range(6):
@@ -208,11 +208,39 @@ def test_stream_state_survives_a_restart_and_a_replay(spark, tmp_path):
         arrive(n, rows)
         want.update({k: v for k, _, v in rows})
         assert run() == want
-    read, write = twins.parquet_state(spark, folder)
-    last = max(int(p.name[6:]) for p in (tmp_path / "state").iterdir() if p.name.startswith("batch="))
-    batch = spark.createDataFrame(rows, "k int, n int, v string")
-    write(keyed.latest_by(read(last).select("k", "n", "v").unionByName(batch), ["k"], ["n"], ["n", "v"]), last)  # the last batch again
-    assert {r["k"]: r["v"] for r in read().collect()} == want
+    state = twins.BucketState(spark, folder, "k", 8)
+    last = max(state.manifest().values())
+    batch = spark.createDataFrame(rows, "k int, n int, v string").withColumn("_bucket", state.bucket())
+    touched = [r[0] for r in batch.select("_bucket").distinct().collect()]
+    before = state.read(last, touched).withColumn("_bucket", state.bucket())
+    state.write(keyed.latest_by(before.unionByName(batch), ["_bucket", "k"], ["n"], ["n", "v"]), touched, last)  # the last batch again
+    assert {r["k"]: r["v"] for r in state.read().collect()} == want
+
+
+def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
+    from docweave.streaming import twins
+
+    state = twins.BucketState(spark, str(tmp_path / "state"), "k", 32)
+    source = tmp_path / "in"
+
+    def run():
+        rows = spark.readStream.schema("k int, n int, v string").parquet(str(source))
+        twins.stream_latest_record(rows, "k", ["n"], ["v"], state).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+
+    spark.createDataFrame([(k, 0, "a") for k in range(500)], "k int, n int, v string").write.parquet(str(source))
+    run()
+    first = state.manifest()
+    assert len(first) == 32
+    spark.createDataFrame([(7, 1, "b"), (900, 1, "c")], "k int, n int, v string").coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    changed = {b for b, n in state.manifest().items() if n != first.get(b)}
+    assert 1 <= len(changed) <= 2
+    written = [p for p in (tmp_path / "state" / f"batch={max(state.manifest().values())}").iterdir() if p.name.startswith("_bucket=")]
+    assert len(written) == len(changed)
+    assert {r["k"]: r["v"] for r in state.read().collect()} == {**{k: "a" for k in range(500)}, 7: "b", 900: "c"}
+    # A batch that was cut short before its manifest is not seen.
+    spark.createDataFrame([(7, 9, "x", 1)], "k int, n int, v string, _bucket int").write.partitionBy("_bucket").parquet(str(tmp_path / "state" / "batch=99"))
+    assert {r["v"] for r in state.read().collect()} == {"a", "b", "c"}
 
 
 def test_title_wordings(spark):
@@ -289,3 +317,30 @@ def test_a_text_offers_no_more_than_its_length(spark):
     value = "CODE-000000000007-ABAB AND " * 30
     offered = M.offers(spark.createDataFrame([(value,)], "v string"), F.col("v"), index)
     assert offered.count() <= len(value)
+
+
+def test_only_partitions_the_codes_ask_for_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"P{i % 6}") for i in range(60)], "entry int, kind string")
+    catalog = K.write_partitioned(rows, "kind", str(tmp_path / "catalog"))
+    rules, known = [("_CVL_", ["P1", "P4"]), ("_ELE_", ["P2"])], [f"P{i}" for i in range(6)]
+    frame = lambda *xs: spark.createDataFrame([(x,) for x in xs], "code string")
+    prune = lambda *xs: K.partition_prune_by_code(catalog, "kind", frame(*xs), "code", rules, known)
+    some = prune("a_cvl_1", None, "", "x")
+    assert sorted({r["kind"] for r in some.collect()}) == ["P1", "P4"] and some.count() == 20
+    plan = some._jdf.queryExecution()
+    assert "dynamicpruning" in plan.optimizedPlan().toString().lower()
+    read = [m for m in _metrics(plan.executedPlan()) if "staticFilesNum" in m]
+    assert [(m["staticFilesNum"], m["numFiles"], m["numPartitions"]) for m in read] == [(6, 2, 2)]
+    assert sorted({r["kind"] for r in prune("nothing").collect()}) == known  # no rule fires: all of them
+    assert prune().count() == 60
+
+
+def _metrics(plan):
+    """The metrics of every node of an executed plan."""
+    kind, held = plan.nodeName(), {}
+    names = plan.metrics().keys().iterator()
+    while names.hasNext():
+        name = names.next()
+        held[name] = plan.metrics().apply(name).value()
+    below = [plan.executedPlan()] if "AdaptiveSparkPlan" in kind else [plan.plan()] if "QueryStage" in kind else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [held, *(m for p in below for m in _metrics(p))]

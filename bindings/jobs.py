@@ -295,7 +295,7 @@ _RF = f"(select {d.ptag('tag')} n, {d.rx(d.ptag('tag'), '[^A-Z0-9]')} c, tag t f
 
 @query("tag_conference", f"""with r as (select request_id, c clean_code from (select request_id, {_TCLEAN} c, row_number() over (partition by {d.norm(_TCLEAN)} order by request_id, {_TCLEAN}) n from {d.v('tag_requests')}) where n = 1 and {d.norm('c')} <> ''),
   a as (select n, count(*) h, min(t) t from {_RF} group by 1), b as (select c, count(*) h, min(t) t from {_RF} where c <> '' group by 1),
-  x as (select r.*, regexp_replace(clean_code, '(?i)^nt[-_]', '') cand, regexp_matches(clean_code, '(?i)^nt[-_]') marked, length(clean_code) between 4 and 120 and regexp_matches({d.ptag('clean_code')}, '[A-Z]') and regexp_matches({d.ptag('clean_code')}, '[0-9]') and regexp_matches(clean_code, '[-_./]') and regexp_full_match(clean_code, '(?i)[A-Z0-9._~/\-]+') valid from r),
+  x as (select r.*, regexp_replace(clean_code, '(?i)^nt[-_]', '') cand, regexp_matches(clean_code, '(?i)^nt[-_]') marked, length(clean_code) between 4 and 120 and regexp_matches({d.ptag('clean_code')}, '[A-Z]') and regexp_matches({d.ptag('clean_code')}, '[0-9]') and regexp_matches(clean_code, '[-_./]') and regexp_full_match(clean_code, '(?i)[A-Z0-9._~/\\-]+') valid from r),
   y as (select x.*, case when a.n is not null then 'contract' when b.c is not null then 'punctuation' else 'none' end mt, coalesce(a.h, b.h, 0) h, coalesce(a.t, b.t, '') t from x left join a on a.n = {d.ptag('x.cand')} left join b on b.c = {d.rx(d.ptag('x.cand'), '[^A-Z0-9]')}),
   z as (select *, case when not valid or h > 1 then 'review' when h = 1 and marked then 'remove_marker' when h = 1 then 'confirmed' when marked then 'non_tagged' else 'add_marker' end status from y)
   select request_id, clean_code, status, case when status in ('remove_marker', 'confirmed') then {d.ptag('t')} when status = 'non_tagged' then case when clean_code like 'nt-%' then clean_code else 'nt-' || cand end when status = 'add_marker' then 'nt-' || cand else clean_code end corrected_code,

@@ -348,7 +348,7 @@ _CODE = "concat('D_', case when l_linenumber = 1 then 'cvl' when l_linenumber =
   select p_type, count(*) row_count, cast(sum(p_size) as bigint) size_sum from part where p_type in (select t from fired) or not exists (select 1 from fired) group by 1""")
 def _(load):
     part = load("part").select("p_partkey", "p_size", "p_type")
-    catalog = K.write_partitioned(part, "p_type", f"{shared_folder(part.sparkSession)}/catalog-{uuid.uuid4().hex}")
+    catalog = K.partitioned_catalog(part, f"{shared_folder(part.sparkSession)}/catalog-{uuid.uuid4().hex}", "p_type")
     kept = K.partition_prune_by_code(catalog, "p_type", load("lineitem").select(F.expr(_CODE).alias("code")), "code", _RULES, _KINDS)
     return kept.groupBy("p_type").agg(F.count(F.lit(1)).alias("row_count"), F.sum("p_size").alias("size_sum"))
 

@@ -203,10 +203,11 @@ def complement_union(own: DataFrame, embedded: DataFrame, key: str) -> DataFrame
     return own.unionByName(embedded.join(own.select(key), key, "left_anti"))
 
 
-def write_partitioned(catalog: DataFrame, partition: str, folder: str) -> DataFrame:
-    """The catalog in one folder for each value of ``partition``, read back as a partitioned table."""
-    catalog.repartition(partition).write.partitionBy(partition).parquet(folder)
-    return catalog.sparkSession.read.schema(catalog.select(*[c for c in catalog.columns if c != partition], partition).schema).parquet(folder)
+def partitioned_catalog(catalog: DataFrame, path: str, partition: str) -> DataFrame:
+    """The catalog written in folders by ``partition`` and read back as a partitioned table."""
+    write_partitioned(catalog, path, partition)
+    columns = [c for c in catalog.columns if c != partition]
+    return catalog.sparkSession.read.schema(catalog.select(*columns, partition).schema).parquet(path)
 
 
 def partitions_for_codes(codes: DataFrame, code: str, rules: list[tuple[str, list[str]]], known: list[str]) -> DataFrame:

@@ -321,7 +321,7 @@ def test_a_text_offers_no_more_than_its_length(spark):
 
 def test_only_partitions_the_codes_ask_for_are_read(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"P{i % 6}") for i in range(60)], "entry int, kind string")
-    catalog = K.write_partitioned(rows, "kind", str(tmp_path / "catalog"))
+    catalog = K.partitioned_catalog(rows.coalesce(1), str(tmp_path / "catalog"), "kind")
     rules, known = [("_CVL_", ["P1", "P4"]), ("_ELE_", ["P2"])], [f"P{i}" for i in range(6)]
     frame = lambda *xs: spark.createDataFrame([(x,) for x in xs], "code string")
     prune = lambda *xs: K.partition_prune_by_code(catalog, "kind", frame(*xs), "code", rules, known)

@@ -243,14 +243,23 @@ def _(load):
     return T.normative_prefix_strip(titles, "document", "title", words, "wording").select("document", "prefix_words", "stripped_title")
 
 
-_RULES = [(r"track\((\d+)\)", 110), (r"page=(\d+&ref=\w+)", 100), (r"charset=\"([a-z]+-\d)\"", 92), (r"href=\"/([A-Za-z]*\d[A-Za-z0-9]*)", 88)]
-
-
-@query("identifier_extract_ranked", """with c as (select page_id, v, max(s) s from (select page_id, upper(regexp_replace(regexp_replace(v, '^[#:\\-–—.\\s]+', ''), '[;,.:\\-–—\\s]+$', '')) v, s from (
-  """ + " union all ".join(f"select page_id, unnest(regexp_extract_all(html || url, '{rx}', 1)) v, {s} s from pages" for rx, s in _RULES) + """))
-  where regexp_matches(v, '[0-9]') and length(v) between 2 and 64 and not regexp_full_match(v, '\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}') group by 1, 2),
+_LABEL = r"(?:CERTIFICADO|CERTIFICATE|CERT\.?)"
+_RULES = [*T.label_rules(_LABEL, "Etiqueta"), (r"track\((\d+)\)", 110), (r"page=(\d+&ref=\w+)", 100), (r"charset=\"([a-z]+-\d)\"", 92), (r"href=\"/([A-Za-z]*\d[A-Za-z0-9]*)", 88)]
+#: Half of the pages have lines of a certificate above their markup.
+_LINES = """case page_id % 10 when 0 then concat('Certificado Nº: AB-', page_id, '/1') when 1 then concat('cert. emitido em obra sob NÚMERO 77-', page_id, '.')
+  when 2 then concat('x\n Certificado do lote \n\n  X', page_id, '.9 \nfim') when 3 then concat('Lote de certificado final  5', page_id, 'A') when 4 then concat('Etiqueta: T-', page_id, ';') end"""
+_CONTENT = f"coalesce({_LINES}, concat(html, url))"
+
+
+@query("identifier_extract_ranked", f"""with p as (select page_id, {_CONTENT.replace(chr(92) + "n", "' || chr(10) || '")} t from pages), f as (select page_id, t, regexp_replace(t, '[\\s\\x{{a0}}]+', ' ', 'g') o from p),
+  l as (select page_id, list_filter(list_transform(regexp_split_to_array(t, '\\n+'), lambda x: trim(regexp_replace(x, '[\\s\\x{{a0}}]+', ' ', 'g'))), lambda x: x <> '') ls from p), n as (select page_id, ls[i] line, ls[i + 1] nxt from (select page_id, ls, unnest(range(1, len(ls) + 1)) i from l)),
+  raw as (""" + " union all ".join(f"select page_id, unnest(regexp_extract_all(o, '{rx}', 1)) v, {s} s from f" for rx, s in _RULES) + f"""
+  union all select page_id, regexp_extract(line, '(?i){T.NUMBER}?\\s*[:#\\-–]?\\s*({T.SHAPE}{{2,63}})\\s*$', 1), 88 from n where regexp_matches(line, '(?i){_LABEL}')
+  union all select page_id, nxt, 82 from n where regexp_matches(line, '(?i){_LABEL}') and regexp_full_match(nxt, '(?i){T.SHAPE}{{1,63}}')),
+  c as (select page_id, v, max(s) s from (select page_id, upper(regexp_replace(regexp_replace(regexp_replace(v, '^[#:\\-–—.\\s]+', ''), '[;,.:\\-–—\\s]+$', ''), '(?i)^(?:N[º°O.]?|N[ÚU]MERO)\\s*', '')) v, s from raw)
+  where regexp_matches(v, '[0-9]') and length(v) between 2 and 64 and not regexp_full_match(v, '\\d{{1,2}}[/.\\-]\\d{{1,2}}[/.\\-]\\d{{2,4}}') group by 1, 2),
   r as (select *, row_number() over (partition by page_id order by s desc, v) n, lead(s) over (partition by page_id order by s desc, v) s2, count(*) over (partition by page_id) k from c)
   select page_id, v as value, s score, k candidates, coalesce(s2, 0) second_score, case when s >= 100 and (k = 1 or s - coalesce(s2, 0) >= 8) then 'high' when s >= 88 and k = 1 then 'high' else 'review' end confidence from r where n = 1""")
 def _(load):
-    pages = load("pages").select("page_id", F.lit(1).alias("page"), F.concat("html", "url").alias("content"))
-    return T.identifier_extract_ranked(pages, ["page_id"], "page", "content", _RULES).drop("page")
+    pages = load("pages").select("page_id", F.lit(1).alias("page"), F.expr(_CONTENT).alias("content"))
+    return T.identifier_extract_ranked(pages, ["page_id"], "page", "content", _RULES, _LABEL).drop("page")

@@ -344,3 +344,19 @@ def _metrics(plan):
         held[name] = plan.metrics().apply(name).value()
     below = [plan.executedPlan()] if "AdaptiveSparkPlan" in kind else [plan.plan()] if "QueryStage" in kind else [plan.children().apply(i) for i in range(plan.children().size())]
     return [held, *(m for p in below for m in _metrics(p))]
+
+
+def test_identifiers_by_line_rules(spark):
+    label = r"(?:CERTIFICADO|CERTIFICATE|CERT\.?)"
+    pages = {
+        1: "Certificado Nº: AB-1/1 emitido", 2: "cert. emitido em obra sob NÚMERO 77-2.", 3: "x\n Certificado do lote \n\n  X3.9 \nfim", 4: "Lote de certificado final  5A4\n12/05/2024",
+        5: "(Etiqueta) T-5; certificado ZZ9", 6: "certificado 12/05/2024", 7: None, 8: "", 9: "certificado N 12 certificado 99", 10: "CERTIFICADO\nsem numero",
+    }
+    df = spark.createDataFrame([(i, 1, t) for i, t in pages.items()], "doc int, page int, content string")
+    rules = T.label_rules(label, "(Etiqueta)")
+    got = {r["doc"]: (r["value"], r["score"], r["candidates"], r["confidence"]) for r in T.identifier_extract_ranked(df, ["doc"], "page", "content", rules, label).collect()}
+    assert got == {
+        1: ("AB-1/1", 100, 1, "high"), 2: ("77-2", 92, 1, "high"), 3: ("X3.9", 82, 1, "review"), 4: ("5A4", 88, 1, "high"),
+        5: ("T-5", 110, 2, "high"), 9: ("12", 100, 2, "review"),
+    }
+    assert T.label_rules(label) == T.label_rules(label, "  ")

@@ -89,6 +89,13 @@ def _(load):
     return P.result_page(load("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, 50)
 
 
+@query("result_page_deep", """select o_orderkey, o_custkey, o_totalprice from (select *, row_number() over (order by o_custkey, o_orderkey) - 1 n, count(*) over () total from orders)
+  where n // 40 = (total // 40) // 2""")
+def _(load):
+    pages = P.Pages(load("orders").select("o_orderkey", "o_custkey", "o_totalprice"), [F.asc("o_custkey")])
+    return pages.page(pages.rows // 40 // 2 + 1, 40)
+
+
 @query("source_category", f"""select category, count(*) row_count from (select case when {d.norm('comment')} = 'OK' then 'already_correct' when regexp_matches({d.norm('comment')}, '^CORRIGIR') then 'learned'
   when {d.norm('allocation_status')} = 'NAO ALOCADO' then 'blocked' when {d.path_complete('path')} then 'controlled' else 'without_evidence' end category from {REG}) group by 1""")
 def _(load):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docweave.session import shared_folder
 from docweave.sources.streams import parquet_stream
@@ -20,12 +20,13 @@ from .registry import query
 FILES = 6
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str, folder: str, order: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, table: str, folder: str, order: str | Column) -> DataFrame:
     """The table as a stream in order of arrival, in about FILES micro-batches."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     arrived = f"{folder}/arrived"
-    bounds = rows.approxQuantile(order, [i / FILES for i in range(1, FILES)], 0.01)
-    part = sum((F.col(order) > b).cast("int") for b in bounds)
+    place = F.col(order) if isinstance(order, str) else order
+    bounds = rows.select(place.alias("place")).approxQuantile("place", [i / FILES for i in range(1, FILES)], 0.01)
+    part = sum((place > b).cast("int") for b in bounds)
     for number in range(FILES):
         rows.filter(part == number).write.mode("append").parquet(arrived)
     files = len(spark.read.schema(rows.schema).parquet(arrived).inputFiles())
@@ -54,19 +55,37 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read().select("user_id", "event_id", "event_type")
 
 
+def _drain_days(per_day: DataFrame, names: list[str], folder: str) -> DataFrame:
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    _drain(per_day.writeStream.outputMode("update").foreachBatch(keep), folder)
+    # a later batch replaces the counts of a day
+    out = per_day.sparkSession.read.parquet(f"{folder}/out")
+    return out.groupBy("day").agg(F.max(F.struct("batch", *names)).alias("m")).select("day", *[f"m.{n}" for n in names])
+
+
 @_register("stream_daily_comparison", """select cast(cast(ts as date) as varchar) as day, count(*) filter (where event_type = 'view') ready, count(*) filter (where event_type = 'error') failed from events group by 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
     counts = {"ready": F.col("event_type") == "view", "failed": F.col("event_type") == "error"}
-    per_day = T.stream_daily_comparison(_stream(spark, sf_dir, "events", folder, "event_id"), "ts", counts)
+    sources = {"events": (_stream(spark, sf_dir, "events", folder, "event_id"), "ts", counts, "1 day")}
+    return _drain_days(T.stream_daily_comparison(sources), list(counts), folder)
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    _drain(per_day.writeStream.outputMode("update").foreachBatch(keep), folder)
-    # a later batch replaces the counts of a day
-    out = spark.read.parquet(f"{folder}/out")
-    return out.groupBy("day").agg(F.max(F.struct("batch", "ready", "failed")).alias("m")).select("day", "m.ready", "m.failed")
+@_register("stream_daily_comparison_sources", """select cast(day as varchar) as day, cast(sum(ready) as bigint) ready, cast(sum(failed) as bigint) failed, cast(sum(orders) as bigint) orders, cast(sum(urgent) as bigint) urgent, cast(sum(shipped) as bigint) shipped from (
+  select cast(ts as date) as day, count(*) filter (where event_type = 'view') ready, count(*) filter (where event_type = 'error') failed, 0 orders, 0 urgent, 0 shipped from events group by 1 union all
+  select cast(o_orderdate as date), 0, 0, count(*), count(*) filter (where o_orderpriority = '1-URGENT'), 0 from orders group by 1 union all
+  select cast(l_shipdate as date), 0, 0, 0, 0, count(*) from lineitem group by 1) where day >= date '1996-01-01' group by 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    arrival = lambda c: F.unix_date(F.col(c).cast("date"))
+    sources = {
+        "events": (_stream(spark, sf_dir, "events", f"{folder}/events", "event_id"), "ts", {"ready": F.col("event_type") == "view", "failed": F.col("event_type") == "error"}, "1 day"),
+        "orders": (_stream(spark, sf_dir, "orders", f"{folder}/orders", arrival("o_orderdate")), "o_orderdate", {"orders": F.lit(True), "urgent": F.col("o_orderpriority") == "1-URGENT"}, "1 day"),
+        "shipped": (_stream(spark, sf_dir, "lineitem", f"{folder}/lineitem", arrival("l_shipdate")), "l_shipdate", {"shipped": F.lit(True)}, "3 days"),
+    }
+    return _drain_days(T.stream_daily_comparison(sources, start="1996-01-01"), ["ready", "failed", "orders", "urgent", "shipped"], folder)
 
 
 @_register("stream_dedupe_requests", f"select distinct {d.request_key('props || user_id')} request_key from events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import revision, text
+from ..session import cut_lineage
 from .keyed import latest_by, top_k_by
 
 # Columns of the named projections.
@@ -107,8 +108,37 @@ def scope_semi_filter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
+class Pages:
+    """A table in order, stored once, of which any page is read without the pages before it.
+
+    Rows go to range partitions of the order, one folder each, and are counted there. A page is found from the counts,
+    one number a partition, and read from the folders it lies in, one or two unless a page is longer than a folder.
+    Rows that ``order`` leaves equal come in the order of their other columns, so pages neither share nor lose rows.
+    A page past the end has no rows. Without ``folders`` adaptive execution gives them the size of its partitions.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], folders: int | None = None):
+        unordered = ("map", "variant")
+        rest = [F.col(f.name) for f in df.schema.fields if not any(kind in f.dataType.simpleString() for kind in unordered)]
+        self.columns, self.order = df.columns, [*order, *rest]
+        spread = df.repartitionByRange(*([folders] if folders else []), *self.order).withColumn("_folder", F.spark_partition_id())
+        self.stored = cut_lineage(spread, "_folder")
+        counts = self.stored.groupBy("_folder").count().orderBy("_folder").collect()  # a row a partition
+        self.folders, self.rows = [], 0
+        for number, rows in counts:
+            self.folders.append((number, self.rows, self.rows + rows))
+            self.rows += rows
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """Page ``page`` (from 1) of ``size`` rows."""
+        low, high = (page - 1) * size, page * size
+        held = [(number, first) for number, first, end in self.folders if first < high and end > low]
+        rows = self.stored.filter(F.col("_folder").isin([number for number, _ in held]))
+        return rows.orderBy(*self.order).offset(low - held[0][1] if held else 0).limit(size).select(*self.columns)
+
+
 def result_page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1): only the rows up to its end are kept while sorting."""
+    """Page ``page`` (from 1) of a table read once: every task keeps the rows up to its end. For deep pages see ``Pages``."""
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 

@@ -49,15 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
-    Later stages read files that survive the loss of any executor, and only the columns they need.
+    Later stages read files that survive the loss of any executor, and only the columns they need; of a table in
+    folders ``by`` some columns, only the folders they need.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def drop_written(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -93,11 +95,28 @@ class BucketState:
             self._files.delete(self._path(f"{self.folder}/manifest/batch={number}"), True)
 
 
-def stream_daily_comparison(events: DataFrame, at: str, counts: dict[str, Column], delay: str = "1 day") -> DataFrame:
-    """Conditional counts per day of event time; days behind the watermark are final."""
-    marked = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
-    per = marked.groupBy(F.window("_at", "1 day").alias("w")).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
-    return per.select(F.col("w.start").cast("date").cast("string").alias("day"), *counts)
+def stream_daily_comparison(sources: dict[str, tuple[DataFrame, str, dict[str, Column], str]], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Conditional counts of several event streams per day of event time, one row a day; what ``daily_comparison`` gives.
+
+    ``sources`` are name -> (stream, time column, counts by name, delay). Every stream has its own watermark, its latest
+    time less its delay. A day stays open until it is behind all of them, so a slow source loses nothing to a fast one:
+    this is the policy "min" of spark.sql.streaming.multipleWatermarkPolicy, Spark's default; "max" is refused. After a
+    restart days stay open until every stream has brought rows again. Rows without a time or out of the days ``start`` to ``end`` are not counted.
+    """
+    names = [n for _, _, counts, _ in sources.values() for n in counts]
+    parts = []
+    for rows, at, counts, delay in sources.values():
+        if rows.sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy", "min") != "min":
+            raise ValueError("spark.sql.streaming.multipleWatermarkPolicy has to be min")
+        marked = rows.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
+        hits = [(counts[n] if n in counts else F.lit(False)).alias(n) for n in names]
+        day = F.col("_at").cast("date")
+        for bound, holds in ((start, day >= F.lit(start).cast("date")), (end, day <= F.lit(end).cast("date"))):
+            marked = marked.filter(holds) if bound is not None else marked
+        parts.append(marked.select("_at", *hits))
+    both = functools.reduce(DataFrame.unionByName, parts)
+    per = both.groupBy(F.window("_at", "1 day").alias("w")).agg(*[F.count_if(n).alias(n) for n in names])
+    return per.select(F.col("w.start").cast("date").cast("string").alias("day"), *names)
 
 
 def stream_dedupe_requests(requests: DataFrame, raw: str, at: str, delay: str = "1 day") -> DataFrame:

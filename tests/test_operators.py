@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import codes, text
@@ -360,3 +361,86 @@ def test_identifiers_by_line_rules(spark):
         5: ("T-5", 110, 2, "high"), 9: ("12", 100, 2, "review"),
     }
     assert T.label_rules(label) == T.label_rules(label, "  ")
+
+
+def test_pages_hold_every_row_once_and_read_one_folder(spark):
+    from docweave.operators import filters
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(30)]), rnd.choice(["a", "b", None]), i // 2) for i in range(2000)]  # repeated rows and ties
+    frame = spark.createDataFrame(rows, "k int, v string, n int")
+    pages = filters.Pages(frame, [F.desc("k")], 5)
+    got = [tuple(r) for number in (1, 2, 3, 4) for r in pages.page(number, 600).collect()]
+    by_rest = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+    assert got == sorted(by_rest, key=lambda r: (r[0] is None, -(r[0] or 0))) and pages.rows == 2000
+    assert [tuple(r) for r in pages.page(1500, 1).collect()] == [got[1499]]
+    assert len(pages.folders) > 1 and sum(first < 1500 and end > 1499 for _, first, end in pages.folders) == 1
+    pages.stored = pages.stored.filter("_folder <> 0")  # a page past the first folder doesn't need it
+    assert [tuple(r) for r in pages.page(1500, 1).collect()] == [got[1499]]
+    assert pages.page(5, 600).collect() == [] and filters.Pages(frame.limit(0), [F.asc("k")]).page(1, 10).collect() == []
+
+
+def test_prefix_support_against_brute_force(spark):
+    rnd = random.Random(2)
+    grains = [["d"], ["t", "s"], ["t"]]
+    rows = [(i, rnd.choice("pqrs"), rnd.choice(["x", "y", None]), rnd.choice("mn"), rnd.choice(["", None, "A", "B", "BB", "C"])) for i in range(60)] + [(99, "alone", "z", "m", "A")]
+    frame = spark.createDataFrame(rows, "i int, d string, t string, s string, prefix string")
+    at = {"d": 1, "t": 2, "s": 3}
+
+    def chosen(row):
+        for grain in grains:
+            key = [row[at[k]] for k in grain]
+            counts = {}
+            for other in rows:
+                if other is not row and other[4] and None not in key and [other[at[k]] for k in grain] == key:
+                    counts[other[4]] = counts.get(other[4], 0) + 1
+            if counts:
+                return max((n, len(p), p) for p, n in counts.items())
+        return (0, 0, "")
+
+    got = {r["i"]: (r["support"], len(r["pattern"]), r["pattern"]) for r in T.prefix_pattern_support(frame, "i", grains, "prefix").collect()}
+    assert got == {row[0]: chosen(row) for row in rows}
+
+
+def test_days_of_several_streams_close_behind_the_slowest(spark, tmp_path):
+    from docweave.streaming import twins
+
+    kinds = {"runs": {"ready": F.col("kind") == "ok", "failed": F.col("kind") == "bad"}, "orders": {"orders": F.lit(True)}, "notes": {"notes": F.col("kind").isNotNull()}}
+    schema = "at timestamp, kind string"
+
+    def put(name, batch, rows):
+        frame = spark.createDataFrame([(t, k) for t, k in rows], "t string, kind string").select(F.to_timestamp("t").alias("at"), "kind")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def run():
+        sources = {n: (spark.readStream.schema(schema).parquet(str(tmp_path / n)), "at", c, "1 day") for n, c in kinds.items()}
+        per = twins.stream_daily_comparison(sources, start="2024-01-02")
+        job = per.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={i}")))
+        job.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+
+    day = lambda n, hour=5: f"2024-01-{n:02d} {hour:02d}:00:00"
+    put("runs", 0, [(day(1), "ok"), (day(2), "ok"), (day(9), "bad"), (None, "ok")])
+    put("orders", 0, [(day(2), "a"), (day(9), None)])
+    put("notes", 0, [(day(3), "n")])
+    run()
+    # Late for its own stream, but the notes are not past that day: counted.
+    put("runs", 1, [(day(3, 23), "bad"), (day(3), "ok")])
+    put("notes", 1, [(day(8), None), (day(8), "n")])
+    run()
+    batch = X.daily_comparison({n: (spark.read.schema(schema).parquet(str(tmp_path / n)), "at", c) for n, c in kinds.items()}, "2024-01-02", "2024-12-31")
+    read = lambda: {r["day"]: tuple(r["m"])[1:] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("day").agg(F.max(F.struct("batch", "ready", "failed", "orders", "notes")).alias("m")).collect()}
+    want = {r["day"]: (r["ready"], r["failed"], r["orders"], r["notes"]) for r in batch.collect()}
+    assert read() == want and set(want) == {f"2024-01-{n:02d}" for n in (2, 3, 8, 9)}
+    # Behind all three watermarks, one batch after they moved: the day is final.
+    for name, kind in (("runs", "other"), ("orders", "b"), ("notes", None)):
+        put(name, 2, [(day(9), kind)])
+    run()
+    put("orders", 3, [(day(2), "late"), (day(9), "b")])
+    run()
+    assert read() == want | {"2024-01-09": (0, 1, 3, 0)}
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+    try:
+        with pytest.raises(ValueError):
+            run()
+    finally:
+        spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")

@@ -19,6 +19,7 @@ each other by the hash of their text, equal rows in either order; an empty table
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -28,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -38,6 +40,8 @@ from .common import slices, table
 BLOCK, PERCENTILE, HEAD = 128, 90, 6
 #: A chunk is closed when it holds so many ids; one document is never split.
 CHUNK_IDS = 1 << 18
+#: Bytes of text that are split and looked up at once.
+SLICE_BYTES = 4 << 20
 #: Bytes of pieces kept in a worker's cache.
 CACHE_BYTES = 96 << 20
 
@@ -112,7 +116,13 @@ class PieceCoder(dict):
         return out
 
     def learn(self) -> None:
-        got = self.ids_of(self.new)
+        collecting = gc.isenabled()
+        gc.disable()  # only lists of numbers are made here, which hold no cycles
+        try:
+            got = self.ids_of(self.new)
+        finally:
+            if collecting:
+                gc.enable()
         sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         more = int(sizes.sum())
         if self.used + more > len(self.flat):
@@ -122,18 +132,29 @@ class PieceCoder(dict):
         self.used += more
         self.new = []
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: pa.Array | list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces of the texts (binary, nulls are empty) and how many each text has; distinct ones are looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        shown = pc.fill_null(texts, b"").view(pa.string())  # as bytes, nothing is decoded
+        lower = pc.if_else(pc.match_substring(shown, "<|"), shown, pc.ascii_lower(shown))
+        split = pc.ascii_split_whitespace(lower)
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = split.flatten().dictionary_encode()
+        if not len(found):
+            return np.zeros(0, dtype=np.int64), counts
+        # No piece holds a line break, so joining and splitting gives them as bytes; it is the fastest way out of Arrow.
+        whole = pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary.view(pa.binary()))
+        pieces = pc.binary_join(whole, b"\n")[0].as_py().split(b"\n")
+        distinct = np.fromiter(map(self.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        return distinct[found.indices.to_numpy()], counts
+
+    def encode(self, texts: pa.Array | list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and the number of ids of each text."""
         if self.size > CACHE_BYTES:
             self.forget()
-        numbers, counts = [], np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            pieces = text.split() if b"<|" in text else text.lower().split()
-            counts[i] = len(pieces)
-            numbers.append(np.fromiter(map(self.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
+        piece, counts = self.numbers(texts)
         if self.new:
             self.learn()
-        piece = np.concatenate([np.zeros(0, dtype=np.int64), *numbers])
         start, size = self.at[piece], self.at[piece + 1] - self.at[piece]
         ends = np.concatenate([[0], np.cumsum(size)])
         lengths = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]) + 1
@@ -275,12 +296,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "n_ids", "doc_id", "n_tokens", "payload_at", "payload"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                ids, lengths = coder.encode([t or b"" for t in batch.column("text").to_pylist()], end_id)
-                held.append((ids, lengths, batch.column("id").to_pylist()))
-                if sum(len(h[0]) for h in held) >= CHUNK_IDS:
-                    yield close()
-                    number, held = number + 1, []
+            for batch in slices(whole, "text", SLICE_BYTES):
+                ids, lengths = coder.encode(batch.column("text"), end_id)
+                names, ends = batch.column("id").to_pylist(), np.cumsum(lengths)
+                # Documents by the CHUNK_IDS ids among which they begin.
+                cuts = [0, *(np.flatnonzero(np.diff((ends - lengths) // CHUNK_IDS)) + 1).tolist(), len(names)]
+                for low, high in zip(cuts, cuts[1:]):
+                    held.append((ids[ends[low] - lengths[low]: ends[high - 1]], lengths[low:high], names[low:high]))
+                    if sum(len(h[0]) for h in held) >= CHUNK_IDS:
+                        yield close()
+                        number, held = number + 1, []
         if held:
             yield close()
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -53,3 +54,20 @@ def test_files(spark):
     want = sorted((i if i is not None else -99, len(whole(t)), zlib.crc32(np.array(whole(t), "<u4").tobytes())) for i, t, _ in rows)
     assert sorted((r[0] if r[0] is not None else -99, r[2], r[3]) for r in got) == want
     assert T.token_files(docs.limit(0)).collect() == []
+
+
+def test_several_chunks_of_a_shard(spark):
+    body = [f"w{i % 7} x. " * (i % 5 * 3000) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(body)), "doc_id int, text string").coalesce(1)
+    got = sorted(map(tuple, T.token_files(docs).collect()))
+    own = [whole(t) for t in body]
+    assert sum(map(len, own)) > 2 * T.CHUNK_IDS
+    assert got == [(i, sum(map(len, own[:i])), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(own)]
+
+
+def test_views_nulls_and_splits_of_an_array():
+    texts = pa.array([b"cut", None, b"  two  words.\n", b"<|endoftext|> A", b"", b"ABC abc abc."], pa.binary())
+    ids, n = CODER.encode(texts.slice(1), 1)
+    own = [whole(t.decode() if t else "") for t in texts.to_pylist()[1:]]
+    assert ids.tolist() == [i for d in own for i in d] and n.tolist() == list(map(len, own))
+    assert CODER.encode(texts.slice(0, 0), 1)[1].tolist() == []

@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs are chosen under a bound on the share of good texts they reject.
 
-A rule rejects a text whose measure is above the cutoff of its stratum. For every rule, stratum and cutoff of a fixed
-grid, the good texts of the labelled holdout that the rule would reject are counted, and an exact binomial test asks
-whether the true share can be above the rule's part of ALPHA. The lowest cutoff that passes is taken; with the level
-divided by the number of all tests (Bonferroni), all chosen rules hold their bounds together with probability 1 - DELTA.
-A stratum with too few labels passes no test and has no cutoff. Everything is DataFrame expressions.
+A rule rejects a text whose measure is above the cutoff of its stratum. The cutoffs of all rules form a path of settings
+fixed in advance: the rules take turns, each lowering its cutoff by one place of its grid, loosest first, so every setting
+rejects all that the one before it does. For each setting of a stratum, the good texts of the labelled holdout that any
+rule would reject are counted, and an exact binomial test asks whether their true share can be above ALPHA. The tests of a
+stratum are made in the order of the path and end at the first that fails; the last setting that passed is taken. Tests in
+a fixed order need no division of the level among themselves, only among the strata, so all strata hold their bound
+together with probability 1 - DELTA. A stratum with too few labels passes no test and has no cutoff: with four strata and
+no good text hit, 217 are enough. Everything is DataFrame expressions.
 
 Result by case: a null or empty text has no words and fails the base rules; a null stratum is a stratum; a text with
 several labels is good if all of them say so; repeated rows each count and get the same verdict; an empty table gives no
@@ -32,7 +35,24 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.02, 0.05, 0.1, 0.15, 0.2, 0.25)),
     "long_words": ("word_chars / greatest(n_words, 1)", (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0)),
 }
-TESTS_PER_STRATUM = sum(len(cuts) for _, cuts in RULES.values())
+#: The path: rule and cutoff that each step sets, loosest first.
+STEPS: list[tuple[str, float]] = [
+    (rule, cuts[-turn]) for turn in range(1, max(len(cuts) for _, cuts in RULES.values()) + 1) for rule, (_, cuts) in RULES.items() if turn <= len(cuts)]
+
+
+def first_step() -> str:
+    """SQL: the first step of the path that rejects the row, null if none does."""
+    cases = (" ".join(f"when {measure} > {cut} then {i}" for i, (r, cut) in enumerate(STEPS, 1) if r == rule) for rule, (measure, _) in RULES.items())
+    return f"least({', '.join(f'case {whens} end' for whens in cases)})"
+
+
+def settings(rule: str) -> list[float | None]:
+    """Cutoff of ``rule`` after each step, none before its first."""
+    out, at = [], None
+    for r, cut in STEPS:
+        at = cut if r == rule else at
+        out.append(at)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,17 +121,19 @@ def binomial_tail(k: Column, n: Column, share: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and a cutoff for each rule, null where no cutoff holds the bound."""
+    """``stratum`` and a cutoff for each rule, null where the path ends before the rule's turn; no row if no test passes."""
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(good_col).alias("good")).filter("good = 1").select("id")
     holdout = measured.filter("not base_failed").join(good, "id", "left_semi")
-    hits = [F.sum(F.when(F.expr(f"{measure} > {cut}"), 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (measure, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    counted = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *hits)
-    level = counted.agg(F.count("*").alias("strata")).select((F.lit(delta) / (F.greatest("strata", F.lit(1)) * TESTS_PER_STRATUM)).alias("level"))
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, cuts) in RULES.items() for i, cut in enumerate(cuts)])
-    # One row per stratum and test; the level is one row.
+    tried = holdout.select("stratum", F.expr(first_step()).alias("first"))
+    hits = [F.count_if(F.col("first") <= i).alias(f"k_{i}") for i in range(1, len(STEPS) + 1)]
+    counted = tried.groupBy("stratum").agg(F.count("*").alias("n"), *hits)
+    level = counted.agg(F.count("*").alias("strata")).select((F.lit(delta) / F.greatest("strata", F.lit(1))).alias("level"))
+    tests = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"k_{i}").alias("k")) for i in range(1, len(STEPS) + 1)])
+    # One row per stratum and step; the level is one row.
     rows = counted.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*").join(F.broadcast(level))
-    passed = rows.withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES))).filter("p <= level")
-    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(rule) for rule in RULES])
+    failed = F.min(F.when(binomial_tail(F.col("k"), F.col("n"), alpha) > F.col("level"), F.col("step")))
+    taken = rows.groupBy("stratum").agg((F.coalesce(failed, F.lit(len(STEPS) + 1)) - 1).alias("step")).filter("step > 0")
+    return taken.select("stratum", *[F.element_at(F.array(*[F.lit(cut).cast("double") for cut in settings(rule)]), F.col("step")).alias(rule) for rule in RULES])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality") -> DataFrame:
@@ -131,9 +153,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB: windows by joining words, tails by summing all terms."""
-    share = ALPHA / len(RULES)
-    tests = ", ".join(f"struct_pack(rule := '{rule}', cut := {cut}, hit := {measure} > {cut})" for rule, (measure, cuts) in RULES.items() for cut in cuts)
-    chosen = ", ".join(f"min(cut) filter (rule = '{rule}') as {rule}" for rule in RULES)
+    chosen = ", ".join(f"[{', '.join('null' if cut is None else str(cut) for cut in settings(rule))}][step] as {rule}" for rule in RULES)
     failed = ", ".join(f"case when {measure} > {rule} then '{rule}' end" for rule, (measure, _) in RULES.items())
     return rf"""
 with texts as (select row_number() over () as r, doc_id, coalesce('=' || lang, '') as stratum, coalesce(text, '') as text from documents),
@@ -147,10 +167,11 @@ base as (select s.r, doc_id, stratum, cast(len(w) as bigint) as n_words, cast(le
   cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words from split s left join covered c on s.r = c.r),
 judged as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from base),
 good as (select doc_id from labels group by doc_id having min(quality) = 1),
-tried as (select stratum, unnest([{tests}]) as t from judged where not base_failed and doc_id in (select doc_id from good)),
-counted as (select stratum, t.rule as rule, t.cut as cut, count(*) as n, count(*) filter (t.hit) as k from tried group by all),
-tails as (select *, case when k > n * {share} then 1 else list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln({1 - share})))) end as p from counted),
-chosen as (select stratum, {chosen} from tails where p <= {DELTA} / ((select count(distinct stratum) from counted) * {TESTS_PER_STRATUM}) group by stratum),
+tried as (select stratum, {first_step()} as first from judged where not base_failed and doc_id in (select doc_id from good)),
+counted as (select stratum, i as step, count(*) as n, count(*) filter (first <= i) as k from tried, (select unnest(range(1, {len(STEPS) + 1})) as i) group by all),
+tails as (select *, case when k > n * {ALPHA} then 1 else list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln({1 - ALPHA})))) end as p from counted),
+ends as (select stratum, coalesce(min(step) filter (p > {DELTA} / (select count(distinct stratum) from counted)), {len(STEPS) + 1}) - 1 as step from tails group by stratum),
+chosen as (select stratum, {chosen} from ends where step > 0),
 named as (select j.*, array_to_string(list_filter([{failed}], lambda x: x is not null), ',') as rejected_by from judged j left join chosen c on j.stratum = c.stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by = '' as kept, rejected_by from named
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import codes, text
-from docweave.operators import evidence as E, matching as M, ranking as R, titles as T
+from docweave.operators import evidence as E, matching as M, ranking as R, similarity as S, titles as T
 from docweave.operators.keyed import latest_by
 from docweave.plans import allocation as A, audits as U, changes as X, relations, triage as TR
 
@@ -14,7 +14,7 @@ from .matching import _MAX, _REQ, DOCS, DOCS_ALL, OUTCOME
 from .ranking import _A, CONFLICTS, STATE
 from .cleaning import _d_missing
 from .evidence import _LIST, composed
-from .registry import query
+from .registry import ORACLES, query
 
 REG, HIST, CTL = d.v("register"), d.v("history"), d.v("control")
 _POS = f"(cast({d.rev_rank(d.rev('revision'))} as bigint), greatest(greatest({d.day('modified')}, {d.day('included')}, {d.day('effective_date')}, 0) * 86400000, source_ts, row_no), row_no, source_ts)"
@@ -193,45 +193,83 @@ _PEERS = f"""(with r as (select * from (select *, row_number() over (partition b
   te as (select * from (select *, sum(c) over (partition by k) tot, lead(c) over (partition by k order by c desc, p) sec, row_number() over (partition by k order by c desc, p) i from ve) where i = 1 and c >= 3 and c * 100 >= tot * 82 and not (sec is not null and c - sec < 2 and c * 100 < tot * 86))
   select x.document, x.path, coalesce(tb.p, te.p, '') pv, case when tb.p is not null then 'B' when te.p is not null then 'E' else '' end ctx from x left join tb on x.kind <> '' and x.discipline <> '' and tb.k = fam || '|' || x.discipline || '|' || kind
   left join te on x.discipline <> '' and te.k = fam || '|' || x.discipline)"""
-_CTRL = f"""(select document, case when count(distinct {d.path_key('path')}) > 1 then 'conflict' else 'found' end st, min(path) p from {CTL} where path <> '' and row_no % 5 < 2 group by 1)"""
-_MAPD = f"(select document, 'UNIT-D|BOOK C&M|CIVIL|Mapa' p from {REG} where right(document, 2) in ('41', '46') group by 1)"
-_KNOWN = "('UNIT-D|BOOK C&M|MECANICA|INSPECAO', 'UNIT-D|BOOK C&M|CIVIL|PROCEDIMENTO')"
+_TOK = lambda x: f"list_sort({d.title_toks(x)})"
+_WHOLE = "description || ' ' || notes"
+_MAPPED = f"""(with t as (select document, {d.title_kind('title')} kind, {_TOK('title')} tok, {d.norm('discipline')} disc from (select *, row_number() over (partition by document order by row_no desc, source_ts desc) n from {REG}) where n = 1),
+  pr as (select distinct kind, tok, disc from t where kind <> ''), c as (select description, notes, path, min(entry_id) id from {d.v('path_catalog')} where {d.path_complete('path')} group by 1, 2, 3),
+  e as (select {d.title_kind(_WHOLE)} kind, {_TOK(_WHOLE)} etok, {d.norm(_WHOLE + " || ' ' || path")} names, {d.path_key('path')} pk, path, id from c),
+  s as (select pr.*, pk, path, id, 65 + case when disc <> '' and contains(names, disc) then 24 else 0 end + least(28, 4 * len(list_intersect(tok, etok))) + cast(floor(len(list_intersect(tok, etok)) / greatest(len(tok), len(etok), 1) * 28 + 0.5) as integer) sc from pr join e using (kind)),
+  pp as (select *, row_number() over (partition by kind, tok, disc, pk order by sc desc, id) i from s), r as (select *, row_number() over (partition by kind, tok, disc order by sc desc, id) n from pp where i = 1),
+  b as (select a.kind, a.tok, a.disc, a.path, a.sc, case when a.sc < 76 then 'none' when z.sc is not null and a.sc - z.sc < 10 then 'conflict' else 'found' end outcome from r a left join r z on z.n = 2 and z.kind = a.kind and z.tok = a.tok and z.disc = a.disc where a.n = 1)
+  select document, coalesce(outcome, 'none') outcome, case when outcome = 'found' then path else '' end path, case when outcome = 'found' then case when sc >= 100 then 'high' else 'medium' end else 'none' end confidence
+  from t left join b on b.kind = t.kind and b.tok = t.tok and b.disc = t.disc)"""
+_KNOWN = f"(select {d.path_key('path')} from {d.v('path_catalog')} where {d.path_complete('path')})"
+_TWO_TITLES = f"(select document from {REG} where {d.norm('title')} <> '' group by document having count(distinct {d.norm('title')}) > 1)"
+_CTRL = f"(select document_key document, path_status st, path p from ({ORACLES['exact_then_other_year']}))"
+
+
+def _latest(load):
+    return latest_by(load("register"), ["document"], [F.col("row_no"), F.col("source_ts")], ["path", "title", "discipline"])
 
 
 def _audit_inputs(load):
-    reg = load("register")
-    rec = latest_by(reg, ["document"], [F.col("row_no"), F.col("source_ts")], ["path", "title", "discipline"])
+    rec = _latest(load)
     facts = rec.withColumn("fam", F.get(F.split("document", "-"), F.lit(2))).withColumn("kind", codes.title_kind("title")).withColumn("vote_path", F.when(codes.path_complete("path"), F.col("path")).otherwise(""))
     # votes are counted per path key, so spellings of one path vote together
     facts = facts.withColumn("vote_path", F.when(F.col("vote_path") == "", "").otherwise(F.regexp_replace("vote_path", r"\s*\|\s*", "|")))
     peers = E.backoff_vote(facts, "document", [("B", [F.col("fam"), F.col("discipline"), F.col("kind")], 2, 70), ("E", [F.col("fam"), F.col("discipline")], 3, 82)], "vote_path")
-    ctl = load("control").filter("path <> '' and row_no % 5 < 2").groupBy("document").agg(
-        F.when(F.countDistinct(codes.path_key("path")) > 1, "conflict").otherwise("found").alias("path_status"), F.min("path").alias("path"))
-    mapped = reg.filter(F.right("document", F.lit(2)).isin("41", "46")).select("document").distinct().withColumn("path", F.lit("UNIT-D|BOOK C&M|CIVIL|Mapa"))
-    known = rec.sparkSession.createDataFrame([("UNIT-D|BOOK C&M|MECANICA|INSPECAO",), ("UNIT-D|BOOK C&M|CIVIL|PROCEDIMENTO",)], "path_key string")
-    return rec, peers, known, ctl, mapped
+    return rec, peers, load("path_catalog"), S.catalog_score_audit(rec, "document", load("path_catalog"))
+
+
+def _controlled(load):
+    docs = load("register").groupBy(F.col("document").alias("document_key")).agg(F.max("allocation").alias("allocation"))
+    evidence = load("confirmations").withColumn("document_key", text.canon_key("document"))
+    return E.exact_then_other_year(docs, evidence, "AL").select(F.col("document_key").alias("document"), "path_status", "path")
 
 
-PATH_AUDIT = f"""(with s as (select p.*, c.st, c.p cp, coalesce(m.p, '') mp, {d.path_complete('p.path')} and {d.norm('p.path')} <> '' full_ from {_PEERS} p left join {_CTRL} c on c.document = p.document left join {_MAPD} m on m.document = p.document),
-  t as (select *, case when not full_ and st = 'found' then 'controlled' when not full_ and st is not null then 'conflict' when pv <> '' and mp <> '' and {d.path_key('pv')} <> {d.path_key('mp')} then 'conflict' when mp <> '' then 'catalog' when pv <> '' then 'peers' else 'none' end src from s),
+def _path_audit_sql(controlled: bool) -> str:
+    infer = """case when mo = 'conflict' or (mo = 'found' and pv <> '' and {} <> {}) then 'conflict' when mo = 'found' then 'catalog' when pv <> '' then 'peers' else 'none' end""".format(d.path_key("pv"), d.path_key("mp"))
+    settle = "case when full_ then 'none' when st = 'found' then 'controlled' when st in ('conflict', 'wrong_year_only', 'allocation_missing') then 'conflict' else 'none' end"
+    return f"""(with s as (select p.*, c.st, c.p cp, m.outcome mo, m.path mp, m.confidence mc, {d.path_complete('p.path')} and {d.norm('p.path')} <> '' full_ from {_PEERS} p left join {_CTRL} c on c.document = p.document left join {_MAPPED} m on m.document = p.document),
+  t as (select *, {settle if controlled else infer} src from s),
   u as (select *, case src when 'controlled' then cp when 'catalog' then mp when 'peers' then pv else '' end sug from t),
-  v as (select *, case when not full_ then 'missing' when {d.path_key('path')} in {_KNOWN} or (sug <> '' and {d.path_key('sug')} = {d.path_key('path')}) then 'ok' when sug <> '' then 'divergent' else 'unconfirmed' end issue from u)
-  select document, issue, case when issue = 'ok' then 'ok' when issue = 'missing' and src = 'controlled' then 'confirmed_error' when issue = 'missing' and sug <> '' then 'suggestion' else 'insufficient' end classification,
-  case when issue = 'missing' then sug else '' end proposed, case when issue = 'ok' and {d.path_key('path')} in {_KNOWN} then 'high' when issue in ('divergent', 'unconfirmed') or sug = '' then 'none' when src = 'controlled' then 'high' when src = 'peers' then case ctx when 'E' then 'low' else 'medium' end else 'medium' end confidence,
-  src source, case when src = 'controlled' then 'approved' else 'pending' end decision from v)"""
+  v as (select *, {d.path_key('path')} in {_KNOWN} known, case when not full_ then 'missing' when {d.path_key('path')} in {_KNOWN} or (sug <> '' and {d.path_key('sug')} = {d.path_key('path')}) then 'ok' when sug <> '' then 'divergent' else 'unconfirmed' end iss from u),
+  w as (select *, document in {_TWO_TITLES} clash from v)
+  select document, case when clash then 'conflict' else iss end issue, case when clash then 'insufficient' when iss = 'ok' then 'ok' when iss = 'missing' and src = 'controlled' then 'confirmed_error' when iss = 'missing' and sug <> '' then 'suggestion' else 'insufficient' end classification,
+  case when iss = 'missing' and not clash then sug else '' end proposed, case when clash then 'none' when iss = 'ok' and known then 'high' when iss in ('divergent', 'unconfirmed') or sug = '' then 'none' when src = 'controlled' then 'high' when src = 'peers' then case ctx when 'E' then 'low' else 'medium' end else mc end confidence,
+  case when clash then 'conflict' else src end source, case when src = 'controlled' and not clash then 'approved' else 'pending' end decision from w)"""
 
 
-def _path_audit(load):
-    rec, peers, known, ctl, mapped = _audit_inputs(load)
-    return U.path_audit(rec.select("document", "path"), "document", peers, known, ctl, mapped)
+PATH_AUDIT = _path_audit_sql(False)
+_PATH_COLUMNS = f"document, issue, classification, case when proposed <> '' then {d.path_key('proposed')} else '' end proposed_key, confidence, source, decision"
 
 
-@query("path_audit", f"select document, issue, classification, case when proposed <> '' then {d.path_key('proposed')} else '' end proposed_key, confidence, source, decision from {PATH_AUDIT}")
-def _(load):
-    out = _path_audit(load)
+def _path_audit(load, controlled=None):
+    rec, peers, catalog, mapped = _audit_inputs(load)
+    conflicts = E.conflict_detect(load("register"), None).filter("field = 'title'")
+    return U.path_audit(rec.select("document", "path"), "document", peers, catalog, mapped, controlled, conflicts)
+
+
+def _path_columns(out):
     return out.select("document", "issue", "classification", F.when(F.col("proposed") != "", codes.path_key("proposed")).otherwise("").alias("proposed_key"), "confidence", "source", "decision")
 
 
+@query("catalog_score_audit", f"select document, outcome, case when path <> '' then {d.path_key('path')} else '' end path_key, confidence from {_MAPPED}")
+def _(load):
+    out = S.catalog_score_audit(_latest(load), "document", load("path_catalog"))
+    return out.select("document", "outcome", F.when(F.col("path") != "", codes.path_key("path")).otherwise("").alias("path_key"), "confidence")
+
+
+@query("path_audit", f"select {_PATH_COLUMNS} from {PATH_AUDIT}")
+def _(load):
+    return _path_columns(_path_audit(load))
+
+
+@query("path_audit_controlled", f"select {_PATH_COLUMNS} from {_path_audit_sql(True)}")
+def _(load):
+    return _path_columns(_path_audit(load, _controlled(load)))
+
+
 _STD = {"RL": "Relatório de inspeção", "PR": "Procedimento"}
 
 

@@ -117,6 +117,17 @@ select p_partkey as entry_id, concat(p_type, ' ', p_name) as description,
 from {part}
 """
 
+# Path catalog of the documents, over parts: two kinds of documents, and entries of no kind.
+VIEWS["path_catalog"] = f"""
+select p_partkey as entry_id,
+  case p_partkey % 3 when 0 then concat('Relatório de inspeção ', {word('p_partkey')}, case when p_size % 10 = 0 then ' painel' else '' end)
+    when 1 then concat('Procedimento ', case when p_size % 4 = 0 then 'de motores ' else 'de pintura ' end, {word('p_partkey')}) else concat(p_type, ' ', p_name) end as description,
+  concat('UNIT-D|BOOK C&M|', case when p_partkey % 5 = 3 then 'Arquivo' else {word('p_partkey')} end, '|',
+    case when p_partkey % 3 = 1 and p_partkey % 5 = 2 then concat('Procedimento ', cast(p_size % 2 as string)) when p_partkey % 3 = 1 then 'Procedimento' else 'Inspeção' end) as path,
+  case when p_size % 7 = 0 then '' else p_brand end as notes
+from {{part}}
+"""
+
 # Texts of the catalog search: short titles written by customers and orders.
 VIEWS["titles"] = """
 select o_orderkey as doc_id,

@@ -370,17 +370,47 @@ def _(load):
     return X.apply_learned(edits, X.learned_corrections(edits, "edited_at")).select("edited_at", "source_ts", "proposed", "learned")
 
 
-@query("pending_queue", f"""select module, risk, approvable, count(*) row_count from (select 'databook' module, case when classification = 'confirmed_error' then 'error' when proposed <> '' then 'suggestion' else 'warning' end risk, proposed <> '' approvable from {PATH_AUDIT} where issue <> 'ok'
-  union all select 'relations', 'error', false from {RELATION} where conflict) group by 1, 2, 3""")
+_RN = "select o_orderkey, concat('scan ', cast(o_orderkey as string), case when o_orderkey % 13 = 0 then '.docx' when o_orderkey % 17 = 0 then '' else '.PDF' end) as name, case when o_orderkey % 10 = 0 then '' when o_orderkey % 21 = 0 then 'CON' else concat('N:', cast(o_custkey % 4000 as string)) end as certificate, o_custkey as seq, case when o_orderkey % 4 = 0 then 'review' else 'high' end as confidence from {orders}"
+
+
+_RENAMES = f"""(with s as (select *, replace(trim(regexp_replace(certificate, '[<>:"/\\\\|?*]', '-', 'g')) || case when o_orderkey % 13 = 0 then '.docx' when o_orderkey % 17 = 0 then '.pdf' else '.pdf' end, '  ', ' ') final_name from ({_RN.replace('{orders}', 'orders')})),
+  t as (select *, count(*) over (partition by upper(final_name)) u, regexp_replace(final_name, '\\.[^.]+$', '') b from s),
+  v as (select *, case when b = '' then 'empty' when final_name not like '%.pdf' then 'extension' when upper(b) = 'CON' then 'reserved' when u > 1 then 'duplicate' when certificate = '' then 'identifier_missing' when confidence = 'review' then 'identifier_review' else 'ready' end code from t)
+  select o_orderkey, name, final_name, code, case when code = 'ready' then 'ready' when code = 'identifier_review' then 'review' else 'blocked' end status from v)"""
+
+
+def _renames(load):
+    orders = load("orders")
+    return X.rename_plan(orders.sparkSession.sql(_RN, orders=orders), "name", "certificate", "seq", "confidence", "{certificate}")
+
+
+@query("rename_plan", f"select o_orderkey, final_name, code, status from {_RENAMES}")
+def _(load):
+    return _renames(load).select("o_orderkey", "final_name", "code", "status")
+
+
+_RISK = "case when classification = 'confirmed_error' or issue = 'conflict' then 'error' when classification = 'suggestion' and proposed <> '' then 'suggestion' else 'warning' end risk, proposed <> '' and issue <> 'conflict' approvable"
+_ITEMS = f"""(select 'paths' as module, document, issue, proposed, source evidence, case when source = 'catalog' then 'catalog' when source = 'peers' then 'history' when proposed <> '' then 'reference' else 'register' end origin, {_RISK} from {PATH_AUDIT} where issue <> 'ok' and decision = 'pending'
+  union all select 'titles', document, issue, proposed, description_source, case when starts_with(description_source, 'priority') then 'descriptions' else 'register' end, {_RISK} from {TITLE_AUDIT} where issue <> 'ok'
+  union all select 'relations', document, 'conflict', '', conflict_fields, 'register', 'error', false from {RELATION} where conflict
+  union all select 'relations', '', 'not_found', '', 'request', 'register', 'error', false from {d.v('requests')} where request_id not in (select request_id from {_M})
+  union all select 'allocation', document_key, diagnosis, '', diagnosis, 'control', case when diagnosis = 'technical_conflict' then 'error' else 'warning' end, false from {ANALYSIS} where decision = 'review'
+  union all select 'renames', name, code, final_name, 'file', 'file', case when status = 'blocked' then 'error' else 'warning' end, false from {_RENAMES} where status <> 'ready')"""
+
+
+@query("pending_queue", f"""select module, issue, origin, risk, approvable, count(*) row_count, count(distinct case when approvable then ({d.norm('proposed')}, {d.norm('evidence')}) end) evidence_groups from {_ITEMS} group by 1, 2, 3, 4, 5""")
 def _(load):
-    paths = _path_audit(load).withColumn("confirmed", F.col("classification") == "confirmed_error").withColumn("conflict", F.lit(False))
-    rel = relations.relation_rows(load("register"), load("history")).select(
-        "document", F.when(F.col("conflict"), "conflict").otherwise("ok").alias("issue"), F.lit("").alias("proposed"), F.lit(False).alias("confirmed"), "conflict")
-    out = X.pending_queue({"databook": paths, "relations": rel})
-    return out.groupBy("module", "risk", "approvable").agg(F.count(F.lit(1)).alias("row_count"))
+    found = M.staged_key_match(load("requests"), "request_id", "raw", M.document_index(load("register").select("document").unionByName(load("history").select("document"))))
+    out = X.pending_queue(
+        X.path_items(_path_audit(load)), X.title_items(_title_audit(load)),
+        X.relation_items(relations.relation_rows(load("register"), load("history")), found.withColumn("document", F.col("request_id").cast("string"))),
+        X.allocation_items(_analysis(load)[0]), X.rename_items(_renames(load), "name"),
+    )
+    groups = F.countDistinct(F.when(F.col("approvable"), F.col("group_key"))).alias("evidence_groups")
+    return out.groupBy("module", "issue", "origin", "risk", "approvable").agg(F.count(F.lit(1)).alias("row_count"), groups)
 
 
-_AP = "select o_orderkey, case when o_orderkey % 9 = 0 then 'stale' else o_orderpriority end as current, case when o_orderkey % 7 = 0 then '' when o_orderkey % 11 = 0 then o_orderpriority else concat('NEW ', o_orderpriority) end as proposed from {orders} where o_orderkey % 2 = 0 union all select o_orderkey, o_orderpriority, 'TWICE' from {orders} where o_orderkey % 50 = 0 union all select -o_orderkey - 1, '', 'LOST' from {orders} where o_orderkey % 500 = 0"
+_AP = "select o_orderkey, case when o_orderkey % 9 = 0 then 'stale' else o_orderpriority end as current, case when o_orderkey % 7 = 0 then '' when o_orderkey % 11 = 0 then o_orderpriority else concat('NEW ', o_orderpriority) end as proposed from {orders} union all select o_orderkey, o_orderpriority, 'TWICE' from {orders} where o_orderkey % 50 = 0 union all select -o_orderkey - 1, '', 'LOST' from {orders} where o_orderkey % 500 = 0"
 _PLAN = f"""(select a.o_orderkey, 'o_orderpriority' field, {d.txt('a.current')} old_value, {d.txt('a.proposed')} new_value, case when o.o_orderkey is null then 'row_missing' when a.proposed = '' then 'value_missing' when count(*) over (partition by a.o_orderkey) > 1 then 'duplicate_cell'
   when a.current <> '' and o.o_orderpriority <> a.current then 'changed_since' when o.o_orderpriority = a.proposed then 'already_done' else '' end refused from ({_AP.replace('{orders}', 'orders')}) a left join orders o on o.o_orderkey = a.o_orderkey)"""
 
@@ -400,19 +430,6 @@ def _(load):
     return X.change_set_apply(load("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), _plan(load), ["o_orderkey"], "o_orderpriority")
 
 
-_RN = "select o_orderkey, concat('scan ', cast(o_orderkey as string), case when o_orderkey % 13 = 0 then '.docx' when o_orderkey % 17 = 0 then '' else '.PDF' end) as name, case when o_orderkey % 10 = 0 then '' when o_orderkey % 21 = 0 then 'CON' else concat('N:', cast(o_custkey % 4000 as string)) end as certificate, o_custkey as seq, case when o_orderkey % 4 = 0 then 'review' else 'high' end as confidence from {orders}"
-
-
-@query("rename_plan", f"""with s as (select *, replace(trim(regexp_replace(certificate, '[<>:"/\\\\|?*]', '-', 'g')) || case when o_orderkey % 13 = 0 then '.docx' when o_orderkey % 17 = 0 then '.pdf' else '.pdf' end, '  ', ' ') final_name from ({_RN.replace('{orders}', 'orders')})),
-  t as (select *, count(*) over (partition by upper(final_name)) u, regexp_replace(final_name, '\\.[^.]+$', '') b from s),
-  v as (select *, case when b = '' then 'empty' when final_name not like '%.pdf' then 'extension' when upper(b) = 'CON' then 'reserved' when u > 1 then 'duplicate' when certificate = '' then 'identifier_missing' when confidence = 'review' then 'identifier_review' else 'ready' end code from t)
-  select o_orderkey, final_name, code, case when code = 'ready' then 'ready' when code = 'identifier_review' then 'review' else 'blocked' end status from v""")
-def _(load):
-    orders = load("orders")
-    out = X.rename_plan(orders.sparkSession.sql(_RN, orders=orders), "name", "certificate", "seq", "confidence", "{certificate}")
-    return out.select("o_orderkey", "final_name", "code", "status")
-
-
 @query("output_reconcile", """select 'inputs_not_accounted' issue, count(*) n from customer where c_custkey not in (select o_custkey from orders) union all select 'targets_missing', count(*) from orders where o_orderkey % 9 = 0 union all
   select 'targets_duplicated', count(*) from (select o_custkey || '.pdf' from orders where o_orderkey % 9 <> 0 group by 1 having count(*) > 1)""")
 def _(load):

@@ -331,11 +331,11 @@ def _(load):
     return K.catalog_union_dedupe([base, overlay], ["description", "path"], "entry_id").select("catalog_rank", "entry_id", "description", "path")
 
 
-@query("complement_union", """select c_custkey key, 'own' origin from customer where c_custkey % 3 = 0 union all
-  select o_custkey, 'embedded' from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 = 0)""")
+@query("complement_union", """select c_custkey key, 'own' origin from customer union all
+  select o_orderkey, 'embedded' from orders where o_orderkey not in (select c_custkey from customer)""")
 def _(load):
-    own = load("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.lit("own").alias("origin"))
-    return K.complement_union(own, load("orders").select(F.col("o_custkey").alias("key"), F.lit("embedded").alias("origin")), "key")
+    own = load("customer").select(F.col("c_custkey").alias("key"), F.lit("own").alias("origin"))
+    return K.complement_union(own, load("orders").select(F.col("o_orderkey").alias("key"), F.lit("embedded").alias("origin")), "key")
 
 
 _RULES = [("_CVL_", ["SMALL", "PROMO", "STANDARD"]), ("_ELE_", ["LARGE"]), ("_INS_|_AUT_", ["MEDIUM", "unheard of"]), ("_HVAC_", ["ECONOMY"])]

@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 from docweave.operators import similarity as S
-from docweave.plans import audits as U
+from docweave.plans import audits as U, changes as X
 
 HOT = ["inspecao", "montagem", "pintura"]
 RARE = [f"palavra{chr(97 + i)}" for i in range(20)]
@@ -94,3 +94,30 @@ def test_controlled_sources_settle_incomplete_paths_and_end_inference(spark):
     assert got[3] == got[5] == ("unconfirmed", "insufficient", "", "none", "none", "pending")
     assert got[4] == got[8] == ("missing", "insufficient", "", "none", "conflict", "pending")
     assert got[6] == ("missing", "insufficient", "", "none", "none", "pending")
+
+
+def test_pending_items_of_all_jobs(spark):
+    paths = spark.createDataFrame(
+        [("a", "missing", "suggestion", "U|B|X", "catalog", "pending"), ("b", "missing", "suggestion", "u|b|x", "catalog", "pending"), ("c", "missing", "confirmed_error", "U|B|R", "controlled", "approved"),
+         ("d", "conflict", "insufficient", "", "conflict", "pending"), ("e", "ok", "ok", "", "none", "pending"), ("f", "missing", "suggestion", "U|P", "peers", "pending")],
+        "document string, issue string, classification string, proposed string, source string, decision string")
+    titles = spark.createDataFrame([("a", "empty", "confirmed_error", "T", "priority 1"), ("b", "format", "suggestion", None, "current title")],
+                                   "document string, issue string, classification string, proposed string, description_source string")
+    relation = spark.createDataFrame([("a", True, "title"), ("b", False, "")], "document string, conflict boolean, conflict_fields string")
+    asked = spark.createDataFrame([("zz", "missing"), ("a", "match")], "document string, outcome string")
+    analysis = spark.createDataFrame([("a", "review", "technical_conflict"), ("b", "review", "not_found"), ("c", "ready", "new")], "document_key string, decision string, diagnosis string")
+    files = spark.createDataFrame([("x.pdf", "y.pdf", "duplicate", "blocked"), ("w.pdf", "v.pdf", "identifier_review", "review"), ("ok.pdf", "k.pdf", "ready", "ready")],
+                                  "name string, final_name string, code string, status string")
+    parts = X.path_items(paths), X.title_items(titles), X.relation_items(relation, asked), X.allocation_items(analysis), X.rename_items(files, "name")
+    rows = X.pending_queue(*parts).collect()
+    got = {(r.module, r.document): (r.issue, r.origin, r.risk, r.approvable) for r in rows}
+    assert got == {
+        ("paths", "a"): ("missing", "catalog", "suggestion", True), ("paths", "b"): ("missing", "catalog", "suggestion", True), ("paths", "f"): ("missing", "history", "suggestion", True),
+        ("paths", "d"): ("conflict", "register", "error", False), ("titles", "a"): ("empty", "descriptions", "error", True), ("titles", "b"): ("format", "register", "warning", False),
+        ("relations", "a"): ("conflict", "register", "error", False), ("relations", "zz"): ("not_found", "register", "error", False),
+        ("allocation", "a"): ("technical_conflict", "control", "error", False), ("allocation", "b"): ("not_found", "control", "warning", False),
+        ("renames", "x.pdf"): ("duplicate", "file", "error", False), ("renames", "w.pdf"): ("identifier_review", "file", "warning", False),
+    }
+    key = {(r.module, r.document): r.group_key for r in rows}
+    assert key["paths", "a"] == key["paths", "b"] != key["paths", "f"] and key["paths", "d"] == ""
+    assert X.pending_queue(*[p.limit(0) for p in parts]).collect() == []

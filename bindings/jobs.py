@@ -273,16 +273,19 @@ def _(load):
 _STD = {"RL": "Relatório de inspeção", "PR": "Procedimento"}
 
 
-def _title_audit(load):
+def _title_audit(load, mode="auto"):
     reg = load("register")
     rec = latest_by(reg, ["document"], [F.col("row_no"), F.col("source_ts")], ["title", "discipline", "document_type"])
     num = F.right("document", F.lit(12)).cast("bigint")
     tag = F.when(num % 3 == 0, F.concat(F.lit("M-"), F.lpad((num % 5000).cast("string"), 6, "0"))).otherwise("")
     tags = load("tag_list").withColumn("tag_key", text.canonical_tag("tag"))
-    desc = tags.select("tag_key", F.when(F.col("cancelled") == 1, 9).otherwise(1).alias("priority"), "description", (F.col("cancelled") == 0).alias("trusted"), (F.col("size_no") % 11 == 0).alias("manual_review"))
+    # the appendix describes every tag by its discipline
+    place = F.when(F.col("cancelled") == 1, U.LAST_RESORT).when(F.col("size_no") % 4 == 0, U.VALVE).otherwise(U.COMPONENT)
+    desc = tags.select("tag_key", place.alias("priority"), "description", (F.col("cancelled") == 0).alias("trusted"), (F.col("size_no") % 11 == 0).alias("manual_review"))
+    desc = desc.unionByName(tags.select("tag_key", F.lit(U.APPENDIX).alias("priority"), F.col("discipline").alias("description"), F.lit(True).alias("trusted"), F.lit(False).alias("manual_review")))
     desc = desc.groupBy("tag_key", "priority").agg(F.min(F.struct("description", "trusted", "manual_review")).alias("d")).select("tag_key", "priority", "d.*")
     conflicts = E.conflict_detect(reg, None).filter("field = 'title'")
-    return U.title_audit(rec, "document", _STD, desc, tag, F.col("document_type"), conflicts)
+    return U.title_audit(rec, "document", _STD, desc, tag, F.col("document_type"), conflicts, mode)
 
 
 def _untagged(v, tag):
@@ -295,26 +298,34 @@ def _untagged(v, tag):
 _REC = f"""(select document, title, document_type, tag, type, {d.norm('title')} n, {d.norm('type')} tn, {d.ctag('tag')} tag_key, trim({d.rx(d.txt('title'), d._cls() + '+', ' ')}) cur, {_d_missing('title')} miss from (
   select *, case when num % 3 = 0 then 'M-' || lpad(cast(num % 5000 as varchar), 6, '0') else '' end tag, case document_type {' '.join(f"when '{k}' then '{v}'" for k, v in _STD.items())} else '' end as type from (
   select document, title, document_type, cast(right(document, 12) as bigint) num, row_number() over (partition by document order by row_no desc, source_ts desc) i from {d.v('register')}) where i = 1))"""
-_DESC = f"""(select tag_key, min(struct_pack(priority := priority, description := b.description, trusted := b.trusted, manual := b.manual)) b from (
-  select {d.ctag('tag')} tag_key, case when cast(cancelled as integer) = 1 then 9 else 1 end priority, min(struct_pack(description := description, trusted := cast(cancelled as integer) = 0, manual := size_no % 11 = 0)) b from {d.v('tag_list')} group by 1, 2)
-  where {d.txt('b.description')} <> '' group by 1)"""
-_JUDGED = f"""(select *, case when miss then 'empty' when tag <> '' and seen <> '' and seen <> upper(tag) then 'wrong_tag' when type <> '' and not (n = tn or starts_with(n, tn || ' ') or starts_with(n, tn || ':')) then 'document_type'
-  when tag <> '' and not contains(n, {d.norm('tag')}) then 'missing_tag' when descr <> '' and trusted and not contains(n, {d.norm('descr')}) then 'description_mismatch'
-  when n <> 'RESERVADO' and (miss or (len(list_filter({_LIST('rest')}, lambda w: length(w) >= 3)) < 2 and not regexp_matches(rest, '\\b[A-Z0-9]{{1,4}}(?:-[A-Z])?-[A-Z0-9][A-Z0-9._/-]{{2,}}\\b')) or rest = tn) then 'generic'
+def _title_audit_sql(mode: str) -> str:
+    open_ = f"{d.txt('b.description')} <> '' and priority not in ({', '.join(map(str, U.MODES[mode])) or '0'})"
+    desc = f"""(select *, case when not both_ or contains({d.norm('b.description')}, {d.norm('ap')}) then b.description when contains({d.norm('ap')}, {d.norm('b.description')}) then ap else b.description || ' · ' || ap end de from (
+  select *, coalesce(b.priority = 2 and not b.manual and ap is not null, false) both_ from (
+  select tag_key, min(struct_pack(priority := priority, description := b.description, trusted := b.trusted, manual := b.manual)) filter ({open_}) b, min(b.description) filter ({open_} and priority = 3) ap from (
+  select tag_key, priority, min(struct_pack(description := description, trusted := trusted, manual := manual)) b from (
+  select {d.ctag('tag')} tag_key, case when cast(cancelled as integer) = 1 then 9 when size_no % 4 = 0 then 1 else 2 end priority, description, cast(cancelled as integer) = 0 trusted, size_no % 11 = 0 manual from {d.v('tag_list')}
+  union all select {d.ctag('tag')}, 3, discipline, true, false from {d.v('tag_list')}) group by 1, 2) group by 1)))"""
+    judged = f"""(select *, case when miss then 'empty' when tag <> '' and seen <> '' and seen <> upper(tag) then 'wrong_tag' when type <> '' and not (n = tn or starts_with(n, tn || ' ') or starts_with(n, tn || ':')) then 'document_type'
+  when sure and not contains(n, {d.norm('tag')}) then 'missing_tag' when descr <> '' and trusted and not contains(n, {d.norm('descr')}) then 'description_mismatch'
+  when tag <> '' and not contains(n, {d.norm('tag')}) then 'possible_identifier' when n <> 'RESERVADO' and (miss or (len(list_filter({_LIST('rest')}, lambda w: length(w) >= 3)) < 2 and not regexp_matches(rest, '\\b[A-Z0-9]{{1,4}}(?:-[A-Z])?-[A-Z0-9][A-Z0-9._/-]{{2,}}\\b')) or rest = tn) then 'generic'
   when regexp_matches({d.txt('title')}, '\\s{{2,}}|--|[-–—]\\s*[-–—]|^\\s*[-–—]|[-–—]\\s*$') or regexp_matches(cur, '(?i)\\bTAG\\b\\s*[:\\-]?\\s*[A-Z0-9]') then 'format' else 'ok' end issue from (
   select *, coalesce(b.trusted, false) and descr <> '' trusted, coalesce(b.manual, false) and descr <> '' manual,
   regexp_replace(case when tn <> '' and starts_with(n, tn) then substr(n, length(tn) + 1) else n end, '^[\\s:\\-]+|[\\s:\\-]+$', '', 'g') rest from (
-  select r.*, x.b, case when tag <> '' then coalesce(x.b.description, '') else '' end descr, upper(regexp_extract(cur, '\\b([A-Za-z]{{1,3}}-\\d{{2,}}[A-Za-z]?)\\b', 1)) seen
-  from {_REC} r left join {_DESC} x on x.tag_key = r.tag_key)))"""
-_USED = f"(select *, type as kind, case when descr <> '' then descr when miss then '' else {_untagged('_u', 'tag')} end description from (select *, {_untagged('rest', 'seen')} _u from {_JUDGED}))"
-_KEEP = "document, issue, type, tag, descr, trusted, manual, miss, n, b, description"
-TITLE_AUDIT = f"""(select document, case when c then 'conflict' else issue end issue, case when c then 'insufficient' else cls end classification, case when c then '' else proposed end proposed, case when c then 'none' else conf end confidence,
-  case when descr <> '' then 'priority ' || cast(b.priority as varchar) else 'current title' end description_source from (
+  select r.*, x.b, coalesce(x.both_, false) both_, tag <> '' and x.tag_key is not null sure, case when tag <> '' then coalesce(x.de, '') else '' end descr, upper(regexp_extract(cur, '\\b([A-Za-z]{{1,3}}-\\d{{2,}}[A-Za-z]?)\\b', 1)) seen
+  from {_REC} r left join {desc} x on x.tag_key = r.tag_key)))"""
+    used = f"(select *, type as kind, case when descr <> '' then descr when miss then '' else {_untagged('_u', 'tag')} end description from (select *, {_untagged('rest', 'seen')} _u from {judged}))"
+    keep = "document, issue, type, tag, descr, trusted, manual, miss, n, b, both_, sure, description"
+    return f"""(select document, case when c then 'conflict' else issue end issue, case when c then 'insufficient' else cls end classification, case when c then '' else proposed end proposed, case when c then 'none' else conf end confidence,
+  case when descr <> '' then 'priority ' || cast(b.priority as varchar) || case when both_ then ' + 3' else '' end else 'current title' end description_source from (
   select *, document in (select document from {d.v('register')} where {d.norm('title')} <> '' group by document having count(distinct {d.norm('title')}) > 1) c,
-  case when proposed = '' then 'none' when type <> '' and (trusted or tag <> '') then 'high' when trusted then 'high' when type <> '' or descr <> '' then 'medium' else 'low' end conf from (
-  select *, case when issue = 'ok' then 'ok' when manual then 'insufficient' when issue = 'empty' then case when type <> '' or trusted or tag <> '' then 'confirmed_error' else 'insufficient' end
+  case when proposed = '' then 'none' when type <> '' and (trusted or sure) then 'high' when trusted then 'high' when type <> '' or descr <> '' then 'medium' else 'low' end conf from (
+  select *, case when issue = 'ok' then 'ok' when manual or issue = 'possible_identifier' then 'insufficient' when issue = 'empty' then case when type <> '' or trusted or sure then 'confirmed_error' else 'insufficient' end
   when issue in ('wrong_tag', 'document_type', 'missing_tag', 'description_mismatch') then 'confirmed_error' else 'suggestion' end cls,
-  case when issue <> 'ok' and not manual and composed <> '' and {d.norm('composed')} <> n and (type <> '' or description <> '' or tag <> '') then composed else '' end proposed from {composed(_USED, _KEEP)})))"""
+  case when issue not in ('ok', 'possible_identifier') and not manual and composed <> '' and {d.norm('composed')} <> n and (type <> '' or description <> '' or tag <> '') then composed else '' end proposed from {composed(used, keep)})))"""
+
+
+TITLE_AUDIT = _title_audit_sql("auto")
 
 
 @query("title_audit", f"select * from {TITLE_AUDIT}")
@@ -322,6 +333,11 @@ def _(load):
     return _title_audit(load)
 
 
+@query("title_audit_appendix", f"select * from {_title_audit_sql('appendix_only')}")
+def _(load):
+    return _title_audit(load, "appendix_only")
+
+
 @query("title_audit_issues", f"select issue, classification, confidence, count(*) row_count from {TITLE_AUDIT} group by 1, 2, 3")
 def _(load):
     return _title_audit(load).groupBy("issue", "classification", "confidence").agg(F.count(F.lit(1)).alias("row_count"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from docweave.operators import similarity as S
 from docweave.plans import audits as U, changes as X
 
@@ -121,3 +123,25 @@ def test_pending_items_of_all_jobs(spark):
     key = {(r.module, r.document): r.group_key for r in rows}
     assert key["paths", "a"] == key["paths", "b"] != key["paths", "f"] and key["paths", "d"] == ""
     assert X.pending_queue(*[p.limit(0) for p in parts]).collect() == []
+
+
+def test_title_audit_modes_and_possible_identifier(spark):
+    tags = [("T1", "M-01"), ("T2", "M-02"), ("T3", "M-03"), ("T4", "M-04"), ("T5", "M-05"), ("T6", "M-06"), ("T7", "M-07"), ("T8", "M-77")]
+    rec = spark.createDataFrame([(k, f"Relatório - obra nova {'M-77' if k == 'T8' else ''}", tag, "RL") for k, tag in tags] + [("T9", "", "M-99", "XX")], "document string, title string, tag string, type string")
+    rec = rec.withColumn("discipline", F.lit("X"))
+    given = [
+        ("M1", 1, "Válvula", True, False), ("M1", 2, "Bomba", True, False), ("M1", 3, "Bomba azul", True, False), ("M2", 2, "Bomba", True, False), ("M2", 3, "Sala norte", True, False),
+        ("M3", 2, "Bomba", True, True), ("M3", 3, "Sala norte", True, False), ("M4", 9, "Escopo", False, False), ("M5", 4, "Base", True, False), ("M6", 2, "", True, False),
+    ]
+    desc = spark.createDataFrame(given, "tag_key string, priority int, description string, trusted boolean, manual_review boolean")
+    rows = {mode: {r["document"]: r for r in U.title_audit(rec, "document", {"RL": "Relatório"}, desc, F.col("tag"), F.col("type"), mode=mode).collect()} for mode in U.MODES}
+    source = {mode: [rows[mode][f"T{i}"]["description_source"] for i in range(1, 8)] for mode in rows}
+    assert source["auto"] == ["priority 1", "priority 2 + 3", "priority 2", "priority 9", "priority 4", "current title", "current title"]
+    assert source["component_only"] == ["priority 2", "priority 2", "priority 2", "current title", "priority 4", "current title", "current title"]
+    assert source["appendix_only"] == ["priority 3", "priority 3", "priority 3", "current title", "priority 4", "current title", "current title"]
+    auto = rows["auto"]
+    assert [auto[f"T{i}"]["issue"] for i in range(1, 10)] == ["missing_tag"] * 6 + ["possible_identifier", "ok", "empty"]
+    assert "BOMBA" in auto["T2"]["proposed"] and "SALA NORTE" in auto["T2"]["proposed"]
+    # a tag no source knows proves nothing: no proposal, and an empty title stays without one that is certain
+    assert (auto["T7"]["classification"], auto["T7"]["proposed"], auto["T7"]["confidence"]) == ("insufficient", "", "none")
+    assert auto["T9"]["classification"] == "insufficient" and auto["T3"]["classification"] == "insufficient"

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import similarity as S
+from docweave.functions import text
+from docweave.operators import evidence as E, similarity as S
 from docweave.plans import audits as U, changes as X
 
 HOT = ["inspecao", "montagem", "pintura"]
@@ -145,3 +147,39 @@ def test_title_audit_modes_and_possible_identifier(spark):
     # a tag no source knows proves nothing: no proposal, and an empty title stays without one that is certain
     assert (auto["T7"]["classification"], auto["T7"]["proposed"], auto["T7"]["confidence"]) == ("insufficient", "", "none")
     assert auto["T9"]["classification"] == "insufficient" and auto["T3"]["classification"] == "insufficient"
+
+
+def test_titles_without_a_tag_are_dealt_over_the_tasks(spark):
+    rec = spark.range(400).select(F.concat(F.lit("D-"), F.col("id").cast("string")).alias("document"), F.lit("Relatório X").alias("title"), F.lit("").alias("discipline"), F.lit("RL").alias("type"))
+    desc = spark.createDataFrame([("M1", 2, "Bomba", True, False)], "tag_key string, priority int, description string, trusted boolean, manual_review boolean")
+    given = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {name: spark.conf.get(name) for name in given}
+    for name, value in given.items():
+        spark.conf.set(name, value)
+    try:
+        tag = F.when(F.col("document") == "D-7", "M-01").otherwise("")
+        out = U.title_audit(rec, "document", {"RL": "Relatório"}, desc, tag, F.col("type"))
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        seven = out.filter("document = 'D-7'").collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert sum(r["count"] for r in tasks) == 400 and max(r["count"] for r in tasks) < 200
+    assert [(r["issue"], r["description_source"]) for r in seven] == [("missing_tag", "priority 2")]
+
+
+def test_conflicts_of_named_fields_only(spark):
+    columns = ["document", "revision", "status", "posting_status", "dispatch", "effective_date", "title", "allocation_status", "allocation", "path"]
+    rows = spark.createDataFrame([("a", "A", "x", "", "", "", "T", "", "", "p"), ("a", "B", "y", "", "", "", "t ", "", "", "q"), ("b", "A", "x", "", "", "", "T", "", "", ""), ("b", "A", "x", "", "", "", "U", "", "", "")], columns)
+    found = E.conflict_detect(rows, None, fields=["title"])
+    assert [tuple(r) for r in found.collect()] == [("b", "technical", "", "title", "T", "U")]
+    assert {(r["document"], r["field"]) for r in E.conflict_detect(rows, None).collect()} == {("a", "revision"), ("a", "path"), ("b", "title")}
+
+
+@pytest.mark.parametrize("blank", ["\u00a0", "\u2003", "\t", "\u3000", "\ufeff", "  "])
+def test_texts_are_trimmed_without_a_pattern(spark, blank):
+    df = spark.createDataFrame([(f"{blank}Ção{blank}{blank}é\u0301 –b{blank}",)], "v string")
+    out = df.select(text.text("v").alias("t"), text.norm("v").alias("n"))
+    row = out.collect()[0]
+    assert (row["t"], row["n"]) == (f"Ção{blank}{blank}é\u0301 –b", "CAO E -B")
+    assert "regexp" not in out.select("t")._jdf.queryExecution().optimizedPlan().toString()

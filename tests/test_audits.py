@@ -183,3 +183,13 @@ def test_texts_are_trimmed_without_a_pattern(spark, blank):
     row = out.collect()[0]
     assert (row["t"], row["n"]) == (f"Ção{blank}{blank}é\u0301 –b", "CAO E -B")
     assert "regexp" not in out.select("t")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conflicts_normalise_each_row_once(spark):
+    columns = ["document", "revision", "status", "posting_status", "dispatch", "effective_date", "title", "allocation_status", "allocation", "path"]
+    technical = spark.createDataFrame([("a", "A", "", "x", "", "", "T", "", "", "p"), ("a", "A", "", "x", "", "", "U", "", "", "p")], columns)
+    history = spark.createDataFrame([("a", "Rev. A", "y"), ("a", "A", "z")], ["document", "revision", "status"]).withColumn("posting_status", F.lit(""))
+    out = E.conflict_detect(technical, history)
+    assert "upper(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["scope"], r["rev"], r["field"], r["first_value"], r["last_value"]) for r in out.collect()} == {
+        ("technical", "", "title", "T", "U"), ("history", "A", "status", "Y", "Z"), ("cross", "A", "status", "X", "Z")}

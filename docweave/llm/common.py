@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,17 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, dtype=np.uint8)[at[0]: at[-1]], at - at[0]
 
 
+#: How to drop what a module's tasks keep in this worker for the tasks after them.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeping(module: str, drop: Callable[[], None]) -> None:
+    """Called where a task of ``module`` begins: drops what other modules' tasks left in the worker, which outlives them."""
+    for other in [m for m in _KEPT if m != module]:
+        _KEPT.pop(other)()
+    _KEPT[module] = drop
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not use."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -2,11 +2,12 @@
 
 All sets are sorted by one order of the runs, the rarer bucket of runs first; two sets that similar share a run among
 the first ``n - ceil(0.8 n) + 1`` of each, n being the runs of a set. Texts that share such a run are candidates, and a
-candidate pair is a link only if the whole sets say so. No group's pairs are all compared: first neighbours by size
-among the texts that share a run meet, then, for ROUNDS rounds, the smallest text of each run meets those of it that
-are in other components; what joins it is done, the others go on without it. Every round's pairs are no more than the
-rows of the runs. A pair is missed only if, in each run that both have, neither of the two (nor a text that either is
-joined with) has been the smallest by then; ``test_copies`` and the README have the recall against all pairs.
+candidate pair is a link only if the whole sets say so. First neighbours by size among the texts that share a run meet;
+while runs still hold many pairs of texts of different components, one text of each run, another in every round, meets
+those of it that are in other components. Then all pairs of a run whose texts are in different components meet, but for
+those that their sizes, or the runs left behind the shared one, keep from being similar. So the components are exactly
+those of all similar pairs; only pairs inside a component are left out. Where many texts share rare runs and none is
+similar, that last step is quadratic in them by its nature; it holds one run's block at a time.
 
 Texts with the same words are one node, known by a 64-bit hash; runs are known by 64-bit hashes too.
 
@@ -25,13 +26,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from docweave.operators.keyed import attach
 
-from .common import forget, fresh, slices, store, sweep
+from .common import forget, fresh, keeping, slices, store, sweep
 from .components import components
 from .decontaminate import seeds
 
 WORDS = 5
-#: Rounds in which the smallest text of a run meets the others.
-ROUNDS = 4
+#: Rounds at most, before all pairs, in which one text of each run meets the others, while a row of a run has more than
+#: CROWD partners in other components on average.
+ROUNDS, CROWD = 4, 16
+#: Rows of a run that one group of a task pairs with the whole run.
+BLOCK_ROWS = 4096
 #: Runs are counted in so many buckets, of which the order is made; nodes are looked up in so many.
 BUCKET_BITS, NODE_BITS = 18, 22
 CACHE_WORDS = 100_000
@@ -76,6 +80,7 @@ def with_node(docs: DataFrame, name: str, text_col: str) -> DataFrame:
     source = docs.select("*", F.col(text_col).cast("binary").alias(name))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping(__name__, _words.clear)
         for whole in batches:
             for batch in slices(whole, name):
                 nodes = np.array([node(word_hashes(t)) for t in batch.column(name).to_pylist()], dtype=np.uint64)
@@ -104,14 +109,14 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``run, n, node``: the first runs of each text of ``texts(node, text)``, and how many it has."""
+    """``run, n, at, node``: the first runs of each text of ``texts(node, text)``, how many it has and the run's place in the order."""
     shared, shift = texts.sparkSession.sparkContext.broadcast(counts), np.uint64(64 - BUCKET_BITS)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                found, sizes, lengths, nodes = [], [], [], []
+                found, sizes, lengths, places, nodes = [], [], [], [], []
                 for key, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
                     if key in seen:
                         continue
@@ -122,23 +127,25 @@ def prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                     found.append(own)
                     sizes.append(n)
                     lengths.append(len(own))
+                    places.append(np.arange(len(own), dtype=np.int32))
                     nodes.append(key)
                 if found:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.concatenate(found).view(np.int64)),
                         pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths)),
-                        pa.array(np.repeat(np.array(nodes, dtype=np.int64), lengths))], names=["run", "n", "node"])
+                        pa.array(np.concatenate(places)),
+                        pa.array(np.repeat(np.array(nodes, dtype=np.int64), lengths))], names=["run", "n", "at", "node"])
 
-    return texts.mapInArrow(first, "run long, n int, node long")
+    return texts.mapInArrow(first, "run long, n int, at int, node long")
 
 
 def shared_runs(firsts: DataFrame) -> DataFrame:
-    """``run, n, node, before``: the rows of runs that several nodes have, each once; ``before`` is the node in front of
+    """``run, n, at, node, before``: the rows of runs that several nodes have, each once; ``before`` is the node in front of
     it by size, if it is large enough."""
 
     def rows(found: list[np.ndarray], stay: np.ndarray, before: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-        run, n, key = (c[stay] for c in found)
-        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(n), pa.array(key), pa.array(before[stay], mask=~near[stay])], names=["run", "n", "node", "before"])
+        run, n, key, at = (c[stay] for c in found)
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(n), pa.array(at), pa.array(key), pa.array(before[stay], mask=~near[stay])], names=["run", "n", "at", "node", "before"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by run, size and node. The last row of a batch waits for the next one, and keeps what it knows."""
@@ -146,12 +153,12 @@ def shared_runs(firsts: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            found = [batch.column(c).to_numpy() for c in ("run", "n", "node")]
+            found = [batch.column(c).to_numpy() for c in ("run", "n", "node", "at")]
             if last is not None:
                 found = [np.concatenate([x, y]) for x, y in zip(last, found)]
-            run, n, key = found
+            run, n, key, _ = found
             new = np.concatenate([[True], (run[1:] != run[:-1]) | (key[1:] != key[:-1])])
-            run, n, key = found = [c[new] for c in found]
+            run, n, key, _ = found = [c[new] for c in found]
             same = np.concatenate([[last_same], run[1:] == run[:-1]])
             before = np.concatenate([[last_before], key[:-1]])
             near = np.concatenate([[last_near], same[1:] & (5 * n[:-1].astype(np.int64) >= 4 * n[1:].astype(np.int64))])
@@ -162,7 +169,7 @@ def shared_runs(firsts: DataFrame) -> DataFrame:
             yield rows(last, np.array([last_same]), np.array([last_before], dtype=np.int64), np.array([last_near]))
 
     dealt = firsts.repartition("run").sortWithinPartitions("run", "n", "node")
-    return dealt.mapInArrow(pick, "run long, n int, node long, before long")
+    return dealt.mapInArrow(pick, "run long, n int, at int, node long, before long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,32 +207,65 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def apart(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """The stored rows of ``postings`` whose run has texts of several components, with the component (``root``), the run's
+    ``rows`` and how many ordered pairs of them are of different components (``cross``)."""
+    spark = postings.sparkSession
+    rooted, rooted_path = store(components(links))
+    rows, rows_path = store(attach(postings.select("run", "n", "at", "node"), rooted, ["node"]).withColumn("root", F.coalesce("root", "node")))
+    each = rows.groupBy("run", "root").agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    runs_apart = each.groupBy("run").agg(total.alias("rows"), (total * total - F.sum(F.col("n") * F.col("n"))).alias("cross")).filter("cross > 0")
+    out, out_path = store(attach(rows, runs_apart, ["run"], "inner"))
+    forget(spark, rooted_path, rows_path)
+    return out, out_path
+
+
+def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: the ``turn``-th chosen text of each run, by hash, with those of it that are in other components and near in size."""
+    middle = rows.groupBy("run").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "n", "node", "root")).alias("m"))
+    others = attach(rows, middle, ["run"], "inner").filter(F.col("root") != F.col("m.root"))
+    near = 5 * F.least("n", "m.n") >= 4 * F.greatest("n", "m.n")
+    return others.filter(near).select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+
+
+def all_pairs(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a, b``: every pair of texts that share a run, are in different components and can be similar by their sizes and the run's places.
+
+    From the first run that two texts share, no more are left than behind it in either. Runs of many rows are cut into
+    blocks, each of which meets the whole run.
+    """
+    cut = rows.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
+    names = ("n", "at", "node", "root")
+    x = cut.select("run", *names, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    y = cut.select("run", *[F.col(c).alias(f"{c}2") for c in names], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    once = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
+    behind = 9 * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= 4 * (F.col("n") + F.col("n2"))
+    able = once & (F.col("root") != F.col("root2")) & (5 * F.col("n") >= 4 * F.col("n2")) & behind
+    return x.join(y, ["run", "block"]).filter(able).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def copy_links(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``a, b``: links among the nodes of ``texts(node, text)`` that join those that share a run and are similar."""
+    """``a, b``: links among the nodes of ``texts(node, text)`` whose components are those of all similar pairs."""
     spark = texts.sparkSession
     postings, postings_path = store(shared_runs(prefixes(texts, bucket_counts(texts))))
     near = postings.filter("before is not null")
     tried, _ = store(near.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct())
     links, _ = store(similar(tried, texts))
-    live = postings.select("run", "n", "node")
     sweep(spark)
-    for _ in range(rounds):
-        rooted, rooted_path = store(components(links))
-        # The smallest text of a run meets all others of it that are in other components and near enough in size.
-        spread, spread_path = store(attach(live, rooted, ["node"]).withColumn("root", F.coalesce("root", "node")))
-        forget(spark, rooted_path, *([postings_path] if postings_path else []))
-        postings_path = None
-        middle = spread.groupBy("run").agg(F.min(F.struct("n", "node", "root")).alias("m"), F.max("root").alias("high"), F.min("root").alias("low")).filter("low < high")
-        # What is of the middle's component is done; the others go on without it.
-        others, others_path = store(attach(spread, middle.select("run", "m"), ["run"], "inner").filter(F.col("root") != F.col("m.root")))
-        forget(spark, spread_path)
-        pairs = others.filter(5 * F.col("m.n") >= 4 * F.col("n")).select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
-        fresh_pairs, _ = store(pairs.join(tried, ["a", "b"], "left_anti"))
-        if not fresh_pairs.isEmpty():
-            found, _ = store(similar(fresh_pairs, texts))
-            links, tried = links.union(found), tried.union(fresh_pairs)
-        live = others.select("run", "n", "node")
+    for turn in range(rounds + 1):
+        rows, rows_path = apart(postings, links)
+        pairs, count = rows.agg(F.sum(F.col("cross") / F.col("rows")), F.count("*")).first()
+        last = turn == rounds or (pairs or 0) <= CROWD * count
+        untried, untried_path = store((all_pairs(rows) if last else pivot_pairs(rows, turn)).join(tried, ["a", "b"], "left_anti"))
+        forget(spark, rows_path)
+        if not untried.isEmpty():
+            found, _ = store(similar(untried, texts))
+            links, tried = links.union(found), tried.union(untried)
         sweep(spark)
+        if last:
+            break
+    forget(spark, postings_path)
     return links
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, store, table
+from .common import keeping, slices, store, table
 
 #: Weight 6 each, found by search: four such masks can't hit all placements, these five do.
 MASKS = ("1111011", "11011101", "10101111", "110010111", "1111000011")
@@ -42,7 +42,8 @@ SHORT_WEIGHT = 4
 SURE_WORDS = 5
 #: Bytes of benchmark text that are indexed and broadcast at once.
 BLOCK_BYTES = 8 << 20
-CACHE_PIECES = 1_000_000
+#: Pieces of text kept in a worker's cache, and bytes of text that are worked on at once.
+CACHE_PIECES, SLICE_BYTES = 300_000, 2 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -246,8 +247,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         shared = spark.sparkContext.broadcast(Index(items))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keeping(__name__, _words.clear)
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE_BYTES):
                     found = shared.value.matches(batch.column("text").to_pylist())
                     if found:
                         row, item, *numbers = (list(c) for c in zip(*found))
@@ -265,8 +267,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         shared = spark.sparkContext.broadcast(Index(items))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keeping(__name__, _words.clear)
             for whole in batches:
-                for batch in slices(whole, text_col):
+                for batch in slices(whole, text_col, SLICE_BYTES):
                     stay = np.ones(batch.num_rows, dtype=bool)
                     stay[shared.value.contaminated(batch.column(text_col).to_pylist())] = False
                     yield batch.filter(pa.array(stay))

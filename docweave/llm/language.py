@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docweave.operators.keyed import top_k_by
 
-from .common import fresh, slices, table
+from .common import fresh, keeping, slices, table
 
 UNKNOWN = "und"
 CHAIN, GRAMS, BUCKETS = 64, 4, 1 << 16
@@ -272,6 +272,7 @@ def _labelled(docs: DataFrame, model: dict, text_col: str, pred: str, score: str
     schema = docs.select("*", F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping(__name__, _taggers.clear)
         if name not in _taggers:
             _taggers.clear()
             _taggers[name] = Tagger(shared.value)

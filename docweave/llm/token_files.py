@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docweave.session import shared_folder
 
-from .common import slices, table
+from .common import keeping, slices, table
 
 BLOCK, PERCENTILE, HEAD = 128, 90, 6
 #: A chunk is closed when it holds so many ids; one document is never split.
@@ -283,6 +283,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     id_type = pa.int64() if kind.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping(__name__, _coders.clear)
         coder = _coders.get(tokenizer) or _coders.setdefault(tokenizer, PieceCoder(tokenizer))
         shard, number = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, list]] = []

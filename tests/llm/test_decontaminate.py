@@ -148,3 +148,16 @@ def test_blocks_give_the_same(spark, monkeypatch):
     one = sorted(map(tuple, D.matches(frame, bench).collect()))
     monkeypatch.setattr(D, "BLOCK_BYTES", 1000)
     assert sorted(map(tuple, D.matches(frame, bench).collect())) == one
+
+
+def test_a_task_drops_what_other_modules_left_in_its_worker():
+    from docweave.llm import common
+
+    one, two = {"a": 1}, {"b": 2}
+    common.keeping("one", one.clear)
+    common.keeping("one", one.clear)
+    assert one
+    common.keeping("two", two.clear)
+    assert not one and two
+    common.keeping("three", dict)
+    assert not two

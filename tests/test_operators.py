@@ -446,6 +446,32 @@ def test_days_of_several_streams_close_behind_the_slowest(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
 
 
+def test_catalog_rank_deals_entries_evenly(spark):
+    words = ["RED", "BLUE", "BOLT", "GEAR"]
+    entries = [(i, " ".join(w for j, w in enumerate(words) if i >> j & 1), "note" if i % 3 else "RED NOTE", f"UNIT|{words[i % 4]}") for i in range(64)]
+    catalog = spark.createDataFrame(entries * 2, "entry_id int, description string, notes string, path string")
+    queries = spark.createDataFrame([("ZZ", "red bolt gear"), ("ZZ", "red bolt gear"), ("GEAR-BOLT", ""), ("ZZ", None), (None, "red")], "code string, title string")
+    out = S.catalog_rank_topk(queries, catalog, {"BRAND": ["PROMO"]}, k=3)
+    # entries meet the queries in tasks of their own, and no table of distinct pairs stands before the scores
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan
+    got = sorted((r["code"], r["title"], r["place"], r["entry_id"], r["score"], r["title_hits"]) for r in out.collect())
+    firsts = {}
+    for i, d, n, p in sorted(entries):
+        firsts.setdefault((d, n, p), i)
+    want = []
+    for (d, n, p), i in firsts.items():
+        d, n, p = (f" {' '.join(v.upper().replace('|', ' ').split())} " for v in (d, n, p))
+        pts = [9 if f" {w} " in d else 7 if f" {w} " in n else 4 if f" {w} " in p else 0 for w in ("RED", "BOLT", "GEAR")]
+        hits = sum(v > 0 for v in pts)
+        phrases = sum(15 if w in d else 10 if w in n else 0 for w in ("RED BOLT", "BOLT GEAR"))
+        score = sum(pts) + phrases + (80 if "RED BOLT GEAR" in d else 0) + (18 if hits >= 2 else 0)
+        want.append((score, hits / 3, -i, hits))
+    best = sorted([w for w in want if w[0] >= 12 and w[3]], reverse=True)[:3]
+    assert [g for g in got if g[0] == "ZZ"] == [("ZZ", "red bolt gear", k + 1, -w[2], w[0], w[3]) for k, w in enumerate(best)]
+    assert {g[0] for g in got} <= {"ZZ", "GEAR-BOLT"}
+
+
 def test_norm_of_accented_values(spark):
     odd = ["a\u0345b", "Stra\u00dfe  \u2013 x", "\u00a0\u00e1    \u00c7 \t\u00f5\u3000", "e\u0301", "\u0390", "ab\u00e9" + " " * 9 + "c", " \u00ff ", "x\t\ty", "", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v string")

@@ -478,3 +478,17 @@ def test_norm_of_accented_values(spark):
     got = [(r["n"], r["t"]) for r in df.select("i", text.norm("v").alias("n"), text.text("v").alias("t")).orderBy("i").collect()]
     assert [g[0] for g in got] == ["A\u0399B", "STRASSE - X", "A C O", "E", "\u0399", "ABE C", "Y", "X Y", "", ""]
     assert [g[1] for g in got] == ["a\u0345b", "Stra\u00dfe  \u2013 x", "\u00e1    \u00c7 \t\u00f5", "e\u0301", "\u0390", odd[5], "\u00ff", "x\t\ty", "", ""]
+
+
+def test_catalog_score_best_deals_entries_evenly(spark):
+    entries = [(i, f"VALVULA RED PART {i % 7}", "MOTOR" if i % 2 else "", f"UNIT|BOOK|{i % 3}") for i in range(40)]
+    catalog = spark.createDataFrame(entries * 2, "entry_id int, description string, notes string, path string")
+    targets = spark.createDataFrame([(1, "valvula red motor", "x"), (2, "red part", "x"), (3, "nothing alike", "x"), (4, None, None)], "doc int, title string, discipline string")
+    out = S.catalog_score_best(targets, "doc", catalog, [("VALVULA", "VALVULA")], [("MOTOR", "MOTOR")])
+    # entries meet the profiles in tasks of their own; a pair that meets on several ways is scored once
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    got = {r["doc"]: (r["outcome"], r["score"], r["runner_score"]) for r in out.collect()}
+    # kind 65, three shared tokens 12, three of three (PART is the fourth) tokens 21, subject 58
+    assert got[1] == ("conflict", 156, 156) and got[3] == ("none", 0, 0) and got[4] == ("none", 0, 0)
+    assert got[2][0] == "none"

@@ -193,3 +193,15 @@ def test_conflicts_normalise_each_row_once(spark):
     assert "upper(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["scope"], r["rev"], r["field"], r["first_value"], r["last_value"]) for r in out.collect()} == {
         ("technical", "", "title", "T", "U"), ("history", "A", "status", "Y", "Z"), ("cross", "A", "status", "X", "Z")}
+
+
+def test_conflict_detect_of_named_fields_with_a_history(spark):
+    technical = spark.createDataFrame(
+        [("a", "A", "x", "t1", "p1"), ("a", "A", "y", "t2", "p2"), ("b", "B", "x", "", "p1")], "document string, revision string, status string, title string, path string"
+    ).withColumn("posting_status", F.lit(""))
+    history = spark.createDataFrame([("a", "A", "x", ""), ("a", "A", "z", " z "), ("b", "B", "w", "")], "document string, revision string, status string, posting_status string")
+    fields = ["status", "title"]
+    whole = E.conflict_detect(technical, history)
+    named = E.conflict_detect(technical, history, fields=fields)
+    assert sorted(named.collect()) == sorted(whole.filter(F.col("field").isin(*fields)).collect())
+    assert named.filter("field = 'path'").count() == 0 and whole.filter("field = 'path'").count() > 0

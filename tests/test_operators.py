@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import codes, text
-from docweave.operators import evidence as E, keyed, matching as M, ranking as R, similarity as S, titles as T
+from docweave.operators import cleaning as C, evidence as E, keyed, matching as M, ranking as R, similarity as S, titles as T
 from docweave.plans import audits as U, changes as X
 from docweave.sources import catalogs as K, grids as G, sinks
 
@@ -486,6 +486,14 @@ def test_catalog_score_best_deals_entries_evenly(spark):
     assert got[2][0] == "none"
 
 
+def test_title_compose_rewrites_each_part_once(spark):
+    rows = spark.createDataFrame([("Relatório de  inspeção", 'TAG: "x (a (b) c) - - y', "M-01"), ("n/a", "#REF! | a", None), (None, "(", " - "), ('"', '""', "")], "k string, d string, t string")
+    nested = rows.select(*[C.title_part(c).alias(c) for c in "kdt"])
+    assert C.title_parts(rows, {f"{c}1": c for c in "kdt"}).select("k1", "d1", "t1").collect() == nested.collect()
+    plan = T.title_compose(rows, "k", "d", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("IDENTIFICA") <= 15  # five patterns name it for each of the three parts
+
+
 def test_family_vote_deals_documents_without_a_supporter(spark):
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -88,11 +89,24 @@ _KEPT: dict[str, Callable[[], None]] = {}
 
 def keeping(module: str, drop: Callable[[], None]) -> None:
     """Called where a task of ``module`` begins: drops what other modules' tasks left in the worker, which outlives them."""
-    for other in [m for m in _KEPT if m != module]:
+    others = [m for m in _KEPT if m != module]
+    for other in others:
         _KEPT.pop(other)()
+    if others:
+        _return_memory()
     _KEPT[module] = drop
 
 
+def _return_memory() -> None:
+    """Gives what was dropped back to the system, where it would count as this worker's for good."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not use."""
     taken, out = {c.lower() for c in df.columns}, []

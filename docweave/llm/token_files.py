@@ -42,8 +42,9 @@ BLOCK, PERCENTILE, HEAD = 128, 90, 6
 CHUNK_IDS = 1 << 18
 #: Bytes of text that are split and looked up at once.
 SLICE_BYTES = 4 << 20
-#: Bytes of pieces kept in a worker's cache.
-CACHE_BYTES = 96 << 20
+#: Bytes of pieces and words kept in a worker's cache, and what one takes besides its letters (and 40 for each id of a word):
+#: objects, dictionary entries at their emptiest, and the ids' places.
+CACHE_BYTES, PIECE_BYTES, WORD_BYTES = 128 << 20, 240, 280
 
 #: Letters whose lower case and composed form hold no surprise, then ASCII signs but the apostrophe.
 _PLAIN = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)")
@@ -69,14 +70,14 @@ class PieceCoder(dict):
         self.clear()
         self.new: list[bytes] = []
         self.words: dict[str, list[int]] = {}
-        self.stops = {sign.encode(): self.word_ids(sign) for sign in ".,"}
         self.size = self.used = 0
+        self.stops = {sign.encode(): self.word_ids(sign) for sign in ".,"}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.at = np.zeros(1, dtype=np.int64)
 
     def __missing__(self, piece: bytes) -> int:
         self.new.append(piece)
-        self.size += len(piece) + 100
+        self.size += len(piece) + PIECE_BYTES
         self[piece] = number = len(self)
         return number
 
@@ -86,6 +87,7 @@ class PieceCoder(dict):
         if ids is None:
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
             ids = self.words[word] = [t.id for t in self.model.tokenize(shown)]
+            self.size += len(word) + WORD_BYTES + 40 * len(ids)
         return ids
 
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -71,3 +72,13 @@ def test_views_nulls_and_splits_of_an_array():
     own = [whole(t.decode() if t else "") for t in texts.to_pylist()[1:]]
     assert ids.tolist() == [i for d in own for i in d] and n.tolist() == list(map(len, own))
     assert CODER.encode(texts.slice(0, 0), 1)[1].tolist() == []
+
+
+def test_the_cache_counts_what_it_holds():
+    coder = T.PieceCoder(PATH)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    coder.encode([" ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}lang" for i in range(17000)).encode()], 1)
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held <= coder.size * 1.1

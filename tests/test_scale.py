@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import functions as F
 
+from docweave.functions import dates, revision
 from docweave.operators import evidence as E
+from docweave.plans import relations
 from docweave.session import in_methods
 
 REGISTER = ["document", "revision", "status", "posting_status", "dispatch", "effective_date", "title", "allocation_status", "allocation", "path"]
@@ -50,3 +53,34 @@ def test_values_of_conflicts_send_a_row_once(spark):
         ("a", "cross", "A", "status", "X", "technical", "tg"), ("a", "cross", "A", "status", "X", "technical", "th"),
         ("a", "cross", "A", "status", "Y", "history", "h1"), ("a", "history", "A", "status", "Y", "history", "h1")])
     assert len(re.findall(r"\bGenerate\b", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_rank_of_every_short_revision(spark):
+    values = [chr(i) for i in range(32, 127)] + ["", "AA", "AZ", "A1", "Z9", "A0", "I1", "IO", "00", "Ç", None]
+    letters = {a: 1000 * (i + 1) for i, a in enumerate(revision.ALPHABET)}
+    more = {"0": 0, "AA": 25000, "AZ": 48000, "A1": 1001, "Z9": 24009}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r["v"]: r["k"] for r in df.select("v", revision.revision_rank(F.col("v")).alias("k")).collect()} == {v: {**letters, **more}.get(v, -1) for v in values}
+
+
+def test_dates_in_every_style(spark):
+    day = datetime.date
+    want = {"05/01/2024": day(2024, 1, 5), "5/1/24": day(2024, 1, 5), " 05/01/2024 ": day(2024, 1, 5), "05/01/2024 10:00": day(2024, 1, 5), "05/01/24 x": day(2024, 1, 5), "31/02/2024": None,
+            "2024-01-05": day(2024, 1, 5), "2024-01-05T10:00": day(2024, 1, 5), "2024-02-31": None, "2024-01-05x": None, "45000": day(2023, 3, 15), "a/b-c": None, "05/01/20245": None, "": None, None: None}
+    df = spark.createDataFrame([(v,) for v in want], "v string")
+    assert {r["v"]: r["d"] for r in df.select("v", dates.parse_date("v").alias("d")).collect()} == want
+
+
+def test_relation_takes_the_newest_row(spark):
+    cols = [*REGISTER, "discipline", "document_type", "purpose", "comment", "modified", "included", "sheet", "row_no", "source", "source_ts"]
+    blank = dict.fromkeys(cols, "")
+    row = lambda **v: tuple({**blank, "row_no": 1, "source_ts": 1, **v}[c] for c in cols)
+    kinds = ", ".join(f"{c} {'long' if c in ('row_no', 'source_ts') else 'string'}" for c in cols)
+    technical = spark.createDataFrame([row(document="a", revision="A", title=" T ", path="p", sheet="ET", row_no=1), row(document="a", revision="A", title="t", purpose="q", sheet="CV", row_no=2)], kinds)
+    names = ["document", "revision", "status", "posting_status", "modified", "included", "sheet", "row_no", "source", "source_ts"]
+    history = spark.createDataFrame([("a", "B", "Em Análise", "", "2024-01-01", "", "HIST", 1, "h", 1), ("b", "A", "Em Análise", "", "", "", "HIST", 2, "h", 2)], names)
+    pick = ["document", "sheet", "title", "current_revision", "posting_status", "technical_status", "path", "purpose", "conflict"]
+    got = {tuple(r) for r in relations.relation_rows(technical, history).select(*pick).collect()}
+    assert got == {("a", "CV", "t", "B", "Em Análise", "", "p", "q", False)}
+    both = {tuple(r) for r in relations.relation_rows(technical, history, history_only=True).select(*pick).collect()}
+    assert both == got | {("b", "HIST", "", "A", "Em Análise", "Em Análise", "", "", False)}

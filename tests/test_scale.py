@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, revision
-from docweave.operators import evidence as E
+from docweave.operators import evidence as E, matching as M
 from docweave.plans import relations
 from docweave.session import in_methods
 
@@ -41,6 +41,14 @@ def test_bounds_of_conflicts_are_compiled(spark):
     assert longest_method(E._bounds(rows, "document", "technical", hashed=True)) <= 8000
 
 
+def test_spellings_are_distinct_before_they_are_normalised(spark):
+    rows = spark.createDataFrame([("RL-1 _ a",), ("rl-1_A",), ("rl-1_A",), (None,), (" ",), ("RL-2 ",), ("RL-2",)], "code string")
+    out = M.longest_spellings(rows, "code")
+    assert {tuple(r) for r in out.collect()} == {("RL-1_A", "RL-1 _ a"), ("RL-2", "RL-2")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "upper(" not in plan[plan.rindex("Aggregate ["):]
+
+
 def test_values_of_conflicts_send_a_row_once(spark):
     technical = spark.createDataFrame([("a", "A", "", "x", "g", "", "T", "", "", ""), ("a", "A", "", "x", "h", "", "t", "", "", "p"), ("b", "B", "", "y", "g", "", "", "", "", "")], REGISTER).withColumn("id", F.concat(F.lit("t"), F.col("dispatch")))
     history = spark.createDataFrame([("a", "Rev. A", "y", "h1"), ("a", "A", "", "h2"), ("a", "B", "x", "h3"), ("b", "A", "z", "h4")], ["document", "revision", "status", "id"]).withColumn("posting_status", F.lit(""))
